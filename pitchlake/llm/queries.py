@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import mixing, secrets
+from pitchlake.llm import chat, mixing, secrets, syncmers
 from pitchlake.llm.shared import documents
 
 
+def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_likeness(documents(spark, sf_dir))
+
+
+def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(chat.pairs_by_id(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -24,10 +32,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
+        "op9_preference_chat": op9_preference_chat,
         "op7_mix_sources": op7_mix_sources,
         "op8_secret_scan": op8_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.MIX_SQL}
+    return {"op7_mix_sources": mixing.MIX_SQL, "op9_preference_chat": chat.PREFERENCE_SQL}
