@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import chat, mixing, secrets, syncmers
-from pitchlake.llm.shared import documents
+from pitchlake.llm import chat, decontam, langid, mixing, secrets, syncmers
+from pitchlake.llm.shared import crc_of_id, documents
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_of_id() % 3 == 1
+    model = langid.train(docs.filter(~held_out))
+    return langid.predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +43,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op6_decontaminate": op6_decontaminate,
         "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
         "op9_preference_chat": op9_preference_chat,
         "op7_mix_sources": op7_mix_sources,
