@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import chat, decontam, langid, mixing, secrets, syncmers
+from pitchlake.llm import chat, decontam, langid, mixing, quality_mil, secrets, syncmers, token_store
 from pitchlake.llm.shared import crc_of_id, documents
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_of_id() % 3 == 1
@@ -22,6 +28,17 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_of_id() % 4 == 2
+    model = quality_mil.train(docs.filter(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out))
+    return quality_mil.score(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(documents(spark, sf_dir), tokenizer_file())
+
+
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(documents(spark, sf_dir))
 
@@ -45,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op6_decontaminate": op6_decontaminate,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op10_token_store": op10_token_store,
         "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
         "op9_preference_chat": op9_preference_chat,
         "op7_mix_sources": op7_mix_sources,
