@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import chat, decontam, langid, mixing, quality_mil, secrets, syncmers, token_store
+from pitchlake.llm import chat, decontam, langid, mixing, quality_mil, secrets, simhash, syncmers, token_store
 from pitchlake.llm.shared import crc_of_id, documents
 
 
@@ -39,6 +39,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(documents(spark, sf_dir), tokenizer_file())
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6_decontaminate,
         "op3_quality_classifier": op3_quality_classifier,
         "op10_token_store": op10_token_store,
+        "op5_simhash_dedup": op5_simhash_dedup,
         "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
         "op9_preference_chat": op9_preference_chat,
         "op7_mix_sources": op7_mix_sources,
