@@ -125,3 +125,13 @@ def in_texts(first_word: np.ndarray, n: int) -> np.ndarray:
         cut = cut[(cut >= 0) & (cut < len(ok))]
         ok[cut] = False
     return ok
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(all words in a row, each followed by one space; where each begins; its bytes)."""
+    size = ends - starts
+    put = np.concatenate([[0], np.cumsum(size + 1)])
+    plain = np.full(put[-1], 32, np.uint8)
+    at, own = np.arange(size.sum()), np.repeat(np.arange(len(size)), size)
+    plain[at + own] = data[at + (starts - (put[:-1] - np.arange(len(size))))[own]]
+    return plain.tobytes(), put, size

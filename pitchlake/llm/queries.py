@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import chat, decontam, langid, mixing, quality_mil, secrets, simhash, syncmers, token_store
+from pitchlake.llm import chat, decontam, langid, mixing, quality_mil, secrets, simhash, substring_dedup, syncmers, token_store
 from pitchlake.llm.shared import crc_of_id, documents
 
 
@@ -44,6 +44,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(documents(spark, sf_dir))
+
+
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(documents(spark, sf_dir))
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op10_token_store": op10_token_store,
         "op5_simhash_dedup": op5_simhash_dedup,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
         "op9_preference_chat": op9_preference_chat,
         "op7_mix_sources": op7_mix_sources,
@@ -78,4 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.MIX_SQL, "op9_preference_chat": chat.PREFERENCE_SQL}
+    return {
+        "op2_substring_dedup": substring_dedup.DEDUP_SQL,
+        "op7_mix_sources": mixing.MIX_SQL,
+        "op9_preference_chat": chat.PREFERENCE_SQL,
+    }

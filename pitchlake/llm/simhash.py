@@ -42,12 +42,8 @@ def simhashes(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, see
     out = np.zeros(len(first) - 1, np.uint64)
     if not len(starts):
         return out
-    # The words once more, each followed by one space, so that a shingle is one slice.
-    size = ends - starts
-    put = np.concatenate([[0], np.cumsum(size + 1)])
-    plain = np.full(put[-1], 32, np.uint8)
-    plain[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = data[np.arange(size.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size)]
-    text, digest = plain.tobytes(), xxhash.xxh64_intdigest
+    text, put, size = kernel.joined(data, starts, ends)
+    digest = xxhash.xxh64_intdigest
     n_words = np.diff(first)
     n = np.where(n_words > 0, np.maximum(1, n_words - shingle + 1), 0)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
