@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.shared import WORD
+from pitchlake.llm.ranges import ranged
+from pitchlake.llm.shared import WORD, cut
 
 K, S = 5, 2
 #: Hashes kept in a fingerprint: the smallest ones, of 32 bits each.
 SKETCH = 64
 #: Neighbouring ids are dealt to ranges of about so many rows.
 RANGE_ROWS = 4000
+#: Heads of ranges that are broadcast, at 24 bytes each; beyond, they are joined by a shuffle.
+MOST_HEADS = 200_000
 
 
 def _word_hashes(text: Column) -> Column:
@@ -86,35 +89,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return anchors(base, "t", "found", k, s).select("doc_id", "t", sketch(F.col("found"), size).alias("sk"))
 
 
-def _ranged(ids: DataFrame, df: DataFrame) -> DataFrame:
-    """df with `range`: a number that grows with doc_id; about RANGE_ROWS rows each. Null ids: -1.
-
-    Up to 256 cuts are the ids' percentiles; each such part is divided evenly by id, so that the
-    number of ranges has no bound while only the cuts pass through the driver.
-    """
-    n, low, high, cuts = ids.agg(
-        F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 256 for i in range(1, 256)], 100_000)
-    ).head()
-    if not n:
-        return df.withColumn("range", F.lit(-1).cast("long"))
-    parts = max(1, min(256, -(-n // RANGE_ROWS)))
-    inner = sorted({int(cuts[round(i * 256 / parts) - 1]) for i in range(1, parts)}) if parts > 1 else []
-    edges = [int(low), *[c for c in inner if c > low], int(high) + 1]
-    fan = max(1, -(-n // (RANGE_ROWS * 256)))
-
-    def leaf(i: int) -> Column:
-        width = max(1, -(-(edges[i + 1] - edges[i]) // fan))
-        return F.lit(i * fan).cast("long") + F.floor((F.col("doc_id") - edges[i]) / width)
-
-    def tree(a: int, b: int) -> Column:
-        if b - a == 1:
-            return leaf(a)
-        m = (a + b) // 2
-        return F.when(F.col("doc_id") < edges[m], tree(a, m)).otherwise(tree(m, b))
-
-    return df.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(tree(0, len(edges) - 1)))
-
-
 def with_next(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs (doc_id, t, sk) with next_t and next_sk: those of the next row by descending doc_id.
 
@@ -122,16 +96,18 @@ def with_next(docs: DataFrame, ids: DataFrame) -> DataFrame:
     single row is its own next. No range is larger than its share: ids are dealt to ranges,
     and each range gets, behind its own rows, a copy of the rows that head the range below it.
     """
-    ranged = _ranged(ids, docs)
-    heads = _ranged(ids, ids).groupBy("range").agg(F.max("doc_id").alias("head"))
+    ranges, of_ids = ranged(ids, docs, ids, rows=RANGE_ROWS)
     # One row for each range: its head also stands at the end of the range above it.
     order = Window.orderBy(F.col("range").desc())
-    above = F.lag("range").over(order)
-    heads = heads.withColumn("above", F.coalesce(above, F.min("range").over(Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    copies = ranged.join(heads.withColumnRenamed("range", "of"), (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))).select(
-        "doc_id", "t", "sk", F.col("above").alias("range"), F.lit(True).alias("copy")
-    )
-    rows = ranged.select("doc_id", "t", "sk", "range", F.lit(False).alias("copy")).unionByName(copies)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = of_ids.groupBy("range").agg(F.max("doc_id").alias("head"))
+    heads = cut(heads.select(F.col("range").alias("of"), "head", F.coalesce(F.lag("range").over(order), F.min("range").over(every)).alias("above")), 1)
+    if heads.count() <= MOST_HEADS:
+        heads = F.broadcast(heads)
+    joined = ranges.join(heads, (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    own = F.struct("range", F.lit(False).alias("copy"))
+    places = F.when(F.col("of").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("above").alias("range"), F.lit(True).alias("copy"))))
+    rows = joined.select("doc_id", "t", "sk", F.explode(places).alias("place")).select("doc_id", "t", "sk", "place.*")
     w = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), "t")
     return rows.select("doc_id", "t", "sk", "copy", F.lead("t").over(w).alias("next_t"), F.lead("sk").over(w).alias("next_sk")).filter(~F.col("copy")).drop("copy")
 
