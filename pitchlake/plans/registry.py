@@ -38,7 +38,7 @@ def with_views(body: str) -> str:
     need(body)
     if not order:
         return body
-    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
+    views = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order)
     body = body.strip()
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {views},\n{body[len('WITH RECURSIVE'):]}"
