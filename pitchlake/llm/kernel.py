@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 64
 _MASK = (1 << 64) - 1
 #: Odd multipliers of the two independent polynomial hashes.
 _P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
