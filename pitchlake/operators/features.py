@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs as X
 
-LATEST = (F.col("match_date").desc_nulls_last(), F.col("seq").desc())
-EARLIEST = (F.col("match_date").asc_nulls_first(), F.col("seq").asc())
+
+def latest_first() -> list[Column]:
+    return [F.col("match_date").desc_nulls_last(), F.col("seq").desc()]
+
+
+def earliest_first() -> list[Column]:
+    return [F.col("match_date").asc_nulls_first(), F.col("seq").asc()]
 
 
 def minutes_bucket(minutes: Column) -> Column:
@@ -47,7 +52,7 @@ def match_features(matches: DataFrame) -> DataFrame:
 
 def latest(stats: DataFrame, n: int) -> DataFrame:
     """The last n rows of each player, with rn = 1 for the last one."""
-    w = Window.partitionBy("player_key").orderBy(*LATEST)
+    w = Window.partitionBy("player_key").orderBy(*latest_first())
     return stats.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
@@ -55,7 +60,7 @@ def rolling_form(stats: DataFrame, metrics: tuple[str, ...] = ("goals", "assists
     """Mean of the last n values that are not null, for each metric and n; null if there are none."""
     out = None
     for m in metrics:
-        w = Window.partitionBy("player_key").orderBy(*LATEST)
+        w = Window.partitionBy("player_key").orderBy(*latest_first())
         ranked = stats.filter(F.col(m).isNotNull()).select("player_key", F.col(m).alias("v"), F.row_number().over(w).alias("rn")).filter(F.col("rn") <= max(windows))
         means = ranked.groupBy("player_key").agg(*[F.round(F.avg(F.when(F.col("rn") <= n, F.col("v"))), 3).alias(f"{m}_last_{n}") for n in windows])
         out = means if out is None else out.join(means, "player_key", "full")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs as X
-from pitchlake.operators.features import EARLIEST, LATEST
+from pitchlake.operators.features import earliest_first, latest_first
 
-SERIES = Window.partitionBy("player_key").orderBy(*EARLIEST)
+
+def series() -> WindowSpec:
+    return Window.partitionBy("player_key").orderBy(*earliest_first())
 
 
 def spikes(stats: DataFrame, metrics: tuple[str, ...] = ("goals", "assists", "shots", "minutes"), window: int = 5, least: int = 4, limit: float = 3.0) -> DataFrame:
     """Values far from the mean of up to `window` earlier ones, once there are `least` of those and five rows in all."""
-    w = Window.partitionBy("player_key").orderBy(*EARLIEST)
+    w = Window.partitionBy("player_key").orderBy(*earliest_first())
     before = w.rowsBetween(-window, -1)
     marked = stats.select("player_key", "seq", F.row_number().over(w).alias("k"), *[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m), F.lit(0)).cast("double").alias("v"), F.avg(F.coalesce(m, F.lit(0)).cast("double")).over(before).alias("mean"), F.coalesce(F.stddev_samp(F.coalesce(m, F.lit(0)).cast("double")).over(before), F.lit(0.0)).alias("sd")).alias(f"s_{m}") for m in metrics])
     long = marked.filter(F.col("k") > least).select("player_key", "seq", F.explode(F.array(*[f"s_{m}" for m in metrics])).alias("s")).select("player_key", "seq", "s.*")
@@ -24,7 +26,7 @@ def spikes(stats: DataFrame, metrics: tuple[str, ...] = ("goals", "assists", "sh
 
 def career_drift(stats: DataFrame, window: int = 5) -> DataFrame:
     """Means of the last `window` rows less those of the `window` before; stable without two windows."""
-    w = Window.partitionBy("player_key").orderBy(*LATEST)
+    w = Window.partitionBy("player_key").orderBy(*latest_first())
     rows = stats.select("player_key", "goals", "assists", "minutes", F.row_number().over(w).alias("rn")).filter(F.col("rn") <= 2 * window)
     new = F.col("rn") <= window
 
@@ -45,13 +47,13 @@ def career_drift(stats: DataFrame, window: int = 5) -> DataFrame:
 
 def gap_days(stats: DataFrame) -> DataFrame:
     """Longest and mean number of days between a player's dates."""
-    gaps = stats.filter(F.col("match_date").isNotNull()).select("player_key", F.datediff("match_date", F.lag("match_date").over(SERIES)).alias("gap"))
+    gaps = stats.filter(F.col("match_date").isNotNull()).select("player_key", F.datediff("match_date", F.lag("match_date").over(series())).alias("gap"))
     return gaps.groupBy("player_key").agg(F.max("gap").cast("double").alias("max_gap"), F.round(F.avg("gap"), 3).alias("mean_gap"))
 
 
 def minutes_trend(stats: DataFrame, limit: float = 100.0) -> DataFrame:
     """Mean step between consecutive minutes, and its direction beyond the limit."""
-    steps = stats.select("player_key", (F.col("minutes") - F.lag("minutes").over(SERIES)).alias("step"))
+    steps = stats.select("player_key", (F.col("minutes") - F.lag("minutes").over(series())).alias("step"))
     t = steps.groupBy("player_key").agg(F.coalesce(F.round(F.avg("step"), 1), F.lit(0.0)).alias("delta"))
     return t.withColumn("trend", F.when(F.col("delta") > limit, "ascending").when(F.col("delta") < -limit, "declining").otherwise("stable"))
 
@@ -60,13 +62,13 @@ def contribution(stats: DataFrame) -> DataFrame:
     """(player_key, k, n, y): each row's contribution per 90, in order; minutes 0 count as 1."""
     per = F.greatest(X.or_default("minutes", 1) / 90.0, F.lit(0.1))
     y = F.round(((F.col("goals") + F.col("assists")) * 2.5 + F.col("shots") * 0.2 + F.coalesce(F.col("xg"), F.lit(0.0)) * 1.5) / per, 3)
-    return stats.select("player_key", F.row_number().over(SERIES).alias("k"), F.count("*").over(Window.partitionBy("player_key")).alias("n"), y.alias("y"), "match_date", "seq")
+    return stats.select("player_key", F.row_number().over(series()).alias("k"), F.count("*").over(Window.partitionBy("player_key")).alias("n"), y.alias("y"), "match_date", "seq")
 
 
 def score_slope(stats: DataFrame) -> DataFrame:
     """Least-squares slope of the history: complete means of three rows, or the rows themselves if fewer."""
     rows = contribution(stats)
-    three = SERIES.rowsBetween(-2, 0)
+    three = series().rowsBetween(-2, 0)
     h = rows.withColumn("h", F.when(F.col("n") >= 3, F.avg("y").over(three)).otherwise(F.col("y"))).filter((F.col("n") < 3) | (F.col("k") >= 3))
     t = h.groupBy("player_key").agg(F.count("*").alias("points"), F.coalesce(F.round(F.regr_slope(F.col("h"), F.col("k").cast("double")), 3), F.lit(0.0)).alias("slope"))
     return t

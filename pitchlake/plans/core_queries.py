@@ -8,7 +8,10 @@ from pitchlake.operators import features
 from pitchlake.plans.registry import VIEWS, query
 from pitchlake.sources import driver_views as D
 
-ON = F.lit(D.REFERENCE_DATE).cast("date")
+
+def on_date():
+    return F.lit(D.REFERENCE_DATE).cast("date")
+
 
 VIEWS["v_app"] = """
 SELECT o_custkey AS player_key, o_orderkey AS seq, o_orderdate::DATE AS match_date, o_orderpriority AS competition, o_orderstatus AS source,
@@ -106,7 +109,7 @@ def consistency(spark, sf_dir):
 
 @query("kpi", "SELECT player_key, matches, minutes, goals, assists, shots, passes, age, consistency, base_kpi, age_kpi AS age_adjusted_kpi FROM v_kpi0")
 def kpi(spark, sf_dir):
-    return features.kpi(D.appearances(spark, sf_dir), D.players(spark, sf_dir), ON)
+    return features.kpi(D.appearances(spark, sf_dir), D.players(spark, sf_dir), on_date())
 
 
 VIEWS["v_xg"] = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitchlake.operators import features, lookup, scores, timeseries
-from pitchlake.plans.core_queries import AGE, ON, P90
+from pitchlake.plans.core_queries import AGE, P90, on_date
 from pitchlake.plans.registry import VIEWS, query
 from pitchlake.sources import driver_views as D
 
@@ -23,12 +23,12 @@ def base(spark, sf_dir):
 
 
 def kpi_of(spark, sf_dir):
-    return features.kpi(*base(spark, sf_dir), ON)
+    return features.kpi(*base(spark, sf_dir), on_date())
 
 
 def risk_of(spark, sf_dir):
     stats, players = base(spark, sf_dir)
-    return scores.risk(stats, players, ON, features.consistency(stats))
+    return scores.risk(stats, players, on_date(), features.consistency(stats))
 
 
 def club_points(spark, sf_dir):
