@@ -35,12 +35,12 @@ def money_parse(spark, sf_dir):
     return money_texts(spark, sf_dir).select("id", F.round(X.money("text"), 2).alias("eur"))
 
 
-@query("age_years", """SELECT player_key, dob AS parsed, (2002 - year(dob) - CASE WHEN month(dob) = 1 AND day(dob) = 1 THEN 0 ELSE 1 END)::INTEGER AS age FROM v_players""")
+@query("age_years", """SELECT player_key, dob::VARCHAR AS parsed, (2002 - year(dob) - CASE WHEN month(dob) = 1 AND day(dob) = 1 THEN 0 ELSE 1 END)::INTEGER AS age FROM v_players""")
 def age_years(spark, sf_dir):
     k = F.col("player_key")
     text = F.when(k % 4 == 0, F.date_format("dob", "yyyy-MM-dd")).when(k % 4 == 1, F.date_format("dob", "dd/MM/yyyy")).when(k % 4 == 2, F.date_format("dob", "MMM d, yyyy")).otherwise(F.date_format("dob", "d MMMM yyyy"))
     t = D.players(spark, sf_dir).select("player_key", X.birth_date(text).alias("parsed"))
-    return t.withColumn("age", X.age_at("parsed", F.lit(D.REFERENCE_DATE).cast("date")))
+    return t.select("player_key", F.col("parsed").cast("string").alias("parsed"), X.age_at("parsed", F.lit(D.REFERENCE_DATE).cast("date")).alias("age"))
 
 
 @query("clean_scalars", """SELECT p_partkey AS id, nullif(trim(regexp_replace('  ' || p_name || '   x ', '\\s+', ' ', 'g')), '') AS name,
@@ -231,9 +231,9 @@ def incremental_refresh(spark, sf_dir):
     return t.select("player_key", "matches", "minutes", "goals", "assists", "discipline")
 
 
-@query("event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, sum(value::DECIMAL(18,4))::DOUBLE AS value FROM events GROUP BY 1, 2")
+@query("event_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS events, sum(value::DECIMAL(18,4))::DOUBLE AS value FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
-    return refresh.event_windows(D.table(spark, sf_dir, "events"))
+    return refresh.event_windows(D.table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 # --- graph ------------------------------------------------------------------------------------
@@ -460,10 +460,10 @@ def player_page(spark, sf_dir):
     return serving.page(t, [serving.sort_key("-score"), F.col("player_key")], 5, 20).select("player_key", "player_name", "club", "base_kpi", "score")
 
 
-@query("player_stats_page", "SELECT player_key, seq, match_date, minutes, goals, xg FROM v_app WHERE player_key = 7 ORDER BY xg NULLS FIRST, seq LIMIT 10")
+@query("player_stats_page", "SELECT player_key, seq, match_date::VARCHAR AS match_date, minutes, goals, xg FROM v_app WHERE player_key = 7 ORDER BY xg NULLS FIRST, seq LIMIT 10")
 def player_stats_page(spark, sf_dir):
     t = serving.listing(D.appearances(spark, sf_dir), {"player_key": 7})
-    return serving.page(t, [serving.sort_key("xg"), F.col("seq")], 0, 10).select("player_key", "seq", "match_date", "minutes", "goals", "xg")
+    return serving.page(t, [serving.sort_key("xg"), F.col("seq")], 0, 10).select("player_key", "seq", F.col("match_date").cast("string").alias("match_date"), "minutes", "goals", "xg")
 
 
 @query("transfer_listing", "SELECT player_key, p1, p2, category FROM v_transfer_p WHERE p1 >= 0.5 ORDER BY p1 DESC, player_key LIMIT 50")

@@ -314,7 +314,7 @@ VIEWS["v_spell_rows"] = "SELECT player_key, row_number() OVER (PARTITION BY play
 VIEWS["v_spells"] = """
 SELECT player_key, spell, arg_min(club, ord) AS club, count(*) AS rows, max(value) AS peak, list(age ORDER BY ord)[count(*) // 2 + 1] AS mid_age,
   round((arg_max(value, ord) - arg_min(value, ord)) / nullif(arg_min(value, ord), 0.0), 4) AS change
-FROM (SELECT *, sum(new) OVER (PARTITION BY player_key ORDER BY ord) AS spell FROM (
+FROM (SELECT *, sum(new) OVER (PARTITION BY player_key ORDER BY ord)::BIGINT AS spell FROM (
   SELECT *, CASE WHEN lag(club) OVER (PARTITION BY player_key ORDER BY ord) IS NULL OR lag(club) OVER (PARTITION BY player_key ORDER BY ord) <> club THEN 1 ELSE 0 END AS new FROM v_spell_rows))
 GROUP BY player_key, spell"""
 
