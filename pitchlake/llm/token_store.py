@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,13 +29,13 @@ from pyspark.sql import types as T
 from pitchlake.llm.shared import shared_dir
 
 END_ID = 0
-LEVEL = 3
+LEVEL = 1
 #: Compressed bytes after which a segment ends.
 SEGMENT_BYTES = 256 << 10
 #: The dictionary is trained on so many whole documents of at most so many bytes of text.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICTIONARY_BYTES = 400, 16 << 10, 64 << 10
 #: Pieces of text whose ids a task remembers.
-MEMO = 800_000
+MEMO = 500_000
 
 _SEGMENT = T.StructType(
     [
@@ -51,10 +52,54 @@ _SEGMENT = T.StructType(
 
 #: White space beside white space, or other than space and line feed: no piece ends there.
 _UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]")
+#: The same for ASCII texts, as strings to look for.
+_UNEVEN_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")
 #: A space between two characters that surely are no white space: a token always begins here.
 _SURE = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+#: Latin letters, a space before them or not, and ASCII punctuation behind them: two tokens of the pattern at most.
+_WORD = re.compile(" ?([A-Za-zÀ-ÖØ-öø-\u024F]+)([!-/:-@\\[-`{-~]*)\\Z")
 
-_STOPPED = re.compile(r"[A-Za-z][.,]\Z")
+
+class Pieces(dict):
+    """The ids of pieces of text, each asked of the library when it is first looked up.
+
+    before: what stands before each piece, a space or nothing.
+    """
+
+    def __init__(self, library, before: str):
+        super().__init__()
+        self.before, self.ask, self.encode = before, library.model.tokenize, library.encode
+        # Byte-level models write each byte as a character: printable ones as they are, the others from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.shown_before = "".join(self.shown[ord(c)] for c in before)
+        self.packed = struct.Struct("<I").pack
+        self.marks: dict[str, bytes] = {}
+
+    def token(self, x: str) -> bytes:
+        """The ids of what is one token of the pattern: the library's model alone is asked."""
+        shown = x.replace(" ", "\u0120") if x.isascii() else x.encode().decode("latin-1").translate(self.shown)
+        pack = self.packed
+        return b"".join([pack(t.id) for t in self.ask(shown)])
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            pack = self.packed
+            ids = self[piece] = b"".join([pack(t.id) for t in self.ask(self.shown_before + piece)])
+            return ids
+        x = self.before + piece
+        found = _WORD.match(x)
+        if found and found[2]:
+            behind = found[2]
+            if behind not in self.marks:
+                self.marks[behind] = self.token(behind)
+            ids = self[piece[: -len(behind)]] + self.marks[behind]
+        elif found:
+            ids = self.token(x)
+        else:
+            ids = np.array(self.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -78,61 +123,28 @@ class Encoder:
             before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
         )
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.line_feed = self.whole(["\n"])[0]
-
-    def learn(self, new: list[str]) -> None:
-        """Puts the ids of new pieces into the memo.
-
-        Pieces without line feeds go through the library as the lines of one text: a line feed
-        between two pieces is a token of its own, at which the ids are cut again. A token also
-        ends between an ASCII letter and a full stop or comma at a piece's end.
-        """
-        stopped = [x for x in new if _STOPPED.search(x)]
-        if stopped:
-            new = list(({x[:-1] for x in stopped} | {".", ","}).union(new).difference(stopped, self.memo))
-        odd = [x for x in new if "\n" in x or x.isspace()]
-        lines = [x for x in new if not ("\n" in x or x.isspace())]
-        blocks = [lines[i : i + 2000] for i in range(0, len(lines), 2000)] if len(self.line_feed) == 4 else []
-        for block, ids in zip(blocks, self.whole(["\n".join(b) for b in blocks]), strict=True):
-            ids = np.frombuffer(ids, "<u4")
-            at = np.flatnonzero(ids == np.frombuffer(self.line_feed, "<u4"))
-            if len(at) != len(block) - 1:
-                odd += block
-                continue
-            bounds = [0, *(at + 1).tolist(), len(ids) + 1]
-            raw = ids.tobytes()
-            self.memo.update((x, raw[4 * a : 4 * (b - 1)]) for x, a, b in zip(block, bounds[:-1], bounds[1:], strict=True))
-        odd += [] if blocks else lines
-        self.memo.update(zip(odd, self.whole(odd), strict=True))
-        self.memo.update((x, self.memo[x[:-1]] + self.memo[x[-1]]) for x in stopped)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str]:
-        if _UNEVEN.search(text):
-            return _SURE.split(text)
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
+        self.first, self.later = Pieces(self.library, ""), Pieces(self.library, " ")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def one(self, text: str) -> bytes:
+        if not self.by_piece or any(s in text for s in self.special):
+            return self.whole(text)
+        first, later = self.first, self.later
+        if any(s in text for s in _UNEVEN_ASCII) if text.isascii() else _UNEVEN.search(text):
+            return b"".join(map(first.__getitem__, _SURE.split(text)))
+        lines = []
+        for line in text.split("\n"):
             head, *rest = line.split(" ")
-            out.append(head)
-            out += [" " + x for x in rest]
-        return out
+            lines.append((first[head] if head else b"") + b"".join(map(later.__getitem__, rest)))
+        return first["\n"].join(lines)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) if self.by_piece and not any(s in t for s in self.special) else None for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        memo[""] = b""
-        self.learn(list({x for c in cut if c for x in c}.difference(memo)))
-        long = [i for i, c in enumerate(cut) if c is None]
-        rest = dict(zip(long, self.whole([texts[i] for i in long]), strict=True))
-        return [(rest[i] if c is None else b"".join([memo[x] for x in c])) + self.end for i, c in enumerate(cut)]
+        if len(self.first) + len(self.later) > MEMO:
+            self.first.clear(), self.later.clear()
+        return [self.one(t) + self.end for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -159,8 +171,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
     Only texts of at most SAMPLE_DOC_BYTES are chosen from, so what the driver gets is bounded.
     Too few of them for training: the empty dictionary, and frames do without.
     """
-    chosen = docs.filter(F.octet_length("text").between(1, SAMPLE_DOC_BYTES)).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
-    samples = encoder(tokenizer, end_id).encode([r[0] for r in chosen.select("text").collect()])
+    fit = docs.filter(F.octet_length("text").between(1, SAMPLE_DOC_BYTES)).select("text", F.xxhash64("text").alias("h"))
+    # First the hashes alone, so that no task sends texts that are not chosen.
+    last = [r[0] for r in fit.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()]
+    chosen = fit.filter(F.col("h") <= last[-1]).dropDuplicates(["h"]).orderBy("h").select("text").collect() if last else []
+    samples = encoder(tokenizer, end_id).encode([r[0] for r in chosen])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
