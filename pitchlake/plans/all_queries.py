@@ -1,7 +1,7 @@
 """All registered queries of the library proper."""
 
-from pitchlake.plans import club_queries, core_queries, data_queries, registry, score_queries
+from pitchlake.plans import club_queries, core_queries, data_queries, registry, score_queries, serving_queries
 
-MODULES = (core_queries, score_queries, club_queries, data_queries)
+MODULES = (core_queries, score_queries, club_queries, data_queries, serving_queries)
 queries = lambda: dict(registry.QUERIES)
 oracles = registry.oracles
