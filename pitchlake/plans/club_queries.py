@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitchlake.operators import clubs, decisions, features, scores, similarity
-from pitchlake.plans.registry import VIEWS, query
+from pitchlake.plans.registry import VIEWS, once, query
 from pitchlake.plans.score_queries import base, confidence_index, drift_of, kpi_of, pathway_of, risk_of, transfer_of, valuation_of
 from pitchlake.sources import driver_views as D
 
@@ -67,11 +67,12 @@ def profiles_of(spark, sf_dir):
     return valued.join(kpi, "player_key").join(D.players(spark, sf_dir).select("player_key", "position"), "player_key").join(F.broadcast(home), "club", "left")
 
 
-def fit_of(spark, sf_dir, top=5):
+@once
+def fit_of(spark, sf_dir):
     n = F.length("position")
     dims = D.clubs(spark, sf_dir).withColumnRenamed("club", "to_club")
     p = profiles_of(spark, sf_dir).drop("club", "market_value", "home_league")
-    fits = clubs.club_fit(p, dims.withColumnRenamed("to_club", "club"), F.when(n % 3 == F.col("ord") % 3, 1.0).otherwise(0.5), (F.col("ord") + n) % 10 / 10.0, top)
+    fits = clubs.club_fit(p, dims.withColumnRenamed("to_club", "club"), F.when(n % 3 == F.col("ord") % 3, 1.0).otherwise(0.5), (F.col("ord") + n) % 10 / 10.0)
     return fits
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pitchlake.sources.shared import cut
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -14,9 +17,35 @@ ORACLES: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
 
 
+#: Tables that the running query has materialized, by name; one dict while a query is being built.
+_SCOPE: list[dict[str, DataFrame]] = []
+
+
+def once(f: Query) -> Query:
+    """A table that a query's plan reads several times: written once per query and read back."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not _SCOPE:
+            return f(spark, sf_dir)
+        if f.__name__ not in _SCOPE[-1]:
+            _SCOPE[-1][f.__name__] = cut(f(spark, sf_dir))
+        return _SCOPE[-1][f.__name__]
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _SCOPE.append({})
+            try:
+                return f(spark, sf_dir)
+            finally:
+                _SCOPE.pop()
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return f

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.operators import features, lookup, scores, timeseries
 from pitchlake.plans.core_queries import AGE, P90, on_date
-from pitchlake.plans.registry import VIEWS, query
+from pitchlake.plans.registry import VIEWS, once, query
 from pitchlake.sources import driver_views as D
 
 #: (ord, key, points): a league's points by what its name contains.
@@ -18,10 +18,16 @@ def league_rules(spark):
     return spark.createDataFrame(LEAGUE_RULES, "ord int, key string, value double")
 
 
+@once
+def stats_of(spark, sf_dir):
+    return D.appearances(spark, sf_dir)
+
+
 def base(spark, sf_dir):
-    return D.appearances(spark, sf_dir), D.players(spark, sf_dir)
+    return stats_of(spark, sf_dir), D.players(spark, sf_dir)
 
 
+@once
 def kpi_of(spark, sf_dir):
     return features.kpi(*base(spark, sf_dir), on_date())
 
@@ -35,6 +41,7 @@ def club_points(spark, sf_dir):
     return D.clubs(spark, sf_dir).select("club", (30.0 + 2 * F.col("ord")).alias("score"))
 
 
+@once
 def valuation_of(spark, sf_dir):
     stats, players = base(spark, sf_dir)
     league = lookup.ordered_lookup(features.mode_value(stats, "competition", "competition"), "competition", league_rules(spark), "points", 0.0).select("player_key", "points")
@@ -42,7 +49,7 @@ def valuation_of(spark, sf_dir):
 
 
 def drift_of(spark, sf_dir):
-    return timeseries.career_drift(D.appearances(spark, sf_dir))
+    return timeseries.career_drift(stats_of(spark, sf_dir))
 
 
 def transfer_of(spark, sf_dir):
@@ -225,7 +232,7 @@ FROM (SELECT *, CASE WHEN age IS NULL OR age = 0 THEN 25 ELSE age END AS a FROM
 
 @query("valuation", "SELECT * FROM v_value")
 def valuation(spark, sf_dir):
-    return valuation_of(spark, sf_dir)
+    return valuation_of.__wrapped__(spark, sf_dir)
 
 
 @query(
