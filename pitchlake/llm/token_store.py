@@ -35,7 +35,7 @@ SEGMENT_BYTES = 256 << 10
 #: The dictionary is trained on so many whole documents of at most so many bytes of text.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICTIONARY_BYTES = 400, 16 << 10, 64 << 10
 #: Pieces of text whose ids a task remembers.
-MEMO = 500_000
+MEMO = 250_000
 
 _SEGMENT = T.StructType(
     [
@@ -140,10 +140,15 @@ class Encoder:
             lines.append((first[head] if head else b"") + b"".join(map(later.__getitem__, rest)))
         return first["\n"].join(lines)
 
+    def forget(self) -> None:
+        for pieces in (self.first, self.later):
+            pieces.clear()
+            pieces.marks.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         if len(self.first) + len(self.later) > MEMO:
-            self.first.clear(), self.later.clear()
+            self.forget()
         return [self.one(t) + self.end for t in texts]
 
 
@@ -228,6 +233,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
                         yield segment()
         if ids:
             yield segment()
+        encoder(tokenizer, end_id).forget()  # the worker may go on to other work
 
     packed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(pack, _SEGMENT)
     packed.write.option("compression", "uncompressed").parquet(f"{path}/segments")
