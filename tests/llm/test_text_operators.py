@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pitchlake.llm import chat, components, decontam, kernel, langid, mixing, quality_mil, secrets, simhash, substring_dedup, syncmers, token_store
+import corpus_pipeline
+from pitchlake.llm import chat, components, decontam, kernel, langid, mixing, quality_mil, secrets, set_dedup, simhash, substring_dedup, syncmers, token_store
 from pitchlake.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, key long, fp long, range long, shard long, copies long"
@@ -247,6 +248,55 @@ def test_simhash_groups_match_brute_force(spark, odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 3, 7, 8, 10, 11}
 
 
+def five_word_sets(texts):
+    words = [[w.encode().translate(bytes(kernel.LOWER)) for w in WORD.findall(t or "")] for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def jaccard_components(rows):
+    """component_id by row: links of equal sets or of similarity 0.8, all pairs compared."""
+    sets, root = five_word_sets([t for _, t in rows]), list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                old, now = root[i], root[j]
+                root = [now if r == old else r for r in root]
+    least = {}
+    for (k, _), r in zip(rows, root, strict=True):
+        least[r] = min(x for x in (least.get(r), k) if x is not None) if k is not None or least.get(r) is not None else None
+    return [least[r] for r in root]
+
+
+def test_near_copies_match_brute_force(spark, odd, none):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(60):
+        text = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(12, 300)))]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(text)))
+            for at in rng.integers(0, len(text), max(1, len(text) // 60)):
+                text[at] = f"new{rng.integers(0, 5000)}"
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, [(i, t, "en", "a") for i, t in rows]), "").collect()}
+    want = jaccard_components(rows)
+    assert got == set(want) and 60 <= len(got) < 200
+    some = [r for r in ODD if r[0] is not None]
+    assert {r.doc_id for r in set_dedup.representatives(table(spark, some)).collect()} == set(jaccard_components([r[:2] for r in some]))
+    assert set_dedup.representatives(odd).columns == odd.columns and set_dedup.representatives(none).count() == 0
+
+
+def test_near_copies_that_miss_their_keys_first_set_are_linked(spark):
+    """A chain of near copies with one far from it: pairs beside the key's smallest set are compared too."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(40):
+        rows.append((k, " ".join(base)))
+        for at in range((k * 13) % 180, (k * 13) % 180 + 20, 4):
+            base[at] = f"n{rng.integers(0, 10**6)}"
+    assert {r.doc_id for r in set_dedup.representatives(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()} == set(jaccard_components(rows))
+
+
 def test_bit_slices_and_tiles(spark):
     rng = np.random.default_rng(5)
     near = []
