@@ -181,20 +181,16 @@ SELECT key, rank::INTEGER AS rank, other, adjusted, round(1.0::DOUBLE - adjusted
 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY adjusted, other) AS rank FROM adj) WHERE rank <= 5""",
 )
 def similar_top5(spark, sf_dir):
-    from pyspark.sql import Window
-
     scaled = similarity.min_max(features_of(spark, sf_dir), FEATURES)
     vector = F.array(*[F.col(c) * F.sqrt(F.lit(w)) for c, w in zip(FEATURES, WEIGHTS, strict=True)])
-    near = similarity.nearest(scaled.select(F.col("player_key").alias("key"), vector.alias("v")), 20)
     about = pathway_of(spark, sf_dir).select("player_key", "trajectory").join(valuation_of(spark, sf_dir).select("player_key", "score"), "player_key")
-    a = about.select(F.col("player_key").alias("key"), F.col("trajectory").alias("ta"), F.col("score").alias("sa"))
-    b = about.select(F.col("player_key").alias("other"), F.col("trajectory").alias("tb"), F.col("score").alias("sb"))
-    t = near.drop("rank").join(a, "key").join(b, "other")
     up = lambda c: F.col(c).isin("ascending", "stable")
     same = F.when(F.col("ta") == F.col("tb"), 1.0).when(up("ta") & up("tb"), 0.7).otherwise(0.3)
-    t = t.withColumn("adjusted", F.round(0.85 * F.col("distance") + 0.15 * (1.0 - same), 6))
+    near = similarity.nearest_adjusted(scaled.select(F.col("player_key").alias("key"), vector.alias("v")), about.select(F.col("player_key").alias("key"), F.col("trajectory").alias("class")), same, 5)
+    a = about.select(F.col("player_key").alias("key"), F.col("score").alias("sa"))
+    b = about.select(F.col("player_key").alias("other"), F.col("trajectory").alias("tb"), F.col("score").alias("sb"))
+    t = near.join(a, "key").join(b, "other")
     comp = F.when((F.col("sb") >= 1.1 * F.col("sa")) | (F.col("tb") == "ascending"), "successful").when((F.col("sb") < 0.7 * F.col("sa")) | (F.col("tb") == "declining"), "failed").otherwise("neutral")
-    t = t.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("adjusted", "other"))).filter("rank <= 5")
     return t.select("key", "rank", "other", "adjusted", F.round(1.0 - F.col("adjusted"), 4).alias("similarity"), comp.alias("comp"))
 
 

@@ -166,6 +166,21 @@ def test_resolution_and_serving(spark):
     assert [r.winner for r in serving.side_by_side(t, "k", 1, 2, ["v"]).collect()] == ["second"]
 
 
+def test_adjusted_neighbours_are_those_of_all_others(spark):
+    """30 nearer players of another class and five a little farther of the same one, which win."""
+    at = {0: 0.0} | {i: 0.01 + i * 0.001 for i in range(1, 31)} | {i: 0.10 + (i - 31) * 0.001 for i in range(31, 36)}
+    kind = {i: "a" if i == 0 or i > 30 else None if i == 7 else "b" for i in at}
+    vectors = spark.createDataFrame([(i, [x]) for i, x in at.items()], "key long, v array<double>")
+    about = spark.createDataFrame(list(kind.items()), "key long, class string")
+    like = F.when(F.col("ta") == F.col("tb"), 1.0).otherwise(0.3)
+    got = {(r.key, r.rank): (r.other, r.adjusted) for r in similarity.nearest_adjusted(vectors, about, like, 5, block_rows=10).collect()}
+    for i in at:
+        same = lambda j, i=i: 1.0 if kind[i] == kind[j] and kind[i] is not None else 0.3
+        want = sorted((round(0.85 * round(abs(at[i] - at[j]), 6) + 0.15 * (1 - same(j)), 6), j) for j in at if j != i)[:5]
+        assert all(abs(got[i, n + 1][1] - d) < 2e-6 for n, (d, _) in enumerate(want))
+    assert {got[0, n][0] for n in range(1, 6)} == set(range(31, 36))
+
+
 def test_models(spark):
     rows = spark.createDataFrame([(i, float(i % 2 * 10 + i * 0.01), 1.0) for i in range(20)], "k long, x double, y double")
     assert len({r.cluster for r in models.k_means(rows, ["x", "y"], 2).filter("k % 2 = 0").collect()}) == 1
