@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pitchlake.sources.shared import cut
 
 
+#: Rounds of PageRank.
+ROUNDS = 60
+
+
 def edges(transfers: DataFrame, prestige: DataFrame) -> DataFrame:
     """(src, dst, w, moves): for each pair of clubs the sum of max(0.1, rise in prestige + 0.2) * ln(1 + fee)."""
     p = F.broadcast(prestige.select("club", "prestige"))
@@ -20,7 +24,7 @@ def edges(transfers: DataFrame, prestige: DataFrame) -> DataFrame:
     return t.select("src", "dst", "moves", F.round("w", 4).alias("w"))
 
 
-def pagerank(edge: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
+def pagerank(edge: DataFrame, rounds: int = ROUNDS, damping: float = 0.85) -> DataFrame:
     """(node, rank) after exactly `rounds` rounds; a node without outgoing weight gives its rank to all.
 
     A round is one join and one sum on the nodes; its ranks are written to shared storage and read

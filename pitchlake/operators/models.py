@@ -67,7 +67,7 @@ def fit_value_model(samples: DataFrame, columns: list[str], trees: int = 300, se
 
 
 def fit_success_model(samples: DataFrame, columns: list[str], trees: int = 200, seed: int = 42) -> PipelineModel:
-    stages = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=3, stepSize=0.05, seed=seed)]
+    stages = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=3, seed=seed)]
     return Pipeline(stages=stages).fit(samples)
 
 

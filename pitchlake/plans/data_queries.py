@@ -273,7 +273,7 @@ def _pagerank_sql() -> str:
 
 @query("pagerank", _pagerank_sql())
 def pagerank(spark, sf_dir):
-    return graph.pagerank(edges_of(spark, sf_dir), _ROUNDS).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(edges_of(spark, sf_dir), graph.ROUNDS).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query("routes")
@@ -314,7 +314,7 @@ _INPUTS = ["age", "score", "prestige", "trajectory"]
 @query("market_value")
 def market_value(spark, sf_dir):
     """Boosted trees over all spells, mixed with the analytic form and the stated value."""
-    model = models.fit_value_model(training_set(spark, sf_dir), _INPUTS, trees=20)
+    model = models.fit_value_model(training_set(spark, sf_dir), _INPUTS)
     t = _analytic(spark, sf_dir).withColumns({"trajectory": F.when(F.col("direction") == "improving", 1.0).when(F.col("direction") == "declining", 0.0).otherwise(0.5), "age": F.col("age").cast("double")})
     t = model.transform(t.fillna({"age": 24.0, "score": 50.0, "prestige": 0.4}))
     predicted = F.pow(F.lit(10.0), F.col("prediction"))
@@ -325,7 +325,7 @@ def market_value(spark, sf_dir):
 def pathway_success(spark, sf_dir):
     """Chance that a spell ends higher than it began, from all spells; the best destination league per player."""
     samples = training_set(spark, sf_dir).withColumn("label", (F.col("trajectory") == 1.0).cast("double")).select("age", "score", "prestige", "label")
-    model = models.fit_success_model(samples, ["age", "score", "prestige"], trees=10)
+    model = models.fit_success_model(samples, ["age", "score", "prestige"])
     leagues = D.leagues(spark, sf_dir).select("league", "ord", F.col("prestige").alias("prestige"))
     rows = valuation_of(spark, sf_dir).select("player_key", F.coalesce(F.col("age").cast("double"), F.lit(24.0)).alias("age"), "score").crossJoin(F.broadcast(leagues))
     scored = models.success(model, rows)
@@ -360,8 +360,9 @@ def kmeans(spark, sf_dir):
 
 @query("cluster_profile", """SELECT label AS cluster, count(*) AS size, """ + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 4) AS d{i}" for i in range(4)) + """, CASE greatest(""" + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 4)" for i in range(4)) + ") " + " ".join(f"WHEN round(avg(embedding[{i + 1}]::DOUBLE), 4) THEN 'd{i}'" for i in range(4)) + " END AS label FROM embeddings GROUP BY embeddings.label")
 def cluster_profile(spark, sf_dir):
-    t = D.table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"d{i}") for i in range(4)])
-    return models.cluster_profile(t, ["d0", "d1", "d2", "d3"])
+    dims = [f"d{i}" for i in range(_DIMS)]
+    t = D.table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(dims)])
+    return models.cluster_profile(t, dims)
 
 
 # --- pages ------------------------------------------------------------------------------------

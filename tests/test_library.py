@@ -181,6 +181,31 @@ def test_adjusted_neighbours_are_those_of_all_others(spark):
     assert {got[0, n][0] for n in range(1, 6)} == set(range(31, 36))
 
 
+def test_registered_jobs_are_whole(spark, monkeypatch):
+    from pitchlake.plans import data_queries
+
+    sf, seen = "/root/testdata/sf0.001", {}
+    assert [c for c in data_queries.cluster_profile(spark, sf).columns if c[1:].isdigit()] == [f"d{i}" for i in range(64)]
+
+    class Caught(Exception):
+        pass
+
+    def fit(self, _):
+        seen[type(self.getStages()[-1]).__name__] = (self.getStages()[-1].getMaxIter(), self.getStages()[-1].getMaxDepth())
+        raise Caught
+
+    monkeypatch.setattr(models.Pipeline, "fit", fit)
+    monkeypatch.setattr(data_queries, "training_set", lambda *_: spark.createDataFrame([(20.0, 50.0, 0.5, 1.0, 6.0)], "age double, score double, prestige double, trajectory double, label double"))
+    monkeypatch.setattr(data_queries, "edges_of", lambda *_: None)
+    monkeypatch.setattr(graph, "pagerank", lambda _, rounds: (_ for _ in ()).throw(Caught(rounds)))
+    for run in (data_queries.market_value, data_queries.pathway_success):
+        with pytest.raises(Caught):
+            run(spark, sf)
+    assert seen == {"GBTRegressor": (300, 4), "GBTClassifier": (200, 4)}
+    with pytest.raises(Caught, match="60"):
+        data_queries.pagerank(spark, sf)
+
+
 def test_models(spark):
     rows = spark.createDataFrame([(i, float(i % 2 * 10 + i * 0.01), 1.0) for i in range(20)], "k long, x double, y double")
     assert len({r.cluster for r in models.k_means(rows, ["x", "y"], 2).filter("k % 2 = 0").collect()}) == 1
