@@ -3,13 +3,15 @@
 A store is a folder with three Parquet tables. `dictionary` has the dictionary, its SHA-256 and
 the tokenizer file's SHA-256. `segments` has, in order of document id, runs of frames: the bytes
 of the frames one behind the other, and an index with each document's id, the end of its frame,
-its number of ids and the run's first token within its partition. `parts` has the tokens of each
+its number of ids, the run's first token within its partition and its smallest and largest id, by
+which a reader of one document skips files and row groups. `parts` has the tokens of each
 partition. Spark's writers commit the files, so a lost executor's tasks simply run again; a
 short document is read from its segment's slice alone.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -17,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +29,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitchlake.llm import kernel
 from pitchlake.llm.shared import shared_dir
 
 END_ID = 0
 LEVEL = 1
 #: Compressed bytes after which a segment ends.
 SEGMENT_BYTES = 256 << 10
-#: The dictionary is trained on so many whole documents of at most so many bytes of text.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICTIONARY_BYTES = 400, 16 << 10, 64 << 10
-#: Pieces of text whose ids a task remembers.
-MEMO = 250_000
+#: The dictionary is trained on so many texts, of each so many code points in a row, and has at most so many bytes.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 16 << 10, 64 << 10
+#: Pieces of text whose ids a worker remembers, at most, and the bytes of such a piece; beyond, the newer half of that number stays.
+MEMO, MEMO_BYTES = 400_000, 64
+#: Bytes of text that are encoded at once, or one text.
+CHUNK_BYTES = 4 << 20
 
 _SEGMENT = T.StructType(
     [
         T.StructField("part", T.IntegerType()),
         T.StructField("seq", T.IntegerType()),
         T.StructField("first_token", T.LongType()),
+        T.StructField("least_id", T.LongType()),
+        T.StructField("most_id", T.LongType()),
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
         T.StructField("ends", T.ArrayType(T.LongType())),
         T.StructField("n_tokens", T.ArrayType(T.LongType())),
@@ -50,71 +58,65 @@ _SEGMENT = T.StructType(
     ]
 )
 
-#: White space beside white space, or other than space and line feed: no piece ends there.
-_UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]")
-#: The same for ASCII texts, as strings to look for.
-_UNEVEN_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")
-#: A space between two characters that surely are no white space: a token always begins here.
-_SURE = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
-#: Latin letters, a space before them or not, and ASCII punctuation behind them: two tokens of the pattern at most.
-_WORD = re.compile(" ?([A-Za-zÀ-ÖØ-öø-\u024F]+)([!-/:-@\\[-`{-~]*)\\Z")
+#: Bytes that are whole visible characters, and lead bytes of 2, 3 and 4 byte characters that surely are no white space.
+_VISIBLE, _TWO, _THREE, _FOUR = (np.isin(np.arange(256), list(r)) for r in (range(33, 127), range(0xC3, 0xE0), range(0xE4, 0xF0), range(0xF0, 0xF5)))
+_MARK = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+#: One token of the pattern: Latin letters (but for the two signs among them), a space before them or not; or ASCII punctuation.
+_ONE = re.compile(rb"(?: ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+|[!-/:-@\[-`{-~]+)")
+_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary()]
 
 
-class Pieces(dict):
-    """The ids of pieces of text, each asked of the library when it is first looked up.
+def piece_starts(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Where texts may be cut so that their pieces' ids in a row are the texts' ids.
 
-    before: what stands before each piece, a space or nothing.
+    A byte-level BPE tokenizer's pattern ends a token before a single space that stands between two
+    characters other than white space, around such a line feed, and between a letter and ASCII
+    punctuation. Texts with a special token's string are not cut.
     """
-
-    def __init__(self, library, before: str):
-        super().__init__()
-        self.before, self.ask, self.encode = before, library.model.tokenize, library.encode
-        # Byte-level models write each byte as a character: printable ones as they are, the others from 256 on.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.shown = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.shown_before = "".join(self.shown[ord(c)] for c in before)
-        self.packed = struct.Struct("<I").pack
-        self.marks: dict[str, bytes] = {}
-
-    def token(self, x: str) -> bytes:
-        """The ids of what is one token of the pattern: the library's model alone is asked."""
-        shown = x.replace(" ", "\u0120") if x.isascii() else x.encode().decode("latin-1").translate(self.shown)
-        pack = self.packed
-        return b"".join([pack(t.id) for t in self.ask(shown)])
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            pack = self.packed
-            ids = self[piece] = b"".join([pack(t.id) for t in self.ask(self.shown_before + piece)])
-            return ids
-        x = self.before + piece
-        found = _WORD.match(x)
-        if found and found[2]:
-            behind = found[2]
-            if behind not in self.marks:
-                self.marks[behind] = self.token(behind)
-            ids = self[piece[: -len(behind)]] + self.marks[behind]
-        elif found:
-            ids = self.token(x)
-        else:
-            ids = np.array(self.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        self[piece] = ids
-        return ids
+    n = len(data)
+    tail = (data & 0xC0) == 0x80
+    begins = _VISIBLE[data] | _TWO[data] | _THREE[data] | _FOUR[data]
+    ends = _VISIBLE[data]
+    ends[1:] |= tail[1:] & _TWO[data[:-1]]
+    ends[2:] |= tail[2:] & _THREE[data[:-2]]
+    ends[3:] |= tail[3:] & _FOUR[data[:-3]]
+    head = np.zeros(n + 1, bool)
+    head[offsets] = True
+    at = np.flatnonzero(((data[1:-1] == 32) | (data[1:-1] == 10)) & ends[:-2] & begins[2:]) + 1 if n > 2 else np.zeros(0, np.int64)
+    at = at[~head[at] & ~head[at + 1]]
+    # A letter: an ASCII one, or two bytes from U+00C0 to U+024F but for the signs of times and division.
+    letter = _LETTER[data]
+    letter[1:] |= tail[1:] & ((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))))
+    behind = np.flatnonzero(_MARK[data[1:]] & letter[:-1]) + 1
+    at = np.concatenate([at, behind[~head[behind]]])
+    if special:
+        plain, whole = data.tobytes(), set()
+        for s in special:
+            k = plain.find(s)
+            while k >= 0:
+                whole.add(int(np.searchsorted(offsets, k, "right")) - 1)
+                k = plain.find(s, k + 1)
+        for text in whole:
+            at = at[(at < offsets[text]) | (at >= offsets[text + 1])]
+    head[at] = True
+    head[at[data[at] == 10] + 1] = True
+    head[n] = False
+    return np.flatnonzero(head)
 
 
 class Encoder:
     """Encodes texts as the tokenizers library does, remembering the ids of pieces.
 
-    A byte-level BPE tokenizer's pattern ends a token before a single space that stands between
-    two other characters, and around a single line feed. Texts are cut there, each distinct
-    piece goes through the library once, and a text's ids are those of its pieces in a row.
-    Tokenizers of other kinds, and texts with a special token's string, go through it whole.
+    Texts are cut by piece_starts(), each distinct piece of a chunk of texts is looked up once and,
+    if it is new, goes through the library. Tokenizers of other kinds take texts whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.ask = self.library.model.tokenize
         self.end = np.array([end_id], "<u4").tobytes()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -122,34 +124,49 @@ class Encoder:
         self.by_piece = (
             before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
         )
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first, self.later = Pieces(self.library, ""), Pieces(self.library, " ")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def one(self, text: str) -> bytes:
-        if not self.by_piece or any(s in text for s in self.special):
-            return self.whole(text)
-        first, later = self.first, self.later
-        if any(s in text for s in _UNEVEN_ASCII) if text.isascii() else _UNEVEN.search(text):
-            return b"".join(map(first.__getitem__, _SURE.split(text)))
-        lines = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append((first[head] if head else b"") + b"".join(map(later.__getitem__, rest)))
-        return first["\n"].join(lines)
-
-    def forget(self) -> None:
-        for pieces in (self.first, self.later):
-            pieces.clear()
-            pieces.marks.clear()
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if t.content]
+        # Byte-level models write each byte as a character: printable ones as they are, the others from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.shown = "".join(other.get(b, chr(b)) for b in range(256))
+        self.memo: dict[bytes, bytes] = {}
+
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece; those of short ones are remembered."""
+        ask, shown, memo, out = self.ask, self.shown, self.memo, []
+        for piece, ids in zip(pieces, map(memo.get, pieces), strict=True):
+            if ids is None:
+                if _ONE.fullmatch(piece):  # the library's model alone is asked
+                    found = [t.id for t in ask(codecs.charmap_decode(piece, "strict", shown)[0])]
+                else:
+                    found = self.library.encode(piece.decode(), add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(found)}I", *found)
+                if len(piece) <= MEMO_BYTES:
+                    memo[piece] = ids
+            out.append(ids)
+        return out
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        for _, data, offsets in kernel.chunks(texts, CHUNK_BYTES):
+            starts = piece_starts(data, offsets, self.special) if self.by_piece else np.unique(offsets[:-1][np.diff(offsets) > 0])
+            bounds = np.append(starts, len(data)).astype(np.int32)
+            cut = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+            found = self.learn(cut.dictionary.to_numpy(zero_copy_only=False).tolist())
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            flat, low = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+            own = cut.indices.to_numpy()
+            n = size[own]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(low[own] - upto[:-1], n) + np.arange(upto[-1])] if len(own) else flat
+            edges = upto[np.searchsorted(starts, offsets)].tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield ids[a:b].tobytes() + self.end
+            if len(self.memo) > MEMO:
+                self.memo = dict(islice(self.memo.items(), len(self.memo) - MEMO // 2, None))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) > MEMO:
-            self.forget()
-        return [self.one(t) + self.end for t in texts]
+        return list(self.column(pa.array(texts, pa.string())))
 
 
 @lru_cache(maxsize=2)
@@ -157,34 +174,24 @@ def encoder(path: str, end_id: int = END_ID) -> Encoder:
     return Encoder(path, end_id)
 
 
-def _groups(column: pa.Array, most: int = 2 << 20) -> Iterator[list[str]]:
-    group, size = [], 0
-    for value in column:
-        text = value.as_py() or ""
-        group.append(text)
-        size += len(text)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> bytes:
-    """A zstandard dictionary from the id arrays of SAMPLE_DOCS documents, chosen by hash of their text.
+    """A dictionary from the id arrays of SAMPLE_DOCS different texts, those with the smallest hashes.
 
-    Only texts of at most SAMPLE_DOC_BYTES are chosen from, so what the driver gets is bounded.
-    Too few of them for training: the empty dictionary, and frames do without.
+    Of a longer text a slice of SAMPLE_CHARS code points counts, at a place that its hash decides, so
+    that what the driver gets is bounded. Where zstandard cannot train on so few samples, the
+    arrays themselves, one behind the other, are the dictionary's content.
     """
-    fit = docs.filter(F.octet_length("text").between(1, SAMPLE_DOC_BYTES)).select("text", F.xxhash64("text").alias("h"))
+    hashed = docs.filter(F.octet_length("text") > 0).select("text", F.xxhash64("text").alias("h"))
     # First the hashes alone, so that no task sends texts that are not chosen.
-    last = [r[0] for r in fit.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()]
-    chosen = fit.filter(F.col("h") <= last[-1]).dropDuplicates(["h"]).orderBy("h").select("text").collect() if last else []
-    samples = encoder(tokenizer, end_id).encode([r[0] for r in chosen])
+    last = [r[0] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).collect()]
+    place = F.pmod("h", F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    chosen = hashed.filter(F.col("h") <= last[-1]).select("h", F.col("text").substr(place, F.lit(SAMPLE_CHARS)).alias("slice")).groupBy("h").agg(F.min("slice").alias("slice")).orderBy("h").collect() if last else []
+    samples = encoder(tokenizer, end_id).encode([r["slice"] for r in chosen])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (zstandard.ZstdError, ValueError):
+        content = b"".join(samples) or np.array([end_id] * 4, "<u4").tobytes()
+        return content[-DICTIONARY_BYTES:]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -202,9 +209,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
     sent = spark.sparkContext.broadcast(dictionary)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end_id).encode
-        shared = zstandard.ZstdCompressionDict(sent.value) if sent.value else None
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress
+        column = encoder(tokenizer, end_id).column
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(sent.value)).compress
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         frames: list[bytes] = []
@@ -213,27 +219,23 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
 
         def segment() -> pa.RecordBatch:
             nonlocal seq, first, size
-            columns = [[part], [seq], [first], [ids[:]], [np.cumsum([len(f) for f in frames]).tolist()], [counts[:]], [digest], [b"".join(frames)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary()]
-            out = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_SEGMENT.names)
+            named = [i for i in ids if i is not None]
+            columns = [part, seq, first, min(named, default=None), max(named, default=None), ids[:], np.cumsum([len(f) for f in frames]).tolist(), counts[:], digest, b"".join(frames)]
+            out = pa.record_batch([pa.array([c], t) for c, t in zip(columns, _ARROW, strict=True)], names=_SEGMENT.names)
             seq, first, size = seq + 1, first + sum(counts), 0
             ids.clear(), frames.clear(), counts.clear()
             return out
 
         for batch in batches:
-            own, at = batch.column(0).to_pylist(), 0
-            for group in _groups(batch.column(1)):
-                for blob in encode(group):
-                    frames.append(press(blob))
-                    counts.append(len(blob) // 4)
-                    ids.append(own[at])
-                    at += 1
-                    size += len(frames[-1])
-                    if size >= SEGMENT_BYTES:
-                        yield segment()
+            for doc_id, blob in zip(batch.column(0).to_pylist(), column(batch.column(1)), strict=True):
+                frames.append(press(blob))
+                counts.append(len(blob) // 4)
+                ids.append(doc_id)
+                size += len(frames[-1])
+                if size >= SEGMENT_BYTES:
+                    yield segment()
         if ids:
             yield segment()
-        encoder(tokenizer, end_id).forget()  # the worker may go on to other work
 
     packed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(pack, _SEGMENT)
     packed.write.option("compression", "uncompressed").parquet(f"{path}/segments")
@@ -271,11 +273,10 @@ def read(spark: SparkSession, path: str, only: int | None = None, with_ids: bool
     sent = spark.sparkContext.broadcast(dictionary)
     segments = spark.read.schema(_SEGMENT).parquet(f"{path}/segments")
     if only is not None:
-        segments = segments.filter(F.array_contains("doc_ids", F.lit(only)))
+        segments = segments.filter((F.col("least_id") <= only) & (F.col("most_id") >= only) & F.array_contains("doc_ids", F.lit(only)))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = zstandard.ZstdCompressionDict(sent.value) if sent.value else None
-        open_frame = zstandard.ZstdDecompressor(dict_data=shared).decompress
+        open_frame = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(sent.value)).decompress
         for batch in batches:
             parts = batch.column(batch.schema.names.index("part"))
             for k, (start, ids, ends, frames, counts) in enumerate(_frames(digest, sent.value, batch)):

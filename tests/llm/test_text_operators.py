@@ -498,3 +498,37 @@ def test_dictionary_and_damage(spark, tmp_path):
     assert len(head.dictionary) > 0 and head.dict_sha256 == hashlib.sha256(bytes(head.dictionary)).hexdigest()
     assert {r.dict_sha256 for r in spark.read.parquet(f"{path}/segments").collect()} == {head.dict_sha256}
     assert token_store.read(spark, path).count() == 300
+
+
+def test_pieces_give_the_librarys_ids_for_random_and_given_texts(spark):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer_file()), token_store.Encoder(tokenizer_file())
+    rng = np.random.default_rng(11)
+    parts = ["a", "b", " ", "  ", "\n", "\n\n", "\t", "é", "ß", "×", "÷", "Ω", "日", "\u3000", "\u2003", "\u0085", "🙂", "'s", "'", "!", "12", "ª", "\ufeff", "\x1c", "\r\n", "<|endoftext|>", "<|", "\u00a0", "\u0301", "Ж", "٣"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(4000)]
+    texts += [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
+
+
+def test_memo_is_bounded_and_forgetting_changes_nothing(monkeypatch):
+    own = token_store.Encoder(tokenizer_file())
+    texts = [" ".join(f"word{i}x" for i in range(k, k + 300)) for k in range(0, 3000, 300)]
+    want = own.encode(texts)
+    monkeypatch.setattr(token_store, "MEMO", 50)
+    monkeypatch.setattr(token_store, "CHUNK_BYTES", 1000)
+    small = token_store.Encoder(tokenizer_file())
+    assert small.encode(texts) == want and len(small.memo) <= 50
+
+
+def test_dictionary_is_never_empty(spark, none, tmp_path):
+    for k, rows in enumerate(([], [(1, None, None, None), (2, "", None, None)], [(1, "one", "en", "a")], [(1, LONG, "en", "a"), (2, LONG, "en", "a")])):
+        path = f"file://{tmp_path}/few{k}"
+        token_store.write(table(spark, rows), path, tokenizer_file())
+        head = spark.read.parquet(f"{path}/dictionary").head()
+        assert 0 < len(head.dictionary) <= token_store.DICTIONARY_BYTES
+        assert token_store.read(spark, path).count() == len(rows)
+    copies = [(i, BASE, "en", "a") for i in range(500)] + [(1000 + i, f"{BASE} {i} {i * 7} more words", "en", "a") for i in range(200)]
+    trained = token_store.train_dictionary(table(spark, copies), tokenizer_file())
+    assert trained == token_store.train_dictionary(table(spark, copies[499:]), tokenizer_file())  # copies do not fill the sample
