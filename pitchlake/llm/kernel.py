@@ -12,11 +12,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = (1 << 20) - 64
 _MASK = (1 << 64) - 1
-#: Odd multipliers of the two independent polynomial hashes.
-_P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd multipliers by which the hashes of a run's words are put together.
 _Q = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 #: True for the bytes of words: neither space nor TAB, LF, VT, FF, CR.
@@ -94,15 +94,28 @@ def _powers_for(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(base, size)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from prefix sums of a polynomial."""
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit hashes of each word's bytes, the halves of its XXH3-128: an array of two rows.
+
+    Each distinct word of the chunk is hashed once.
+    """
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        up, down = _powers_for(_P[which], len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return np.zeros((2, 0), np.uint64)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    plain = np.ascontiguousarray(data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)])
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+    kind, width = (pa.binary(), np.int32) if bounds[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    words = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(bounds.astype(width)), pa.py_buffer(plain)]).dictionary_encode()
+    distinct = words.dictionary.to_numpy(zero_copy_only=False)
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(digests[words.indices.to_numpy()].T)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    return word_digests(data, starts, ends)[0]
 
 
 def run_hashes(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
@@ -116,6 +129,15 @@ def run_hashes(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
         return mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
 
 
+def exact_runs(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n values of h from each of the positions `at` on, mixed value by value."""
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(at), np.uint64)
+        for j in range(n):
+            out = mix(out * np.uint64(_Q[1]) + h[at + j])
+        return out
+
+
 def in_texts(first_word: np.ndarray, n: int) -> np.ndarray:
     """For the runs of n words over all texts in a row: True where a run stays in one text."""
     total = int(first_word[-1])

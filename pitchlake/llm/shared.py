@@ -15,24 +15,48 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, notebooks) one is made and set.
+    Only in local mode (tests, notebooks), where that setting is absent, one is made and set; on a
+    cluster a folder of one machine would be read by nobody else, so its absence is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="pitchlake-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="pitchlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pitchlake-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _hadoop(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote."""
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
+
+
+def cut_at(df: DataFrame, parts: int | None = None, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """cut(), and the folder, for those who remove() it when all that reads it is written."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    (df if parts is None else df.coalesce(parts)).write.option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, parts: int | None = None, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
     This ends the lineage: if an executor is lost later, what was written stays.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    (df if parts is None else df.coalesce(parts)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut_at(df, parts, compression)[0]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,24 @@
 """Exact substring dedup over a log-structured fingerprint index.
 
-A window is WINDOW words in a row. Its key is the smallest hash among its runs of KEY_WORDS
-words, so that equal windows have equal keys while a text has far fewer keys than windows. The
-index holds, by hash bucket and shard of documents, sorted runs of keys; runs are never changed.
-Each new batch's keys are merged with the runs' keys to find those that two documents share,
-then stored as a run of their own, and runs are compacted when there are FAN of them. What
-shares a key is verified window by window, by hashes of all WINDOW words that are made from the
-texts anew and independently of the keys.
-
-A shard is a range of document ids, small enough for one task, and shards are numbered by id:
-of the shards that have a window, the first has its smallest document. Between tasks go keys
-and window hashes, at most one of each for a shard; never a row for each document that has them,
-so that a passage in a third of all documents is not a large group anywhere.
+A window is WINDOW words in a row. Its fingerprint, or key, is the smallest hash among its runs of
+KEY_WORDS words, so that equal windows have equal keys while a text has far fewer keys than
+windows. The index is a folder: sorted runs of keys by hash bucket and shard of documents, which
+are never changed; the texts of each batch; a manifest. Each new batch's keys are merged with the
+runs' keys to find those that two documents share, then kept as a run of their own, and runs are
+compacted when there are FAN of them. What shares a key is verified window by window, by 128-bit
+hashes of all WINDOW words that are made from the texts anew. An index can be opened again later
+and given the next batch; only texts of shards that share keys with it are then read again.
+
+A shard is a range of document ids of about SHARD_BYTES, and shards are numbered by id: of the
+shards that have a window, the first has its smallest document. Between tasks go keys and window
+hashes, at most one of each for a shard, and shards meet in a tree of at most NODE at a time, so
+that a passage in a third of all documents is not a large group anywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,32 +28,43 @@ from pyspark.sql import types as T
 
 from pitchlake.llm import kernel
 from pitchlake.llm.ranges import ranged
-from pitchlake.llm.shared import shared_dir
+from pitchlake.llm.shared import cut, exists, remove, shared_dir
 
 WINDOW, KEY_WORDS = 13, 4
-#: Documents of a shard, about; bytes of text for each hash bucket; runs before they are compacted; batches.
-SHARD_ROWS, BUCKET_BYTES, FAN, BATCHES = 4000, 32 << 20, 3, 3
-
-_RUN = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("hashes", T.BinaryType())])
-_REPLY = T.StructType([T.StructField("shard", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("hashes", T.BinaryType())])
+#: Text of a shard, about; shards, or nodes of shards, that meet at once; runs before they are compacted; batches.
+SHARD_BYTES, NODE, FAN, BATCHES = 4 << 20, 1024, 3, 4
+#: Bits of a hash that make the bucket of a shard's keys and of its verified windows.
+KEY_BITS, FULL_BITS = 6, 8
+
+_ROW = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("hashes", T.BinaryType())])
+_MANIFEST = "version long, bits int, shards long, runs array<string>, texts array<string>"
+_TEXTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("shard", T.LongType())])
 _RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
+#: kind of rows: keys of batches before, keys of the batch, shared keys, verified windows, windows that an earlier shard has.
+OLD, NEW, SHARED, FULL, EARLIER = range(5)
 _MANY = np.uint64(1)
 
 
 def window_keys(h: np.ndarray) -> np.ndarray:
-    """For each window over the word hashes h: the smallest hash of its runs of KEY_WORDS words; the lowest bit is free."""
-    g = kernel.run_hashes(h, KEY_WORDS) & ~_MANY
+    """For each window over the word hashes h: the smallest hash of its runs of KEY_WORDS words, mixed again; the lowest bit is free."""
+    g = kernel.run_hashes(h, KEY_WORDS)
     need, have = WINDOW - KEY_WORDS + 1, 1
     if len(g) < need:
         return np.zeros(0, np.uint64)
     while 2 * have <= need:
         g, have = np.minimum(g[:-have], g[have:]), 2 * have
-    return np.minimum(g[: len(g) - (need - have)], g[need - have :]) if need > have else g
-
-
-def _changes(x: np.ndarray) -> np.ndarray:
-    out = np.ones(len(x), bool)
-    out[1:] = x[1:] != x[:-1]
+    g = np.minimum(g[: len(g) - (need - have)], g[need - have :]) if need > have else g
+    # The smallest of ten has small leading bits, which the bucket is made of.
+    with np.errstate(over="ignore"):
+        return kernel.mix(g) & ~_MANY
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of the columns differs from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
     return out
 
 
@@ -66,27 +78,117 @@ def _known(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return hit[np.cumsum(new) - 1]
 
 
-def _dealt(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """A sorted array by the top bits of its values."""
-    top = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-    cut = np.flatnonzero(np.diff(top)) + 1
-    for a, b in zip(np.append(0, cut), np.append(cut, len(top)), strict=True):
-        if b > a:
-            yield int(top[a]), hashes[a:b]
+def _cuts(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of each run of equal values."""
+    edges = np.append(np.flatnonzero(_changes(x)), len(x))
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
 
+def _dealt(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Ascending hashes (64 bits, or rows of two) by the top bits of their first value."""
+    first = hashes if hashes.ndim == 1 else hashes[:, 0]
+    top = (first >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(first), np.int64)
+    for a, b in _cuts(top):
+        yield int(top[a]), hashes[a:b].tobytes()
 
-def _merged(blobs: list[bytes]) -> np.ndarray:
-    return np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) if blobs else np.zeros(0, np.uint64)
 
+def _wide(blobs: list[np.ndarray]) -> np.ndarray:
+    """Rows of two 64-bit values from blobs of them."""
+    return np.concatenate(blobs).reshape(-1, 2) if blobs else np.zeros((0, 2), np.uint64)
 
-def _run_batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.BinaryType(): pa.binary(), T.StringType(): pa.string()}
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
     return pa.record_batch([pa.array(c, kinds[f.dataType]) for c, f in zip(columns, schema, strict=True)], names=schema.names)
 
 
+def _table(rows: list[tuple], schema: T.StructType = _ROW) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows, schema)])
+
+
+def _parts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(shard, kind, hashes) of the rows of a table of _ROW."""
+    return table.column("shard").to_numpy(), table.column("kind").to_numpy(), [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("hashes")]
+
+
+def _of_kind(table: pa.Table, kind: int) -> list[np.ndarray]:
+    return [b for k, b in zip(*_parts(table)[1:], strict=True) if k == kind]
+
+
+def tree(rows: DataFrame, shards: int, bits: int, up: Callable, top: Callable, down: Callable, node: int | None = None) -> DataFrame:
+    """Brings together what shards say about a hash and gives each shard an answer, NODE shards at a time.
+
+    up(bits) merges a table of rows of one bucket and of up to NODE shards into rows of one node, in
+    buckets of `bits` bits; top answers to all shards of a bucket; down answers to the shards of a node,
+    given the answer to the node. No group has more than NODE rows of a hash.
+    """
+    node = node or NODE
+    if shards <= node:
+        return rows.groupBy("bucket").applyInArrow(top, _ROW)
+    rows = rows.withColumn("node", F.floor(F.col("shard") / node))
+    nodes = -(-shards // node)
+    finer = min(node, nodes).bit_length()
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        return _table([(bucket, key[1].as_py(), kind, blob) for kind, hashes in up(table) for bucket, blob in _dealt(hashes, bits + finer)])
+
+    def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return down(left.drop_columns(["node"]), right.drop_columns(["own"])) if left.num_rows else _table([])
+
+    upper = cut(rows.groupBy("bucket", "node").applyInArrow(merge, _ROW))
+    answers = tree(upper, nodes, bits + finer, up, top, down, node).withColumn("own", F.shiftright("bucket", finer))
+    return rows.groupBy("bucket", "node").cogroup(answers.groupBy("own", "shard")).applyInArrow(answer, _ROW)
+
+
+# --- keys that two documents share ------------------------------------------------------------
+
+
+def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, shard, whether two rows of the shard have it, whether the shard is new), by key."""
+    shard, kind, blobs = _parts(table)
+    keys = np.concatenate(blobs)
+    of = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
+    order = np.argsort(keys & ~_MANY, kind="stable")
+    keys, of = keys[order], of[order]
+    return keys & ~_MANY, shard[of], (keys & _MANY).astype(bool), (kind == NEW)[of]
+
+
+def _to_shards(keys: np.ndarray, of: np.ndarray, bucket: int, kind: int) -> pa.Table:
+    order = np.argsort(of, kind="stable")
+    keys, of = keys[order], of[order]
+    return _table([(bucket, int(of[a]), kind, keys[a:b].tobytes()) for a, b in _cuts(of)])
+
+
+def _shared_up(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    keys, _, many, new = _keys(table)
+    first = np.flatnonzero(_changes(keys))
+    if len(first):
+        many = np.logical_or.reduceat(many, first) | (np.diff(np.append(first, len(keys))) > 1)
+        new = np.logical_or.reduceat(new, first)
+        keys = keys[first] | many.astype(np.uint64)
+        yield from ((NEW, keys[new]), (OLD, keys[~new]))
+
+
+def _shared_top(table: pa.Table) -> pa.Table:
+    keys, of, many, new = _keys(table)
+    first = np.flatnonzero(_changes(keys))
+    if not len(first):
+        return _table([])
+    size = np.diff(np.append(first, len(keys)))
+    hit = np.repeat(((size > 1) | np.logical_or.reduceat(many, first)) & np.logical_or.reduceat(new, first), size)
+    return _to_shards(keys[hit], of[hit], table.column("bucket")[0].as_py(), SHARED)
+
+
+def _shared_down(table: pa.Table, answer: pa.Table) -> pa.Table:
+    keys, of, _, _ = _keys(table)
+    shared = _of_kind(answer, SHARED) if answer.num_rows else []
+    hit = _known(keys, np.unique(np.concatenate(shared))) if shared else np.zeros(len(keys), bool)
+    return _to_shards(keys[hit], of[hit], table.column("bucket")[0].as_py(), SHARED)
+
+
 def keys_of(docs: DataFrame, bits: int) -> DataFrame:
-    """(shard, text) -> run rows: for each shard, the keys of its windows, sorted and by bucket.
+    """(shard, text) -> rows of kind NEW: for each shard, the keys of its windows, ascending and by bucket.
 
     A key's lowest bit says that two rows of the shard have it.
     """
@@ -103,11 +205,12 @@ def keys_of(docs: DataFrame, bits: int) -> DataFrame:
                 keys = window_keys(kernel.word_hashes(data, starts, ends))
                 at = np.flatnonzero(kernel.in_texts(first, WINDOW))
                 doc = np.searchsorted(first, at, "right") - 1
-                pick = _changes(keys[at]) | _changes(doc)
-                keys, doc = keys[at][pick], doc[pick]
+                keys = keys[at]
+                pick = _changes(keys, doc)
+                keys, doc = keys[pick], doc[pick]
                 order = np.lexsort((doc, keys))
                 keys, doc = keys[order], doc[order]
-                one = _changes(keys) | _changes(doc)
+                one = _changes(keys, doc)
                 keys, of = keys[one], own[a + doc[one]]
                 for s in np.unique(of):
                     found.setdefault(int(s), []).append(keys[of == s])
@@ -116,153 +219,175 @@ def keys_of(docs: DataFrame, bits: int) -> DataFrame:
                 keys = np.sort(np.concatenate(lists))
                 new = _changes(keys)
                 keys = keys[new] | (np.diff(np.append(np.flatnonzero(new), len(new))) > 1).astype(np.uint64)
-                rows += [(bucket, s, part.tobytes()) for bucket, part in _dealt(keys, bits)]
-            yield _run_batch(rows, _RUN)
-
-    return docs.filter("shard >= 0").select("shard", "text").mapInArrow(run, _RUN)
+                rows += [(bucket, s, NEW, part) for bucket, part in _dealt(keys, bits)]
+            yield _batch(rows, _ROW)
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return docs.filter("shard >= 0").select("shard", "text").mapInArrow(run, _ROW)
 
 
 class Index:
-    """Sorted runs of window keys in a shared folder, added to batch by batch."""
+    """Sorted runs of window keys, the texts they come from and a manifest, in a shared folder."""
 
-    def __init__(self, spark: SparkSession, bits: int, path: str | None = None, fan: int = FAN):
-        self.spark, self.bits, self.fan = spark, bits, fan
+    def __init__(self, spark: SparkSession, path: str | None = None, bits: int = KEY_BITS, fan: int = FAN):
+        """Opens the index at path, or begins one there (in a new folder, if none is given)."""
+        self.spark, self.fan = spark, fan
         self.path = path or shared_dir(spark)
-        self.runs: list[str] = []
-        self.made = 0
-
-    def _store(self, rows: DataFrame) -> str:
-        self.made += 1
-        path = f"{self.path}/run-{self.made}"
+        self.version, self.bits, self.shards, self.runs, self.texts = 0, bits, 0, [], []
+        if exists(spark, f"{self.path}/manifest"):
+            last = spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest").orderBy(F.col("version").desc()).head()
+            self.version, self.bits, self.shards, self.runs, self.texts = last["version"], last["bits"], last["shards"], list(last["runs"]), list(last["texts"])
+
+    def _commit(self) -> None:
+        """A new line of the manifest; what it does not name is no part of the index."""
+        self.version += 1
+        row = [(self.version, self.bits, self.shards, self.runs, self.texts)]
+        self.spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _store(self, rows: DataFrame, name: str) -> str:
+        path = f"{self.path}/{name}-{self.version}-{len(self.runs)}"
+        if exists(self.spark, path):  # left behind by a writer that did not reach its commit
+            remove(self.spark, path)
         rows.repartition("bucket").sortWithinPartitions("bucket", "shard").write.option("compression", "uncompressed").parquet(path)
         return path
 
     def read(self, runs: list[str]) -> DataFrame:
-        return self.spark.read.schema(_RUN).parquet(*runs)
+        return self.spark.read.schema(_ROW).parquet(*runs)
+
+    def read_texts(self) -> DataFrame:
+        """(doc_id, text, shard) of all that was added."""
+        return self.spark.read.schema(_TEXTS).parquet(*self.texts) if self.texts else self.spark.createDataFrame([], _TEXTS)
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Stores the keys of docs (shard, text) as a run; returns (shard, kind 0, hashes) of shared keys.
+        """Adds docs (doc_id, text, shard; shards from self.shards on, below 0: not compared); see add_held()."""
+        held = f"{self.path}/texts-{self.version}"
+        docs.select("doc_id", "text", "shard").write.mode("overwrite").option("compression", "zstd").parquet(held)
+        return self.add_held(held)
 
-        Only keys that the batch has count, but all shards that share them are named, those of
-        former batches too. A shard may come with the same key in more than one row.
+    def add_held(self, held: str) -> DataFrame:
+        """Adds the documents written at `held` as a run.
+
+        Returns rows of kind SHARED: by shard, the keys that a document of the batch shares with
+        another document. All shards that share them are named, those of former batches too.
         """
-        new = self._store(keys_of(docs, self.bits))
-        met = self.read([new]).withColumn("new", F.lit(True))
+        batch = self.spark.read.schema(_TEXTS).parquet(held)
+        new = self._store(keys_of(batch, self.bits), "run")
+        met = self.read([new])
         if self.runs:
-            met = met.unionByName(self.read(self.runs).withColumn("new", F.lit(False)))
-
-        def share(table: pa.Table) -> pa.Table:
-            shard, new = table.column("shard").to_numpy(), table.column("new").to_numpy()
-            blobs = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("hashes")]
-            keys = np.concatenate(blobs)
-            of = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
-            many, keys = (keys & _MANY).astype(bool), keys & ~_MANY
-            order = np.argsort(keys, kind="stable")
-            keys, of, many = keys[order], of[order], many[order]
-            first = np.flatnonzero(_changes(keys)) if len(keys) else np.zeros(0, np.int64)
-            rows = []
-            if len(first):
-                size = np.diff(np.append(first, len(keys)))
-                shared = ((size > 1) | np.logical_or.reduceat(many, first)) & np.logical_or.reduceat(new[of], first)
-                hit = np.repeat(shared, size)
-                keys, of = keys[hit], shard[of[hit]]
-                order = np.argsort(of, kind="stable")
-                keys, of = keys[order], of[order]
-                cut = np.flatnonzero(np.diff(of)) + 1
-                rows = [(int(of[a]), 0, keys[a:b].tobytes()) for a, b in zip(np.append(0, cut), np.append(cut, len(of)), strict=True) if b > a]
-            return pa.Table.from_batches([_run_batch(rows, _REPLY)])
-
-        path = f"{self.path}/shared-{self.made}"
-        met.groupBy("bucket").applyInArrow(share, _REPLY).write.option("compression", "uncompressed").parquet(path)
-        self.runs.append(new)
+            met = met.unionByName(self.read(self.runs).withColumn("kind", F.lit(OLD)))
+        shards = max(self.shards, batch.agg(F.coalesce(F.max("shard"), F.lit(-1))).head()[0] + 1)
+        path = f"{self.path}/shared-{self.version}"
+        tree(met, shards, self.bits, _shared_up, _shared_top, _shared_down).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
+        old, self.shards, self.texts = self.runs, shards, [*self.texts, held]
+        self.runs = [*old, new]
         if len(self.runs) >= self.fan:
-            self.compact()
-        return self.spark.read.schema(_REPLY).parquet(path)
+            old, self.runs = self.runs, [self._compacted()]
+            self._commit()
+            for run in old:
+                remove(self.spark, run)
+        else:
+            self._commit()
+        return self.spark.read.schema(_ROW).parquet(path)
 
-    def compact(self) -> None:
-        """Merges all runs into one, a row for each bucket and shard, and removes them."""
+    def _compacted(self) -> str:
+        """All runs merged into one, a row for each bucket and shard."""
 
         def merge(key: tuple, table: pa.Table) -> pa.Table:
-            keys = _merged([b.as_py() for b in table.column("hashes")])
+            keys, _, many, _ = _keys(table)
             # The lowest bit is set where it was, or where rows of a shard met in one key.
-            plain = keys & ~_MANY
-            new = _changes(plain)
-            at = np.flatnonzero(new)
-            many = (np.diff(np.append(at, len(keys))) > 1) | (np.bitwise_or.reduceat(keys & _MANY, at) > 0) if len(at) else np.zeros(0, bool)
-            return pa.Table.from_batches([_run_batch([(key[0].as_py(), key[1].as_py(), (plain[new] | many.astype(np.uint64)).tobytes())], _RUN)])
+            at = np.flatnonzero(_changes(keys))
+            many = (np.diff(np.append(at, len(keys))) > 1) | np.logical_or.reduceat(many, at) if len(at) else np.zeros(0, bool)
+            return _table([(key[0].as_py(), key[1].as_py(), NEW, (keys[at] | many.astype(np.uint64)).tobytes())])
+
+        return self._store(self.read(self.runs).groupBy("bucket", "shard").applyInArrow(merge, _ROW), "compact")
 
-        old = self.runs
-        self.runs = [self._store(self.read(old).groupBy("bucket", "shard").applyInArrow(merge, _RUN))]
-        for path in old:
-            _remove(self.spark, path)
+    def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+        """The rows of deduplicate() for one more batch: what was added before counts as having smaller ids."""
+        low = self.shards
+        shared = self.add(sharded(docs, id_col, text_col, low))
+        own = (F.col("shard") >= low) | (F.col("shard") < 0)
+        sharing = shared.select(F.col("shard").alias("s")).distinct()
+        texts = self.spark.read.schema(_TEXTS).parquet(self.texts[-1])
+        if len(self.texts) > 1:
+            old = self.spark.read.schema(_TEXTS).parquet(*self.texts[:-1])
+            texts = texts.unionByName(old.join(sharing, F.col("shard") == F.col("s"), "left_semi").filter("shard >= 0"))
+        done = verify(texts, shared, self.shards, with_text, own)
+        return done if with_text else done.drop("kept")
+
+
+# --- windows, verified ------------------------------------------------------------------------
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, shared: np.ndarray) -> tuple:
-    """Words of a chunk, and of its windows with a shared key: first word, text, hash of all words."""
+    """Words of a chunk, and of its windows with a shared key: first word, text, two hashes of all words."""
     starts, ends, first = kernel.word_bounds(data, offsets)
-    keys = window_keys(kernel.word_hashes(data, starts, ends))
-    hit = _known(keys, shared) & kernel.in_texts(first, WINDOW)
+    low, high = kernel.word_digests(data, starts, ends)
+    hit = _known(window_keys(low), shared) & kernel.in_texts(first, WINDOW)
     at = np.flatnonzero(hit)
-    full = kernel.run_hashes(kernel.word_hashes(data, starts, ends, 1), WINDOW, 1)[at] if len(at) else np.zeros(0, np.uint64)
+    full = np.stack([kernel.exact_runs(h, at, WINDOW) for h in (low, high)], 1)
     return starts, ends, first, at, np.searchsorted(first, at, "right") - 1, full
 
 
-def _blobs(table: pa.Table, kind: int) -> np.ndarray:
-    mask = table.column("kind").to_numpy() == kind
-    return np.unique(_merged([b.as_py() for b, m in zip(table.column("hashes"), mask, strict=True) if m]))
+def _ascending(full: np.ndarray) -> np.ndarray:
+    """The different rows, ascending."""
+    full = full[np.lexsort((full[:, 1], full[:, 0]))]
+    return full[_changes(full[:, 0], full[:, 1])]
+
 
+def _earlier_up(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    yield FULL, _ascending(_wide(_of_kind(table, FULL)))
 
-def verify(docs: DataFrame, shared: DataFrame, bits: int, with_text: bool = False) -> DataFrame:
+
+def _earlier_top(table: pa.Table) -> pa.Table:
+    return _earlier_down(table, _table([]))
+
+
+def _earlier_down(table: pa.Table, answer: pa.Table) -> pa.Table:
+    """To each shard, its windows that an earlier shard has, or an earlier node by `answer`."""
+    shard, _, blobs = _parts(table)
+    before = _of_kind(answer, EARLIER)
+    full = _wide([*before, *blobs])
+    of = np.repeat(np.append(np.full(len(before), -1), shard), [len(b) // 2 for b in (*before, *blobs)])
+    order = np.lexsort((of, full[:, 1], full[:, 0]))
+    full, of = full[order], of[order]
+    later = ~_changes(full[:, 0], full[:, 1])
+    return _to_shards(full[later], of[later], table.column("bucket")[0].as_py(), EARLIER)
+
+
+def verify(docs: DataFrame, shared: DataFrame, shards: int, with_text: bool = False, own: F.Column | None = None) -> DataFrame:
     """(doc_id, text, shard) with shared keys by shard -> doc_id, n_words, n_removed, kept_sha256, kept.
 
-    A word goes if a window covers it whose words also start in a document with a smaller id.
+    A word goes if a window covers it whose words also start in a document with a smaller id. own:
+    which rows are wanted; the others only tell what they have.
     """
-    schema = T.StructType([f for f in _RUN.fields])
 
     def hashes(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, found = _blobs(right, 0), []
-        if not len(keys) or not left.num_rows:
-            return pa.Table.from_batches([_run_batch([], _RUN)])
-        for _, data, offsets in kernel.chunks(left.column("text")):
-            found.append(np.unique(_windows(data, offsets, keys)[-1]))
+        keys = _of_kind(right, SHARED)
+        if not keys or not left.num_rows:
+            return _table([])
+        keys = np.unique(np.concatenate(keys))
+        full = [_ascending(_windows(data, offsets, keys)[-1]) for _, data, offsets in kernel.chunks(left.column("text"))]
         shard = left.column("shard")[0].as_py()
-        return pa.Table.from_batches([_run_batch([(b, shard, part.tobytes()) for b, part in _dealt(np.unique(np.concatenate(found)), bits)], _RUN)])
-
-    def reply(table: pa.Table) -> pa.Table:
-        """To each shard, the windows that an earlier shard has too."""
-        shard = table.column("shard").to_numpy()
-        blobs = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("hashes")]
-        h = np.concatenate(blobs)
-        of = np.repeat(shard, [len(b) for b in blobs])
-        order = np.lexsort((of, h))
-        h, of = h[order], of[order]
-        later = ~_changes(h)
-        h, of = h[later], of[later]
-        order = np.argsort(of, kind="stable")
-        h, of = h[order], of[order]
-        cut = np.flatnonzero(np.diff(of)) + 1
-        return pa.Table.from_batches([_run_batch([(int(of[a]), 1, h[a:b].tobytes()) for a, b in zip(np.append(0, cut), np.append(cut, len(of)), strict=True) if b > a], _REPLY)])
+        return _table([(b, shard, FULL, part) for b, part in _dealt(_ascending(np.concatenate(full)), FULL_BITS)])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.Table.from_batches([_run_batch([], _RESULT)])
-        keys, earlier = _blobs(right, 0), _blobs(right, 1)
-        # Rows by id, so that a window's first row in the shard has its smallest id.
+            return _table([], _RESULT)
+        keys = _of_kind(right, SHARED)
+        keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        earlier = _wide(_of_kind(right, EARLIER))
+        # Rows by id, so that of rows with a window the first has its smallest id; `earlier` stands before all.
         left = left.sort_by([("doc_id", "ascending")])
         ids = left.column("doc_id").combine_chunks()
         number = ids.fill_null(0).to_numpy()
         parts = [(a, *_windows(data, offsets, keys), data) for a, data, offsets in kernel.chunks(left.column("text"))]
-        full = np.concatenate([p[6] for p in parts])
-        of = number[np.concatenate([p[0] + p[5] for p in parts]).astype(np.int64)]
-        distinct, inverse = np.unique(full, return_inverse=True)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, of)
-        gone = (least[inverse] < of) | _known(distinct, earlier)[inverse]
+        full = np.concatenate([earlier, *[p[6] for p in parts]])
+        row = np.concatenate([np.full(len(earlier), -1), *[p[0] + p[5] for p in parts]]).astype(np.int64)
+        order = np.lexsort((row, full[:, 1], full[:, 0]))
+        lead = np.flatnonzero(_changes(full[order, 0], full[order, 1]))
+        least = np.empty(len(order), np.int64)
+        least[order] = np.repeat(row[order[lead]], np.diff(np.append(lead, len(order))))
+        # A window goes if its first row is another shard's or has a smaller id.
+        gone = ((least < 0) | (number[least] < number[row]))[len(earlier) :]
         rows, done = [], 0
         for a, starts, ends, first, at, _, _, data in parts:
             covered = np.zeros(len(starts) + 1, np.int64)
@@ -275,38 +400,51 @@ def verify(docs: DataFrame, shared: DataFrame, bits: int, with_text: bool = Fals
             upto = np.concatenate([[0], np.cumsum(kept)])
             for k in range(len(first) - 1):
                 low, high = upto[first[k]], upto[first[k + 1]]
-                own = text[put[low] : put[high] - 1] if high > low else b""
+                words = text[put[low] : put[high] - 1] if high > low else b""
                 n = int(first[k + 1] - first[k])
-                rows.append((ids[a + k].as_py(), n, n - int(high - low), hashlib.sha256(own).hexdigest(), own.decode() if with_text else None))
-        return pa.Table.from_batches([_run_batch(rows, _RESULT)])
+                rows.append((ids[a + k].as_py(), n, n - int(high - low), hashlib.sha256(words).hexdigest(), words.decode() if with_text else None))
+        return _table(rows, _RESULT)
+
+    # Ids that are null have a shard of their own for each row's hash; no keys are kept for them.
+    docs = docs.withColumn("shard", F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("text"), F.lit(1024))).otherwise(F.col("shard")))
+    found = cut(docs.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(hashes, _ROW))
+    earlier = tree(found, shards, FULL_BITS, _earlier_up, _earlier_top, _earlier_down)
+    wanted = docs if own is None else docs.filter(own)
+    return wanted.groupBy("shard").cogroup(shared.unionByName(earlier).groupBy("shard")).applyInArrow(finish, _RESULT)
 
-    by_shard = docs.groupBy("shard")
-    found = by_shard.cogroup(shared.groupBy("shard")).applyInArrow(hashes, schema)
-    earlier = found.groupBy("bucket").applyInArrow(reply, _REPLY)
-    return docs.groupBy("shard").cogroup(shared.unionByName(earlier).groupBy("shard")).applyInArrow(finish, _RESULT)
+
+def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 0) -> DataFrame:
+    """(doc_id, text, shard): ranges of ids of about SHARD_BYTES, numbered from `first` on; -1 for null ids.
+
+    The ranges are cut where the ids' percentiles by bytes are, and evenly by id between these.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).head()
+    mean = max(1, int(size) // max(1, n))
+    weighed = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("text") / mean))).alias("i"))
+    (rows,) = ranged(weighed.select("doc_id"), rows, rows=max(1, SHARD_BYTES // mean), out="shard")
+    return rows.withColumn("shard", F.when(F.col("shard") >= 0, F.col("shard") + first).otherwise(F.col("shard")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept: the remaining words, joined by spaces) for every row.
 
-    Documents go into the index in `batches` ranges of ascending id; windows are judged on the
+    Documents go into an index in `batches` ranges of ascending id; windows are judged on the
     input, not on what is left. Null text has no words. Rows with a null id neither lose words nor
-    take any from others; rows that share an id do not take words from each other. An empty table
-    gives no rows. Other columns are not read.
+    take any from others; rows that share an id do not take words from each other. Ids must be
+    whole numbers: others are cast, and what cannot be cast is null. An empty table gives no
+    rows. Other columns are not read. Verification runs once, behind the last batch.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    (rows,) = ranged(rows.select("doc_id"), rows, rows=SHARD_ROWS, out="shard")
-    size, shards = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max("shard"), F.lit(-1)) + 1).head()
-    bits = max(4, (int(size) // BUCKET_BYTES).bit_length())
-    index = Index(docs.sparkSession, bits)
-    shared = None
-    edges = sorted({round(i * max(1, shards) / batches) for i in range(batches + 1)})
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        found = index.add(rows.filter(F.col("shard").between(low, high - 1)))
-        shared = found if shared is None else shared.unionByName(found)
-    # Ids that are null have a shard of their own for each row's hash; no keys are kept for them.
-    loose = F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("text"), F.lit(1024))).otherwise(F.col("shard"))
-    done = verify(rows.withColumn("shard", loose), shared, bits, with_text)
+    spark = docs.sparkSession
+    index, rows = Index(spark), sharded(docs, id_col, text_col)
+    shards = rows.agg(F.coalesce(F.max("shard"), F.lit(-1))).head()[0] + 1
+    batch = F.greatest(F.lit(0), F.floor(F.col("shard") * batches / max(1, shards)))
+    rows.withColumn("batch", batch).write.option("compression", "zstd").partitionBy("batch").parquet(f"{index.path}/texts")
+    shared = spark.createDataFrame([], _ROW)
+    for held in (f"{index.path}/texts/batch={k}" for k in range(batches)):
+        if exists(spark, held):
+            shared = shared.unionByName(index.add_held(held))
+    done = verify(index.read_texts(), shared, shards, with_text)
     return done if with_text else done.drop("kept")
 
 
