@@ -1,11 +1,27 @@
-"""Connected components of an edge table, by alternating star contraction."""
+"""Connected components of an edge table, by alternating star contraction, and joins that hot keys do not skew."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchlake.llm.shared import cut
+from pitchlake.llm.shared import cut_at, remove
+
+#: A key is hot if it has more than one in so many of the rows; so there are fewer hot keys than this.
+HOT = 50_000
+
+
+def spread_join(rows: DataFrame, named: DataFrame, on: str, key: str, total: int) -> DataFrame:
+    """Inner join of rows with named by rows.on = named.key, where named has each key once and, in `n`, how many rows have it.
+
+    Keys that more than a HOT-th of all `total` rows have, fewer than HOT by that, are broadcast and
+    their rows stay where they are; all others are joined by a shuffle, whose groups are thus small.
+    """
+    is_hot = F.col("n").cast("decimal(38,0)") * HOT > total
+    hot = F.broadcast(named.filter(is_hot))
+    there = rows.join(hot, F.col(on) == F.col(key))
+    rest = rows.join(F.broadcast(named.filter(is_hot).select(F.col(key).alias("__hot"))), F.col(on) == F.col("__hot"), "left_anti")
+    return there.unionByName(rest.join(named.filter(~is_hot), F.col(on) == F.col(key)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,24 +29,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round ties every node's larger neighbours to its smallest one (large star) and then its
     smaller ones (small star); components become stars in a number of rounds that grows with the
-    logarithm of their size, squared. A round is a few shuffles of the edges, written to the shared folder, so neither
-    lineage nor the driver grows; only two numbers a round reach the driver. Of each node's
-    neighbours an aggregate keeps the smallest one, so a node with very many edges is no group
-    in memory. Loops and repeated edges do no harm; no edges give no rows.
+    logarithm of their size, squared. A round is a few shuffles of the edges, written to the shared
+    folder, so neither lineage nor the driver grows; only two numbers a round reach the driver. Of
+    each node's neighbours an aggregate keeps the smallest one and joins go by spread_join(), so a
+    node with very many edges is no group. Loops and repeated edges do no harm; no edges give no rows.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, path = cut_at(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # Large star: a larger neighbour of n goes to the smallest of n and its neighbours.
-        large = both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
-        # Small star: n and its smaller neighbours go to the smallest of them.
-        least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        tied = large.join(least, F.col("a") == F.col("n"))
-        small = tied.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
-        now = cut(small)
+        least = both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        # Large star: a larger neighbour of a node goes to the smallest of the node and its neighbours.
+        large = spread_join(both.filter("b > a"), least, "a", "k", 2 * now.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large, large_path = cut_at(large)
+        # Small star: a node and its smaller neighbours go to the smallest of them.
+        least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        tied = spread_join(large, least, "a", "k", large.count())
+        small = tied.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
+        old = path
+        now, path = cut_at(small)
+        for done in (old, large_path):
+            remove(now.sparkSession, done)
         count, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if (count, total) == seen:
             break

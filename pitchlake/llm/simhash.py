@@ -1,15 +1,17 @@
 """SimHash near-duplicates, compared by bit slices.
 
-Fingerprints are 64 bits. Two at a distance of at most RADIUS = 4 agree on at least two of six
-bit blocks, so each fingerprint is dealt to fifteen tables, keyed by two blocks each, and every
-link shows up in one of them. Within a key, fingerprints are stored as vertical bit planes: one
-word holds the same bit of 64 fingerprints, carry-save counters add up the differing bits of
-many at once, and a block of fingerprints is left as soon as all of it is beyond the radius.
+Fingerprints are 64 bits. Two at a distance of at most RADIUS = 4 agree on at least B - 4 of B bit
+blocks, so each fingerprint is dealt to a table for each choice of B - 4 blocks, keyed by these, and
+every link shows up in one of them. Fingerprints that meet are stored as vertical bit planes: one
+word holds the same bit of 64 fingerprints. Many keys' fingerprints stand in the same planes, one
+behind the other, and are laid over themselves, shifted; a large key's are laid over each of its
+own. Carry-save counters add up the differing bits of 64 pairs at once, and a block of 64 pairs is
+left as soon as all of it is beyond the radius.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,12 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchlake.llm import kernel
-from pitchlake.llm.components import components
+from pitchlake.llm.components import components, spread_join
 from pitchlake.llm.shared import cut
 
-SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
+SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Bit blocks: the fewest for which a key has, in expectation, at most PER_KEY fingerprints. More blocks, more tables.
+LEAST_BLOCKS, MOST_BLOCKS, PER_KEY = 6, 12, 64
 #: Fingerprints of one key in one row of work; larger keys are compared tile by tile.
 TILE = 2048
+#: Fingerprints of a key that share planes with other keys; more have planes of their own.
+PACKED = 64
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -74,12 +80,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, schema)
 
 
-def block_masks(blocks: int = BLOCKS) -> list[int]:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """How many bit blocks n different fingerprints need; every number of them finds all links."""
+    fits = (b for b in range(radius + LEAST_BLOCKS - RADIUS, radius + MOST_BLOCKS - RADIUS) if n <= PER_KEY << (64 * (b - radius) // b))
+    return next(fits, radius + MOST_BLOCKS - RADIUS)
+
+
+def block_masks(blocks: int = LEAST_BLOCKS) -> list[int]:
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def keys(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
+def keys(blocks: int = LEAST_BLOCKS, radius: int = RADIUS) -> list[int]:
     """The bits that each table's key keeps: all choices of blocks - radius blocks."""
     masks = block_masks(blocks)
     return [sum(c) for c in combinations(masks, blocks - radius)]
@@ -93,71 +105,100 @@ def planes(fp: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(queries: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each query, a packed row of bits: which of fp differ from it in at most radius bits.
+_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+
 
-    Counters of 0 to radius are kept bit-sliced; what overflows stays in `beyond`. Bits are added
-    three at a time by carry-save adders. Every 16 bits, queries all of whose fingerprints are
-    beyond are dropped.
+def at_most(difference: Callable[[int, np.ndarray], np.ndarray], asked: np.ndarray, radius: int) -> np.ndarray:
+    """For each block of 64 pairs a word of bits: which of the asked pairs differ in at most radius bits.
+
+    difference(b, live) gives, for the blocks `live`, the word of differences in bit b. Counters of
+    0 to radius are kept bit-sliced; what overflows stays in `beyond`. Bits are added three at a
+    time by carry-save adders. Every 16 bits, blocks all of whose pairs are beyond are dropped.
     """
-    stored = planes(fp)
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.zeros((len(queries), stored.shape[1]), np.uint64)
-    live = np.arange(len(queries))
-    flip = np.where((queries[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ones, np.uint64(0))
+    out = np.zeros(len(asked), np.uint64)
+    live = np.flatnonzero(asked)
+    beyond = ~asked[live]
     width = radius.bit_length()
-    low = [np.zeros_like(out) for _ in range(width)]
-    beyond = np.zeros_like(out)
+    low = [np.zeros_like(beyond) for _ in range(width)]
 
     def add(bit: np.ndarray, at: int) -> None:
         nonlocal beyond
         for k in range(at, width):
             low[k], bit = low[k] ^ bit, low[k] & bit
-        beyond |= bit
+        beyond = beyond | bit
 
     def over() -> np.ndarray:
         """Where the counters are above radius."""
-        above, equal = np.zeros_like(beyond), np.full_like(beyond, ones)
+        above, equal = np.zeros_like(beyond), np.full_like(beyond, _ONES)
         for k in range(width - 1, -1, -1):
             if radius >> k & 1:
-                equal &= low[k]
+                equal = equal & low[k]
             else:
                 above |= equal & low[k]
-                equal &= ~low[k]
+                equal = equal & ~low[k]
         return above
 
     for start in range(0, 64, 16):
-        d = [stored[b] ^ flip[live, b][:, None] for b in range(start, start + 16)]
+        d = [difference(b, live) for b in range(start, start + 16)]
         for k in range(0, 15, 3):
             x, y, z = d[k : k + 3]
             u = x ^ y
             add(u ^ z, 0)
             add((x & y) | (u & z), 1)
         add(d[15], 0)
-        beyond |= over()
-        keep = (beyond != ones).any(1)
-        if not keep.all():
-            live, beyond, low = live[keep], beyond[keep], [x[keep] for x in low]
-            if not len(live):
-                return out
+        beyond = beyond | over()
+        keep = beyond != _ONES
+        live, beyond, low = live[keep], beyond[keep], [x[keep] for x in low]
+        if not len(live):
+            return out
     out[live] = ~beyond
     return out
 
 
-def _pairs(found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, :n]
-    return np.nonzero(bits)
+def _bits(words: np.ndarray) -> np.ndarray:
+    """Positions of the bits that are set."""
+    some = np.flatnonzero(words)
+    word, bit = np.nonzero(np.unpackbits(words[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return some[word] * 64 + bit
 
 
-def forest(fp: np.ndarray, split: int, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges that join what links join within fp: fewer than there are fingerprints.
+def within(queries: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs of a query and one of fp that differ in at most radius bits."""
+    stored = planes(fp)
+    words = stored.shape[1]
+    flip = np.where((queries[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), _ONES, np.uint64(0))
+    asked = np.full(words, _ONES)
+    if len(fp) % 64:
+        asked[-1] = np.uint64((1 << len(fp) % 64) - 1)
+    found = at_most(lambda b, live: stored[b, live % words] ^ flip[live // words, b], np.tile(asked, len(queries)), radius)
+    at = _bits(found)
+    return at // (64 * words), at % (64 * words)
 
-    split: where the second half of a tile of two chunks begins; links inside a chunk are then
-    another tile's. split = 0: all against all.
+
+def side_by_side(fp: np.ndarray, size: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs inside groups of fp that differ in at most radius bits; size: of each group, at most PACKED.
+
+    All groups stand in the same planes; the planes shifted by d lay each fingerprint over the
+    d-th one behind it, and pairs of two groups are masked.
     """
-    queries = np.arange(split) if split else np.arange(len(fp))
-    others = np.arange(split, len(fp)) if split else queries
-    root = list(range(len(fp)))
+    stored = np.pad(planes(fp), ((0, 0), (0, 1)))
+    behind = np.repeat(np.cumsum(size), size) - 1 - np.arange(len(fp))
+    first, second = [], []
+    for d in range(1, int(size.max(initial=1))):
+        asked = np.zeros(stored.shape[1] - 1, np.uint64)
+        mask = np.zeros(len(asked) * 64, bool)
+        mask[: len(fp)] = behind >= d
+        asked = np.packbits(mask, bitorder="little").view(np.uint64)
+        up, down = np.uint64(64 - d), np.uint64(d)
+        at = _bits(at_most(lambda b, live: stored[b, live] ^ ((stored[b, live] >> down) | (stored[b, live + 1] << up)), asked, radius))  # noqa: B023
+        first.append(at)
+        second.append(at + d)
+    return np.concatenate([np.zeros(0, np.int64), *first]), np.concatenate([np.zeros(0, np.int64), *second])
+
+
+def spanning(n: int, first: np.ndarray, second: np.ndarray) -> list[int]:
+    """Which of the pairs are enough to join what all of them join."""
+    root, kept = list(range(n)), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -165,26 +206,41 @@ def forest(fp: np.ndarray, split: int, radius: int = RADIUS) -> list[tuple[int,
             i = root[i]
         return i
 
-    edges = []
+    for k, (i, j) in enumerate(zip(first.tolist(), second.tolist(), strict=True)):
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+    return kept
+
+
+def forest(fp: np.ndarray, split: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join what links join within fp: fewer than there are fingerprints.
+
+    split: where the second half of a tile of two chunks begins; links inside a chunk are then
+    another tile's. split = 0: all against all.
+    """
+    queries = np.arange(split) if split else np.arange(len(fp))
+    others = np.arange(split, len(fp)) if split else queries
+    first, second = [], []
     for at in range(0, len(queries), 64):
         some = queries[at : at + 64]
-        a, b = _pairs(within(fp[some], fp[others], radius), len(others))
+        a, b = within(fp[some], fp[others], radius)
         a, b = some[a], others[b]
-        for i, j in zip(a.tolist(), b.tolist(), strict=True) if split else ((i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i < j):
-            x, y = find(i), find(j)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                edges.append((i, j))
-    return edges
+        later = a < b
+        first, second = np.concatenate([*first, a[later]]), np.concatenate([*second, b[later]])
+        kept = spanning(len(fp), first, second)
+        first, second = [first[kept]], [second[kept]]
+    return first[0], second[0]
 
 
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = LEAST_BLOCKS, tile: int = TILE) -> DataFrame:
     """(fp) without repeats -> edges (a, b) that join exactly what links of at most radius bits join.
 
-    Keys with one fingerprint go at once. A key's fingerprints are dealt to chunks of about
+    Keys with one fingerprint alone are no work. A key's fingerprints are dealt to chunks of about
     `tile` by a hash, and each two chunks of a key meet in a row of their own, so that no row and
     no task holds a whole large key. Each row gives a forest, never all its links.
     """
@@ -206,41 +262,40 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile:
             values = lists.values.to_numpy().view(np.uint64)
             whole, split = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             size = np.diff(bounds)
-            a, b = [], []
-            two = np.flatnonzero(size == 2)  # most rows by far: both at once
-            x, y = values[bounds[two]], values[bounds[two] + 1]
-            near = np.bitwise_count(x ^ y) <= radius
-            a.append(x[near]), b.append(y[near])
-            for k in np.flatnonzero(size > 2):
+            small = np.flatnonzero(whole & (size <= PACKED))
+            small = small[np.argsort(size[small], kind="stable")]  # groups of a size share words
+            n = size[small]
+            fp = values[np.repeat(bounds[small] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            i, j = side_by_side(fp, n, radius)
+            kept = spanning(len(fp), i, j)
+            a, b = [fp[i[kept]]], [fp[j[kept]]]
+            for k in np.flatnonzero(~whole | (size > PACKED)):
                 fp = values[bounds[k] : bounds[k + 1]]
-                if not whole[k] and not 0 < split[k] < len(fp):
-                    continue
-                edges = forest(fp, 0 if whole[k] else int(split[k]), radius)
-                if edges:
-                    e = np.array(edges)
-                    a.append(fp[e[:, 0]]), b.append(fp[e[:, 1]])
+                if whole[k] or 0 < split[k] < len(fp):
+                    i, j = forest(fp, 0 if whole[k] else int(split[k]), radius)
+                    a.append(fp[i]), b.append(fp[j])
             yield pa.record_batch([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], names=_EDGE.names)
 
     return tiles.mapInArrow(compare, _EDGE)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row of docs.
 
     component_id is the smallest id that links reach, itself included. Documents of one
-    fingerprint, so also all without words, are linked. Null ids are rows like others, but no
-    component's name; a component of null ids alone has a null component_id. Rows that share an
-    id keep their own fingerprints.
+    fingerprint, so also all without words, are linked. Ids must be whole numbers: others are cast,
+    and what cannot be cast is null. Null ids are rows like others, but no component's name; a
+    component of null ids alone has a null component_id. Rows that share an id keep their own
+    fingerprints. A fingerprint or component of very many rows is not gathered: see spread_join().
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = cut(classes)
-    found = components(links(distinct.select("fp"), radius, blocks))
-    labelled = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    labelled = cut(labelled)
-    roots = labelled.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    named = labelled.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("of"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    different = distinct.count()
+    found = components(links(distinct.select("fp"), radius, blocks or blocks_for(different, radius)))
+    labelled = cut(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
+    roots = labelled.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = cut(spread_join(labelled, roots, "root", "r", different).select(F.col("fp").alias("of"), F.col("rows").alias("n"), "component_id"))
+    return spread_join(prints, named, "fp", "of", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

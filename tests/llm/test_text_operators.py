@@ -334,9 +334,13 @@ def test_bit_slices_and_tiles(spark):
             near.append(x)
     fp = np.unique(np.array(near, np.uint64))
     apart = np.bitwise_count(fp[:, None] ^ fp[None])
-    bits = np.unpackbits(simhash.within(fp, fp).view(np.uint8), axis=1, bitorder="little")[:, : len(fp)]
-    assert (bits == (apart <= 4)).all()
-    assert (np.unpackbits(simhash.within(fp, fp, 9).view(np.uint8), axis=1, bitorder="little")[:, : len(fp)] == (apart <= 9)).all()
+    for radius in (0, 1, 4, 9):
+        want = {(i, j) for i, j in zip(*np.nonzero(apart <= radius), strict=True)}
+        assert set(zip(*simhash.within(fp, fp, radius), strict=True)) == want
+        for sizes in ([2] * (len(fp) // 2), [1, 64, 3, 2, 40, 7], [len(fp[:50])]):
+            own, start = fp[: sum(sizes)], np.repeat(np.arange(len(sizes)), sizes)
+            i, j = simhash.side_by_side(own, np.array(sizes), radius)
+            assert set(zip(i, j, strict=True)) == {(x, y) for x, y in want if x < y < len(own) and start[x] == start[y]}
     signed = fp.view(np.int64).tolist()
     found = {r.node: r.root for r in components.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), tile=8)).collect()}
     for i in range(len(fp)):
@@ -345,6 +349,29 @@ def test_bit_slices_and_tiles(spark):
     assert len({found.get(x, x) for x in signed}) == len({r[2] for r in _closed(signed, apart <= 4)})
 
 
+def test_every_number_of_blocks_finds_all_links(spark):
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [6, 6, 6, 8, 9]
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, *[base ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, d, replace=False))) for d in (1, 2, 3, 4, 4, 4)]]))
+    signed = spark.createDataFrame([(x,) for x in fp.view(np.int64).tolist()], "fp long")
+    want = {frozenset((int(fp[i].view(np.int64)), int(fp[j].view(np.int64)))) for i, j in zip(*simhash.within(fp, fp), strict=True) if i < j}
+    for blocks in (6, 7, 8):
+        assert {frozenset((r.a, r.b)) for r in simhash.links(signed, blocks=blocks).collect()} <= want
+        found = {r.node: r.root for r in components.components(simhash.links(signed, blocks=blocks)).collect()}
+        assert all(found[a] == found[b] for a, b in map(tuple, want))
+
+
+def test_joins_by_hot_and_other_keys(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 4)
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(k, k) for k in range(2, 30)], "k long, v long")
+    named = rows.groupBy(F.col("k").alias("of")).agg(F.count("*").alias("n"))
+    got = components.spread_join(rows, named, "k", "of", rows.count())
+    assert sorted((r.k, r.v, r.n) for r in got.collect()) == sorted((k, v, 50 if k == 1 else 1) for k, v in rows.collect())
+    chain = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(100, 101)], "a long, b long")
+    assert {r.node: r.root for r in components.components(chain).collect()} == {**dict.fromkeys(range(60), 0), 100: 100, 101: 100}
+
+
 def _closed(nodes, linked):
     seen, out = {}, []
     for i in range(len(nodes)):
