@@ -3,9 +3,9 @@
 A window is WINDOW words in a row. Its fingerprint, or key, is the smallest hash among its runs of
 KEY_WORDS words, so that equal windows have equal keys while a text has far fewer keys than
 windows. The index is a folder: sorted runs of keys by hash bucket and shard of documents, which
-are never changed; the texts of each batch; a manifest. Each new batch's keys are merged with the
+are never changed; the texts of each batch, for later ones; a manifest. Each new batch's keys are merged with the
 runs' keys to find those that two documents share, then kept as a run of their own, and runs are
-compacted when there are FAN of them. What shares a key is verified window by window, by 128-bit
+compacted when there are FAN of them and another one comes. What shares a key is verified window by window, by 128-bit
 hashes of all WINDOW words that are made from the texts anew. An index can be opened again later
 and given the next batch; only texts of shards that share keys with it are then read again.
 
@@ -22,17 +22,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchlake.llm import kernel
 from pitchlake.llm.ranges import ranged
-from pitchlake.llm.shared import cut, exists, remove, shared_dir
+from pitchlake.llm.shared import exists, remove, shared_dir
 
 WINDOW, KEY_WORDS = 13, 4
 #: Text of a shard, about; shards, or nodes of shards, that meet at once; runs before they are compacted; batches.
-SHARD_BYTES, NODE, FAN, BATCHES = 4 << 20, 1024, 3, 4
+SHARD_BYTES, NODE, FAN, BATCHES = 4 << 20, 1024, 2, 3
 #: Bits of a hash that make the bucket of a shard's keys and of its verified windows.
 KEY_BITS, FULL_BITS = 6, 8
 
@@ -113,7 +114,7 @@ def _parts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 
 
 def _of_kind(table: pa.Table, kind: int) -> list[np.ndarray]:
-    return [b for k, b in zip(*_parts(table)[1:], strict=True) if k == kind]
+    return _parts(table.filter(pc.equal(table.column("kind"), kind)))[2]
 
 
 def tree(rows: DataFrame, shards: int, bits: int, up: Callable, top: Callable, down: Callable, node: int | None = None) -> DataFrame:
@@ -121,7 +122,7 @@ def tree(rows: DataFrame, shards: int, bits: int, up: Callable, top: Callable, d
 
     up(bits) merges a table of rows of one bucket and of up to NODE shards into rows of one node, in
     buckets of `bits` bits; top answers to all shards of a bucket; down answers to the shards of a node,
-    given the answer to the node. No group has more than NODE rows of a hash.
+    given the answer to the node, by buckets of `bits` bits. No group has more than NODE rows of a hash.
     """
     node = node or NODE
     if shards <= node:
@@ -133,10 +134,11 @@ def tree(rows: DataFrame, shards: int, bits: int, up: Callable, top: Callable, d
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         return _table([(bucket, key[1].as_py(), kind, blob) for kind, hashes in up(table) for bucket, blob in _dealt(hashes, bits + finer)])
 
-    def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return down(left.drop_columns(["node"]), right.drop_columns(["own"])) if left.num_rows else _table([])
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        return down(left.drop_columns(["node"]), right.drop_columns(["own"]), bits + finer) if left.num_rows else _table([])
 
-    upper = cut(rows.groupBy("bucket", "node").applyInArrow(merge, _ROW))
+    # Both uses of rows are dealt alike, so Spark shuffles them once.
+    upper = rows.groupBy("bucket", "node").applyInArrow(merge, _ROW)
     answers = tree(upper, nodes, bits + finer, up, top, down, node).withColumn("own", F.shiftright("bucket", finer))
     return rows.groupBy("bucket", "node").cogroup(answers.groupBy("own", "shard")).applyInArrow(answer, _ROW)
 
@@ -180,7 +182,7 @@ def _shared_top(table: pa.Table) -> pa.Table:
     return _to_shards(keys[hit], of[hit], table.column("bucket")[0].as_py(), SHARED)
 
 
-def _shared_down(table: pa.Table, answer: pa.Table) -> pa.Table:
+def _shared_down(table: pa.Table, answer: pa.Table, bits: int) -> pa.Table:
     keys, of, _, _ = _keys(table)
     shared = _of_kind(answer, SHARED) if answer.num_rows else []
     hit = _known(keys, np.unique(np.concatenate(shared))) if shared else np.zeros(len(keys), bool)
@@ -225,8 +227,13 @@ def keys_of(docs: DataFrame, bits: int) -> DataFrame:
     return docs.filter("shard >= 0").select("shard", "text").mapInArrow(run, _ROW)
 
 
+def write_run(keys: DataFrame, path: str, *by: str) -> None:
+    """Writes rows of keys in order of bucket and shard, in a folder for each value of `by`."""
+    keys.sortWithinPartitions(*by, "bucket", "shard").write.option("compression", "uncompressed").partitionBy(*by).parquet(path)
+
+
 class Index:
-    """Sorted runs of window keys, the texts they come from and a manifest, in a shared folder."""
+    """Sorted runs of window keys, the texts they come from (if kept) and a manifest, in a shared folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, bits: int = KEY_BITS, fan: int = FAN):
         """Opens the index at path, or begins one there (in a new folder, if none is given)."""
@@ -243,13 +250,6 @@ class Index:
         row = [(self.version, self.bits, self.shards, self.runs, self.texts)]
         self.spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
-    def _store(self, rows: DataFrame, name: str) -> str:
-        path = f"{self.path}/{name}-{self.version}-{len(self.runs)}"
-        if exists(self.spark, path):  # left behind by a writer that did not reach its commit
-            remove(self.spark, path)
-        rows.repartition("bucket").sortWithinPartitions("bucket", "shard").write.option("compression", "uncompressed").parquet(path)
-        return path
-
     def read(self, runs: list[str]) -> DataFrame:
         return self.spark.read.schema(_ROW).parquet(*runs)
 
@@ -257,51 +257,64 @@ class Index:
         """(doc_id, text, shard) of all that was added."""
         return self.spark.read.schema(_TEXTS).parquet(*self.texts) if self.texts else self.spark.createDataFrame([], _TEXTS)
 
+    def _free(self, name: str) -> str:
+        path = f"{self.path}/{name}-{self.version}"
+        if exists(self.spark, path):  # left behind by a writer that did not reach its commit
+            remove(self.spark, path)
+        return path
+
     def add(self, docs: DataFrame) -> DataFrame:
-        """Adds docs (doc_id, text, shard; shards from self.shards on, below 0: not compared); see add_held()."""
-        held = f"{self.path}/texts-{self.version}"
-        docs.select("doc_id", "text", "shard").write.mode("overwrite").option("compression", "zstd").parquet(held)
-        return self.add_held(held)
+        """Adds docs (doc_id, text, shard; shards from self.shards on, below 0: not compared) and their texts; see add_run()."""
+        texts, run = self._free("texts"), self._free("run")
+        docs.select("doc_id", "text", "shard").write.option("compression", "zstd").parquet(texts)
+        batch = self.spark.read.schema(_TEXTS).parquet(texts)
+        write_run(keys_of(batch, self.bits), run)
+        return self.add_run(run, batch.agg(F.coalesce(F.max("shard"), F.lit(-1))).head()[0] + 1, texts)
 
-    def add_held(self, held: str) -> DataFrame:
-        """Adds the documents written at `held` as a run.
+    def add_run(self, run: str, shards: int, texts: str | None = None) -> DataFrame:
+        """Adds a run that write_run() wrote; `shards` is one more than its last shard.
 
         Returns rows of kind SHARED: by shard, the keys that a document of the batch shares with
         another document. All shards that share them are named, those of former batches too.
         """
-        batch = self.spark.read.schema(_TEXTS).parquet(held)
-        new = self._store(keys_of(batch, self.bits), "run")
-        met = self.read([new])
+        if len(self.runs) >= self.fan:
+            self.compact()
+        met = self.read([run])
         if self.runs:
             met = met.unionByName(self.read(self.runs).withColumn("kind", F.lit(OLD)))
-        shards = max(self.shards, batch.agg(F.coalesce(F.max("shard"), F.lit(-1))).head()[0] + 1)
-        path = f"{self.path}/shared-{self.version}"
-        tree(met, shards, self.bits, _shared_up, _shared_top, _shared_down).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
-        old, self.shards, self.texts = self.runs, shards, [*self.texts, held]
-        self.runs = [*old, new]
-        if len(self.runs) >= self.fan:
-            old, self.runs = self.runs, [self._compacted()]
-            self._commit()
-            for run in old:
-                remove(self.spark, run)
-        else:
-            self._commit()
-        return self.spark.read.schema(_ROW).parquet(path)
+        self.shards = max(self.shards, shards)
+        path = self._free("shared")
+        tree(met, self.shards, self.bits, _shared_up, _shared_top, _shared_down).write.option("compression", "uncompressed").parquet(path)
+        self.runs, self.texts = [*self.runs, run], [*self.texts, *([texts] if texts else [])]
+        self._commit()
+        return self.read([path])
 
-    def _compacted(self) -> str:
-        """All runs merged into one, a row for each bucket and shard."""
+    def compact(self) -> None:
+        """Merges all runs into one, a row for each bucket and shard; the old ones go when it is in the manifest."""
 
         def merge(key: tuple, table: pa.Table) -> pa.Table:
-            keys, _, many, _ = _keys(table)
-            # The lowest bit is set where it was, or where rows of a shard met in one key.
-            at = np.flatnonzero(_changes(keys))
-            many = (np.diff(np.append(at, len(keys))) > 1) | np.logical_or.reduceat(many, at) if len(at) else np.zeros(0, bool)
-            return _table([(key[0].as_py(), key[1].as_py(), NEW, (keys[at] | many.astype(np.uint64)).tobytes())])
-
-        return self._store(self.read(self.runs).groupBy("bucket", "shard").applyInArrow(merge, _ROW), "compact")
+            rows, shard = [], table.column("shard").to_numpy()
+            for s in np.unique(shard):
+                keys, _, many, _ = _keys(table.filter(pa.array(shard == s)))
+                # The lowest bit is set where it was, or where rows of a shard met in one key.
+                at = np.flatnonzero(_changes(keys))
+                if len(at):
+                    many = (np.diff(np.append(at, len(keys))) > 1) | np.logical_or.reduceat(many, at)
+                    rows.append((key[0].as_py(), int(s), NEW, (keys[at] | many.astype(np.uint64)).tobytes()))
+            return _table(rows)
+
+        old, path = self.runs, self._free("compact")
+        by_node = self.read(old).groupBy("bucket", F.floor(F.col("shard") / NODE).alias("node"))
+        write_run(by_node.applyInArrow(merge, _ROW), path)
+        self.runs = [path]
+        self._commit()
+        for run in old:
+            remove(self.spark, run)
 
     def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
         """The rows of deduplicate() for one more batch: what was added before counts as having smaller ids."""
+        if self.runs and not self.texts:
+            raise ValueError("the index was made without texts, so that later batches cannot be verified")
         low = self.shards
         shared = self.add(sharded(docs, id_col, text_col, low))
         own = (F.col("shard") >= low) | (F.col("shard") < 0)
@@ -338,19 +351,36 @@ def _earlier_up(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _earlier_top(table: pa.Table) -> pa.Table:
-    return _earlier_down(table, _table([]))
+    return _earlier(table, np.zeros((0, 2), np.uint64))
 
 
-def _earlier_down(table: pa.Table, answer: pa.Table) -> pa.Table:
-    """To each shard, its windows that an earlier shard has, or an earlier node by `answer`."""
+def _earlier_down(table: pa.Table, answer: pa.Table, bits: int) -> pa.Table:
+    full = _ascending(_wide(_of_kind(table, FULL)))
+    return _earlier(table, full[answered(full, answer, bits)])
+
+
+def _earlier(table: pa.Table, before: np.ndarray) -> pa.Table:
+    """To each shard, which of its windows an earlier shard has or are in `before`: a bit for each, in their order."""
     shard, _, blobs = _parts(table)
-    before = _of_kind(answer, EARLIER)
-    full = _wide([*before, *blobs])
-    of = np.repeat(np.append(np.full(len(before), -1), shard), [len(b) // 2 for b in (*before, *blobs)])
+    size = [len(b) // 2 for b in blobs]
+    full = _wide([before.ravel(), *blobs])
+    of = np.repeat(np.append(-1, shard), [len(before), *size])
     order = np.lexsort((of, full[:, 1], full[:, 0]))
-    full, of = full[order], of[order]
-    later = ~_changes(full[:, 0], full[:, 1])
-    return _to_shards(full[later], of[later], table.column("bucket")[0].as_py(), EARLIER)
+    again = np.empty(len(full), bool)
+    again[order] = ~_changes(full[order, 0], full[order, 1])
+    bits = np.split(again[len(before) :], np.cumsum(size)[:-1])
+    return _table([(b.as_py(), int(s), EARLIER, np.packbits(x).tobytes()) for b, s, x in zip(table.column("bucket"), shard, bits, strict=True)])
+
+
+def answered(full: np.ndarray, answer: pa.Table, bits: int) -> np.ndarray:
+    """For ascending windows that were sent in buckets of `bits` bits, the bits that came back."""
+    out = np.zeros(len(full), bool)
+    mine = answer.filter(pc.equal(answer.column("kind"), EARLIER))
+    back = dict(zip(mine.column("bucket").to_pylist(), mine.column("hashes").to_pylist(), strict=True))
+    top = (full[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
+    for a, b in _cuts(top):
+        out[a:b] = np.unpackbits(np.frombuffer(back[int(top[a])], np.uint8), count=b - a).astype(bool)
+    return out
 
 
 def verify(docs: DataFrame, shared: DataFrame, shards: int, with_text: bool = False, own: F.Column | None = None) -> DataFrame:
@@ -374,20 +404,20 @@ def verify(docs: DataFrame, shared: DataFrame, shards: int, with_text: bool = Fa
             return _table([], _RESULT)
         keys = _of_kind(right, SHARED)
         keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-        earlier = _wide(_of_kind(right, EARLIER))
-        # Rows by id, so that of rows with a window the first has its smallest id; `earlier` stands before all.
+        # Rows by id, so that of rows with a window the first has its smallest id.
         left = left.sort_by([("doc_id", "ascending")])
         ids = left.column("doc_id").combine_chunks()
         number = ids.fill_null(0).to_numpy()
         parts = [(a, *_windows(data, offsets, keys), data) for a, data, offsets in kernel.chunks(left.column("text"))]
-        full = np.concatenate([earlier, *[p[6] for p in parts]])
-        row = np.concatenate([np.full(len(earlier), -1), *[p[0] + p[5] for p in parts]]).astype(np.int64)
+        full = np.concatenate([p[6] for p in parts])
+        row = np.concatenate([p[0] + p[5] for p in parts]).astype(np.int64)
         order = np.lexsort((row, full[:, 1], full[:, 0]))
         lead = np.flatnonzero(_changes(full[order, 0], full[order, 1]))
-        least = np.empty(len(order), np.int64)
-        least[order] = np.repeat(row[order[lead]], np.diff(np.append(lead, len(order))))
-        # A window goes if its first row is another shard's or has a smaller id.
-        gone = ((least < 0) | (number[least] < number[row]))[len(earlier) :]
+        size = np.diff(np.append(lead, len(order)))
+        earlier = answered(full[order[lead]], right, FULL_BITS)
+        # A window goes if another shard has it before or its first row has a smaller id.
+        gone = np.empty(len(order), bool)
+        gone[order] = np.repeat(earlier, size) | (number[np.repeat(row[order[lead]], size)] < number[row[order]])
         rows, done = [], 0
         for a, starts, ends, first, at, _, _, data in parts:
             covered = np.zeros(len(starts) + 1, np.int64)
@@ -407,7 +437,7 @@ def verify(docs: DataFrame, shared: DataFrame, shards: int, with_text: bool = Fa
 
     # Ids that are null have a shard of their own for each row's hash; no keys are kept for them.
     docs = docs.withColumn("shard", F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("text"), F.lit(1024))).otherwise(F.col("shard")))
-    found = cut(docs.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(hashes, _ROW))
+    found = docs.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(hashes, _ROW)
     earlier = tree(found, shards, FULL_BITS, _earlier_up, _earlier_top, _earlier_down)
     wanted = docs if own is None else docs.filter(own)
     return wanted.groupBy("shard").cogroup(shared.unionByName(earlier).groupBy("shard")).applyInArrow(finish, _RESULT)
@@ -438,13 +468,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     index, rows = Index(spark), sharded(docs, id_col, text_col)
     shards = rows.agg(F.coalesce(F.max("shard"), F.lit(-1))).head()[0] + 1
-    batch = F.greatest(F.lit(0), F.floor(F.col("shard") * batches / max(1, shards)))
-    rows.withColumn("batch", batch).write.option("compression", "zstd").partitionBy("batch").parquet(f"{index.path}/texts")
+    # All batches' keys are made in one pass over the texts; each batch's are a run of their own.
+    keys = keys_of(rows, index.bits).withColumn("batch", F.floor(F.col("shard") * batches / max(1, shards)))
+    write_run(keys, f"{index.path}/runs", "batch")
     shared = spark.createDataFrame([], _ROW)
-    for held in (f"{index.path}/texts/batch={k}" for k in range(batches)):
-        if exists(spark, held):
-            shared = shared.unionByName(index.add_held(held))
-    done = verify(index.read_texts(), shared, shards, with_text)
+    for k in range(batches):
+        run = f"{index.path}/runs/batch={k}"
+        if exists(spark, run):
+            shared = shared.unionByName(index.add_run(run, -(-(k + 1) * shards // batches)))
+    done = verify(rows, shared, shards, with_text)
     return done if with_text else done.drop("kept")
 
 

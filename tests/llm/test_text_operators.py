@@ -158,9 +158,9 @@ def test_index_compaction_keeps_keys(spark):
     index = substring_dedup.Index(spark, bits=4, fan=2)
     index.add(docs.filter("doc_id = 1"))
     met = index.add(docs.filter("doc_id > 1"))
-    assert len(index.runs) == 1  # two runs were compacted into one
-    assert {r.shard for r in met.collect()} == {1, 2}
+    assert {r.shard for r in met.collect()} == {1, 2} and len(index.runs) == 2
     again = index.add(docs.filter("doc_id = 1").withColumn("shard", F.lit(9).cast("long")))
+    assert len(index.runs) == 2  # the first two were compacted into one
     assert {1, 2, 9} <= {r.shard for r in again.collect()}
 
 
@@ -173,10 +173,15 @@ def test_index_is_opened_again_and_takes_later_batches(spark, tmp_path, monkeypa
     path = f"file://{tmp_path}/index"
     for low in range(0, 36, 9):  # as many batches as make a compaction and a run behind it
         index = substring_dedup.Index(spark, path)
-        assert index.version == low // 9
+        assert index.shards == (0 if not low else index.shards) and len(index.runs) == min(low // 9, 2)
         got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in index.deduplicate(table(spark, rows[low : low + 9])).collect()]
         assert sorted(got) == [want[i] for i in range(low, low + 9)]
     assert substring_dedup.Index(spark, path).deduplicate(table(spark, [(None, BASE, "en", "a"), (99, rows[0][1], "en", "a")])).count() == 2
+    plain = substring_dedup.Index(spark)
+    last = substring_dedup.Index(spark, path)
+    plain.add_run(last.runs[-1], last.shards)
+    with pytest.raises(ValueError, match="without texts"):
+        plain.deduplicate(table(spark, rows[:1]))
 
 
 # --- op 3 -------------------------------------------------------------------------------------
