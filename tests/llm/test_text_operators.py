@@ -1,6 +1,7 @@
 """The text operators on small tables: nulls, empty and long texts, ties, repeated rows, clashing names."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -401,33 +402,72 @@ def test_components_of_a_chain_and_of_nothing(spark):
 # --- op 6 -------------------------------------------------------------------------------------
 
 
-def test_masks_fit_between_any_two_substitutions():
-    for a in range(13):
-        for b in range(a):
-            assert any(not ({a, b} & {p + i for i in m}) for m in decontam.MASKS for p in range(13 - max(m)))
+def plain_overlaps(docs, items):
+    """(doc id, item id) of all overlaps by the rule, every alignment compared; of rows with an id."""
+    word = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
+    split = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in word.findall(t or "")]
+    out = set()
+    for d, text in docs:
+        for i, item in items:
+            a, b = split(text), split(item)
+            n = min(13, len(b))
+            if i is None or not n or (n < 5 and a != b):
+                continue
+            if any(10 * sum(x == y for x, y in zip(a[p : p + n], b[q : q + n], strict=True)) >= 8 * n for p in range(len(a) - n + 1) for q in range(len(b) - n + 1)):
+                out.add((d, i))
+    return out
+
+
+def test_a_mask_fits_between_all_allowed_substitutions():
+    for n in range(1, 14):
+        spare = n - -(-8 * n // 10)
+        for out in itertools.combinations(range(n), spare):
+            shifts = range(n - max(max(m) for m in decontam.masks_for(n))) if n == 13 else [0]
+            assert any(not set(out) & {p + i for i in m} for m in decontam.masks_for(n) for p in shifts), (n, out)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_every_allowed_substitution_is_found(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    rows, items = [], []
+    for n in range(1, 15):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for spare in range(4):
+            for out in list(itertools.combinations(range(n), spare))[:: 1 if broadcast else 7]:
+                said = [f"other{k}" if k in out else w for k, w in enumerate(item)]
+                rows.append((len(rows), " ".join(said if n < 5 else ["before", *said, "after"])))
+    found = decontam.overlaps(table(spark, [(i, t, "en", "a") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r.doc_id, r.item_id) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_overlaps(rows, items)
 
 
 def test_decontamination(spark, odd, none):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron"
-    items = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, ""), (5, "five words are just enough"), (None, item)], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (1, item), (2, "too short"), (3, None), (4, ""), (5, "five words are just enough"), (None, item), (7, "日本語のテキスト 🙂🙂"), (8, item + " pi"), (9, "!!")], "item_id long, text string")
     w = item.split()
     w[3], w[9] = "DELETED", "changed"
-    rows = [(1, f"Before it. {item.upper()}! after it", "en", "a"), (2, "x " + " ".join(w), "en", "a"), (3, "alpha beta gamma nothing else here", "en", "a"), (4, "so FIVE words, are just enough.", "en", "a"), (5, None, "en", "a"), (1, item, "en", "a"), (None, item, "en", "a")]
+    rows = [(1, f"Before it. {item.upper()}! after it", "en", "a"), (2, "x " + " ".join(w), "en", "a"), (3, "alpha beta gamma nothing else here", "en", "a"), (4, "so FIVE words, are just enough.", "en", "a"), (5, None, "en", "a"), (1, item, "en", "a"), (None, item, "en", "a"), (10, "Too short!", "en", "a"), (11, "too short to tell", "en", "a"), (12, f"{item} {item} " * 50, "en", "a")]
     docs = table(spark, rows)
-    got = {(r.doc_id, r.item_id, r.n_words, r.n_equal) for r in decontam.overlaps(docs, items).collect()}
-    assert got == {(1, 1, 15, 15), (2, 1, 15, 13), (4, 5, 5, 5), (None, 1, 15, 15)}
+    got = {(r.doc_id, r.item_id, r.n_words, r.n_equal) for r in decontam.overlaps(docs, items.filter("item_id <> 8")).collect()}
+    assert got == {(1, 1, 15, 15), (2, 1, 15, 13), (4, 5, 5, 5), (None, 1, 15, 15), (10, 2, 2, 2), (12, 1, 15, 15)}
+    every = items.collect()
+    for t in (docs, odd):
+        got = [(r.doc_id, r.item_id) for r in decontam.overlaps(t, items).collect()]
+        want = plain_overlaps([(r.doc_id, r.text) for r in t.collect()], [(r.item_id, r.text) for r in every])
+        assert set(got) == want
     kept = decontam.clean(docs, items)
-    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3, 5]
-    assert decontam.overlaps(none, items).count() == 0 and decontam.overlaps(docs, items.filter("item_id > 9")).count() == 0
-    assert decontam.clean(odd, items.filter("item_id > 9")).count() == len(ODD)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 5, 11}
+    assert decontam.overlaps(none, items).count() == 0 and decontam.overlaps(docs, items.filter("item_id > 90")).count() == 0
+    assert decontam.clean(odd, items.filter("item_id > 90")).count() == len(ODD) and decontam.clean(none, items).count() == 0
 
 
-def test_benchmark_blocks_find_the_same(spark, monkeypatch):
-    docs = table(spark, [(1, BASE, "en", "a"), (2, LONG, "en", "a")])
-    items = spark.createDataFrame([(1, BASE), (2, " ".join(LONG.split()[500:530]))], "item_id long, text string")
-    want = sorted(decontam.overlaps(docs, items).collect())
-    monkeypatch.setattr(decontam.blocks, "__defaults__", ("item_id", "text", 5))
-    assert sorted(decontam.overlaps(docs, items).collect()) == want and len(want) == 2
+def test_long_and_repeated_passages_match_brute_force(spark):
+    docs = [(1, BASE), (2, LONG), (3, "a b " * 300), (4, BASE.upper() + " " + " ".join(LONG.split()[700:720]))]
+    items = [(1, BASE), (2, " ".join(LONG.split()[500:530])), (3, "a b " * 20), (4, " ".join(LONG.split()[705:716]))]
+    found = decontam.overlaps(table(spark, [(i, t, "en", "a") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (4, 1), (2, 2), (3, 3), (2, 4), (4, 4)}
 
 
 # --- op 7 -------------------------------------------------------------------------------------
