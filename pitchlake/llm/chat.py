@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchlake.llm.shared import let, running
+
 TURN = "<|{role}|>\n{text}\n"
 
 
@@ -49,23 +51,22 @@ def preferences(turns: DataFrame) -> DataFrame:
     text = lambda a: F.array_join(F.transform(a, lambda x: render(x["role"], x["text"])), "")
     behind = lambda c: F.slice(c, F.col("p") + 1, F.greatest(F.size(c) - F.col("p"), F.lit(0)))
 
-    def mask(a: Column) -> Column:
-        lengths = F.transform(a, lambda x: F.length(render(x["role"], x["text"])))
-        spans = F.transform(
-            F.filter(F.transform(a, lambda x, i: F.struct(x["role"].alias("role"), F.length(x["text"]).alias("n"), i.alias("i"))), lambda x: x["role"] == "assistant"),
-            lambda x: F.struct((F.aggregate(F.slice(lengths, 1, x["i"] + 1), F.lit(0), lambda s, n: s + n) - x["n"] - 1).alias("start"), x["n"].alias("n")),
-        )
-        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"].cast("string"), (x["start"] + x["n"]).cast("string"))), ",")
+    def mask(a: Column, ends: Column) -> Column:
+        """ends: where each turn ends; a text ends one place before its turn."""
+        said = let(ends, lambda e: F.transform(a, lambda x, i: F.struct(x["role"].alias("role"), F.length(x["text"]).alias("n"), (F.get(e, i) - 1).alias("end"))))
+        spans = F.filter(said, lambda x: x["role"] == "assistant")
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", (x["end"] - x["n"]).cast("string"), x["end"].cast("string"))), ",")
 
     pair = pair.withColumns({"c": behind(F.col("chosen")), "r": behind(F.col("rejected"))})
+    pair = pair.withColumns({f"{n}_ends": running(F.transform(n, lambda x: F.length(render(x["role"], x["text"])))) for n in ("c", "r")})
     return pair.select(
         "pair_id",
         F.col("p").cast("long").alias("n_prompt_turns"),
         text(F.slice("chosen", 1, F.col("p"))).alias("prompt"),
         text(F.col("c")).alias("chosen"),
         text(F.col("r")).alias("rejected"),
-        mask(F.col("c")).alias("chosen_mask"),
-        mask(F.col("r")).alias("rejected_mask"),
+        mask(F.col("c"), F.col("c_ends")).alias("chosen_mask"),
+        mask(F.col("r"), F.col("r_ends")).alias("rejected_mask"),
     )
 
 

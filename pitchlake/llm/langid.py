@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from pitchlake.llm import kernel
 
 ORDER = 3
-#: Bytes of training text over all languages, at most, in expectation; see train().
-SAMPLE_BYTES = 4 << 20
+#: Bytes of training text over all languages, in expectation; what each gets at least; different texts of each, at least. See train().
+SAMPLE_BYTES, LEAST_BYTES, LEAST_TEXTS = 4 << 20, 256 << 10, 32
 UNKNOWN = "und"
 
 _GRAMS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
@@ -98,19 +98,23 @@ class Model:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learns from rows with text and language.
 
-    All rows count when a language's share of rows to read is set: its texts are read whole and
-    are chosen by a hash of the text, so that about sample_bytes / languages bytes of each are
-    read. Sums of counts are made in Spark; what reaches the driver has at most as many rows as
-    the sample has bytes. Fewer bytes than that: all are read. No rows: a model without languages.
+    All rows count when a language's share of texts to read is set. Its different texts are read
+    whole and chosen by a hash of the text, so that about sample_bytes / languages bytes of each
+    language are read, LEAST_BYTES and LEAST_TEXTS texts at least in expectation; of a language with
+    fewer different texts all are. A text counts once, however many rows have it. Sums of counts are
+    made in Spark; what reaches the driver has at most as many rows as the sample has bytes. No
+    rows: a model without languages.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    sizes = {k: v for k, v in sorted(sizes.items()) if v}
-    if not sizes:
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    found = hashed.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.approx_count_distinct("h").alias("texts")).filter("n > 0").collect()
+    if not found:
         return Model([], [])
-    share = {k: min(1.0, sample_bytes / len(sizes) / v) for k, v in sizes.items()}
-    rate = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
-    chosen = rows.filter(F.col("lang").isin(list(sizes)) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.ceil(rate * (1 << 20))))
+    each = max(LEAST_BYTES, sample_bytes / len(found)) if sample_bytes >= LEAST_BYTES else sample_bytes / len(found)
+    share = {r["lang"]: min(1.0, max(each / r["n"], LEAST_TEXTS / max(1, r["texts"]))) for r in sorted(found)}
+    # 62 bits of the hash against the share, so that it may be as small as it needs to be.
+    most = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 62)))]), F.col("lang"))
+    chosen = hashed.filter(F.col("lang").isin(list(share)) & (F.shiftrightunsigned("h", 2) <= most)).groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,10 +125,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
                     gram, n = np.unique(grams(data, offsets), return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)], names=_GRAMS.names)
 
-    found = chosen.mapInArrow(count, _GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = found.column("lang").to_numpy()
-    gram, n = found.column("gram").to_numpy().astype(np.uint32), found.column("n").to_numpy()
-    languages = [k for k in sizes if (names == k).any()]
+    counted = chosen.mapInArrow(count, _GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = counted.column("lang").to_numpy()
+    gram, n = counted.column("gram").to_numpy().astype(np.uint32), counted.column("n").to_numpy()
+    languages = [k for k in share if (names == k).any()]
     return Model(languages, [(gram[names == k], n[names == k]) for k in languages])
 
 
@@ -132,13 +136,17 @@ _SCORED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFiel
 
 
 def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns `keep` with lang_pred, score and bits_per_byte for each row of docs.
+    """The columns `keep` with lang_pred, score and bits_per_byte for each row of docs; kept columns of these names are an error.
 
     The language with the shortest code, the first by name among equals; its posterior
     probability under equal priors is the score. Null text, or text without any letter, gives
     'und' with score 0; so does every text if the model has no language.
     """
-    kept = docs.select(*keep, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__ppm_text"))
+    kept = docs.select(*keep)
+    if clash := {c.lower() for c in kept.columns} & set(_SCORED.names):
+        raise ValueError(f"kept columns with names of results: {sorted(clash)}")
+    names = [*kept.columns, *_SCORED.names]
+    kept = docs.select(*keep, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))).toDF(*[f"c{i}" for i in range(len(keep))], "text")
     schema = T.StructType([*kept.schema.fields[:-1], *_SCORED.fields])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -163,4 +171,4 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
                 [*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(p), pa.array(per_byte)], names=schema.names
             )
 
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(score, schema).toDF(*names)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.shared import WORD, cut
+from pitchlake.llm.shared import WORD, cut, quoted
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -82,7 +82,7 @@ def emit(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MA
     return (
         docs.join(targets, F.col("source").cast("string").eqNullSafe(F.col("__mix_source")))
         .withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-        .select(*[docs[c] for c in docs.columns])
+        .select(*[docs[quoted(c)] for c in docs.columns])
     )
 
 

@@ -20,8 +20,8 @@ from pitchlake.llm import kernel
 PASSAGE = 64
 HASHED = 24
 HIDDEN, GATE = 24, 12
-#: Labelled documents to learn from, at most, and the bytes of text that each may have.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES = 2000, 32 << 10
+#: Labelled documents to learn from, at most, and the passages that each gives, at most, from all over its text.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 2000, 256
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 64, 0.01, 1e-4, 7
 ACCEPT = 0.7
 
@@ -152,35 +152,43 @@ _BAG = T.StructType([T.StructField("key", T.LongType()), T.StructField("quality"
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learns from the labelled documents, at most sample_docs of them, chosen by a hash of their id.
 
-    Rows without label, id or text, and texts above SAMPLE_DOC_BYTES, are not learned from; of an
-    id with several labels the smallest counts. The driver gets passage features of the sample
-    only. No labelled row: a model with random weights, whose scores are all near 0.5.
+    Rows without label, id or text are not learned from; of an id with several labels the smallest
+    counts, of an id with several texts the one with the smallest hash. Of a text of more than
+    SAMPLE_PASSAGES passages so many are taken, evenly spaced. The driver gets passage features of
+    the sample only: one row for each chosen id. No labelled row: a model with random weights,
+    whose scores are all near 0.5.
     """
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__mil_id")).agg(F.min(label_col).cast("int").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("__mil_id"), "__mil_id").limit(sample_docs)
-    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= SAMPLE_DOC_BYTES)
-    rows = texts.join(F.broadcast(chosen), F.col("key") == F.col("__mil_id")).select("key", "quality", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    rows = texts.join(F.broadcast(chosen), F.col("key") == F.col("__mil_id")).groupBy("key").agg(F.first("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, sizes = [], []
             for _, data, offsets in kernel.chunks(batch.column(2)):
                 x, bag = features(data, offsets)
-                out += [x[a:b].tobytes() for a, b in zip(bag[:-1], bag[1:], strict=True)]
-                sizes += np.diff(bag).tolist()
+                for a, b in zip(bag[:-1], bag[1:], strict=True):
+                    own = x[a:b] if b - a <= SAMPLE_PASSAGES else x[np.linspace(a, b - 1, SAMPLE_PASSAGES).astype(np.int64)]
+                    out.append(own.tobytes())
+                    sizes.append(len(own))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=_BAG.names)
 
-    found = sorted(rows.mapInArrow(bags, _BAG).collect())[: 2 * sample_docs]
+    found = sorted(rows.mapInArrow(bags, _BAG).collect())
     return fit([np.frombuffer(r["x"], np.float32).reshape(r["n"], FEATURES) for r in found], np.array([float(r["quality"]) for r in found]))
 
 
-def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text", accept: float = ACCEPT, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The columns `keep` with score (0 to 1) and predicted (1 if score >= accept) for each row of docs.
 
-    Null and empty texts are scored as a bag of one empty passage. Passages of very long texts
+    Kept columns of these names are an error; `out` gives others. Null and empty texts are scored as a bag of one empty passage. Passages of very long texts
     are held at once, some 200 bytes for each 64 words.
     """
-    kept = docs.select(*keep, F.col(text_col).alias("__mil_text"))
+    kept = docs.select(*keep)
+    if clash := {c.lower() for c in kept.columns} & {c.lower() for c in out}:
+        raise ValueError(f"kept columns with names of results: {sorted(clash)}")
+    names = [*kept.columns, *out]
+    kept = docs.select(*keep, F.col(text_col)).toDF(*[f"c{i}" for i in range(len(keep))], "text")
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -191,4 +199,4 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "te
                 p[at : at + len(offsets) - 1] = sent.value.scores(*features(data, offsets))
             yield pa.record_batch([*batch.columns[:-1], pa.array(p), pa.array((p >= accept).astype(np.int32))], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*names)

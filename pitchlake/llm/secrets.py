@@ -9,22 +9,26 @@ the sum change. Candidates on the allow list are suppressed; base spans never ar
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchlake.llm.shared import let, quoted, running
+
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run that is too short is dropped as a whole, so asking for the length at once finds the same spans.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Candidates start where a run starts and have a digit; letters alone are words.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+#: Candidates start where a run starts and have a digit, or a capital behind a small letter three times; other letters alone are words.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|(?:[A-Za-z+/_-]*?[a-z][A-Z]){3})[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
+#: Characters that an entropy span keeps, at least, beside base spans that lie in it.
+SHORTEST = 8
 #: Bits per character that a window must reach, by class. A window of 20 has 4.32 at most.
-THRESHOLDS = {"hex": 3.2, "alnum": 3.7, "base64": 3.9}
+THRESHOLDS = {"hex": 3.2, "letters": 4.0, "alnum": 3.7, "base64": 3.9}
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
     r"^[0-9-]+$",  # numbers, dates, telephone numbers
@@ -34,39 +38,64 @@ ALLOW = (
 _FIRST, _SLOTS = ord("+"), ord("z") - ord("+") + 1
 
 
-def _located(text: Column, found: Column, pattern: str, kind: int, keep=None) -> Column:
-    """array<struct<start,kind,end>> of the matches `found`, from the lengths of the gaps between them."""
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _starts(text: Column, found: Column, pattern: str) -> Column:
+    """Where each of the matches `found` starts: running sums of the gaps and of the matches between."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    ends = F.transform(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        lambda i: F.struct(
-            (F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, x: a + F.length(x))).alias("start"),
-            F.lit(kind).alias("kind"),
-            F.length(F.get(found, i)).alias("n"),
-            i.alias("i"),
-        ),
+    steps = F.transform(F.slice(gaps, 1, F.size(found)), lambda g, i: g + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0))
+    return F.when(F.size(found) > 0, running(steps)).otherwise(F.array().cast("array<int>"))
+
+
+def _located(starts: Column, found: Column, kind: int, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<start,kind,end>> of the matches `found`; keep says by their index which of them."""
+    spans = F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.length(F.get(found, i))).alias("end")))
+    return spans if keep is None else F.filter(spans, lambda s, i: keep(i))
+
+
+def _touches(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of the spans, which are in order and do not overlap, has a place from start to end (exclusive).
+
+    A binary search: the last span that begins before `end` is the only one to ask.
+    """
+    n = F.size(spans)
+    halves = F.sequence(F.ceil(F.log2(n + 1.0)).cast("int"), F.lit(0))
+    before = F.aggregate(
+        halves,
+        F.lit(0),
+        lambda at, k: F.when((at + F.pow(2.0, k).cast("int") <= n) & (F.get(spans, at + F.pow(2.0, k).cast("int") - 1)["start"] < end), at + F.pow(2.0, k).cast("int")).otherwise(at),
     )
-    kept = ends if keep is None else F.filter(ends, lambda s: keep(s["i"]))
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    return F.when(F.size(found) > 0, F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (s["start"] + s["n"]).alias("end")))).otherwise(none)
+    return F.when(n == 0, F.lit(False)).otherwise(F.coalesce(F.get(spans, before - 1)["end"] > start, F.lit(False)))
 
 
 def window_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits a character, over windows of s ('+' to 'z' only; else 0)."""
-    chars = F.transform(F.split(s, ""), lambda c: F.ascii(c) - _FIRST)
+    """The largest Shannon entropy, in bits a character, over windows of s ('+' to 'z' only; else 0).
+
+    Counts are the characters of a text, one for each of '+' to 'z'; a step of the window overlays two of them.
+    """
+    place = lambda c: F.ascii(c) - (_FIRST - 1)
+    count = lambda n, c: F.ascii(F.substring(n, place(c), F.lit(1))) - ord("0")
+    put = lambda n, c, v: F.overlay(n, F.char(v + ord("0")), place(c), F.lit(1))
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
-    def step(acc: Column, i: Column) -> Column:
-        new, old = F.get(chars, i), F.when(i >= window, F.get(chars, i - window)).otherwise(F.lit(-1))
-        n_new, n_old = F.get(acc["n"], new), F.when(old >= 0, F.get(acc["n"], old)).otherwise(F.lit(0))
-        same = new == old
-        total = F.when(same, acc["total"]).otherwise(acc["total"] - term(n_new) + term(n_new + 1) - term(n_old) + term(n_old - 1))
-        counts = F.when(same, acc["n"]).otherwise(F.transform(acc["n"], lambda v, j: v + (j == new).cast("int") - (j == old).cast("int")))
-        bits = F.when(i >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("n"), total.alias("total"), F.greatest(acc["best"], bits).alias("best"))
+    def leave(acc: Column, old: Column) -> Column:
+        return let(count(acc["n"], old), lambda n: F.struct(put(acc["n"], old, n - 1).alias("n"), (acc["total"] - term(n) + term(n - 1)).alias("total"), acc["best"].alias("best")))
+
+    def enter(acc: Column, new: Column, full: Column) -> Column:
+        def put_in(n: Column) -> Column:
+            total = acc["total"] - term(n) + term(n + 1)
+            bits = F.when(full, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
+            return F.struct(put(acc["n"], new, n + 1).alias("n"), total.alias("total"), F.greatest(acc["best"], bits).alias("best"))
+
+        return let(count(acc["n"], new), put_in)
 
-    start = F.struct(F.array_repeat(F.lit(0), _SLOTS).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), start, step, lambda a: a["best"])
+    def over(chars: Column) -> Column:
+        left = lambda acc, i: F.when(i >= window, leave(acc, F.get(chars, i - window))).otherwise(acc)
+        start = F.struct(F.lit("0" * _SLOTS).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), start, lambda acc, i: let(left(acc, i), lambda a: enter(a, F.get(chars, i), i >= window - 1)), lambda a: a["best"])
+
+    return let(F.split(s, ""), over)
 
 
 def scan(docs: DataFrame, allow: Sequence[str] = ALLOW, thresholds: dict[str, float] = THRESHOLDS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,44 +104,43 @@ def scan(docs: DataFrame, allow: Sequence[str] = ALLOW, thresholds: dict[str, fl
     Spans are structs (start, kind as index into KINDS, end) in code points, end exclusive, by
     start and then kind. Matches of a kind are leftmost and do not overlap. Null text counts as
     empty: no spans. An entropy span is a whole candidate of which some window reaches its class's
-    threshold; it is left out where it overlaps a base span. Equal rows give equal rows; other
-    columns of docs are not read. Work per document is in proportion to its text; positions are
-    summed per match, so a text with very many secrets costs their count squared.
+    threshold; where base spans lie in it, it is what is before the first and behind the last of
+    each kind's spans that touch it, if that has SHORTEST characters. Equal rows give equal rows;
+    other columns of docs are not read. Work per document is in proportion to its text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(
-        F.col(id_col).alias("doc_id"),
-        text.alias("t"),
-        F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)).alias("assign"),
-        F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)).alias("access"),
-        F.regexp_extract_all(text, F.lit(HEX), F.lit(0)).alias("hex"),
-        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("candidate"),
-    )
-    t = F.col("t")
-    values = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
-    values = F.when(F.size("assign") > 0, values)
-    spans = found.withColumn("values", values).select(
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "candidate": CANDIDATE}
+    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(n) for n, p in patterns.items()])
+    values = F.when(F.size("assign") > 0, F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)))
+    located = found.select("*", values.alias("values"), *[_starts(F.col("t"), F.col(n), p).alias(f"{n}_at") for n, p in patterns.items()])
+    spans = located.select(
         "doc_id",
-        "t",
         "candidate",
-        _located(t, F.col("assign"), ASSIGN, 0, lambda i: F.length(F.get(F.col("values"), i)) >= 8).alias("assign"),
-        _located(t, F.col("access"), ACCESS, 1).alias("access"),
-        _located(t, F.col("hex"), HEX, 2).alias("hex"),
+        "candidate_at",
+        let(F.col("values"), lambda v: _located(F.col("assign_at"), F.col("assign"), 0, lambda i: F.length(F.get(v, i)) >= 8)).alias("assign"),
+        _located(F.col("access_at"), F.col("access"), 1).alias("access"),
+        _located(F.col("hex_at"), F.col("hex"), 2).alias("hex"),
     )
-    listed = lambda c: [c.rlike(p) for p in allow]
 
     def suspicious(c: Column) -> Column:
-        bits = window_entropy(c, window)
-        need = F.when(c.rlike("^[0-9a-fA-F]+$"), thresholds["hex"]).when(c.rlike("^[A-Za-z0-9]+$"), thresholds["alnum"]).otherwise(thresholds["base64"])
+        need = F.when(c.rlike("^[0-9a-fA-F]+$"), thresholds["hex"]).when(c.rlike("^[A-Za-z]+$"), thresholds["letters"]).when(c.rlike("^[A-Za-z0-9]+$"), thresholds["alnum"]).otherwise(thresholds["base64"])
         allowed = F.lit(False)
-        for hit in listed(c):
-            allowed = allowed | hit
-        return F.when(allowed, F.lit(False)).otherwise(bits >= need)
+        for p in allow:
+            allowed = allowed | c.rlike(p)
+        return F.when(allowed, F.lit(False)).otherwise(window_entropy(c, window) >= need)
 
-    spans = spans.withColumn("judged", F.transform("candidate", suspicious))
-    entropy = _located(t, F.col("candidate"), CANDIDATE, 3, lambda i: F.get(F.col("judged"), i))
+    entropy = _located(F.col("candidate_at"), F.col("candidate"), 3, lambda i: suspicious(F.get("candidate", i)))
     spans = spans.withColumn("base_spans", F.array_sort(F.concat("assign", "access", "hex"))).withColumn("entropy", entropy)
-    added = F.filter("entropy", lambda e: ~F.exists("base_spans", lambda b: (b["start"] < e["end"]) & (b["end"] > e["start"])))
+    touches = lambda e: _touches(F.col("assign"), e["start"], e["end"]) | _touches(F.col("access"), e["start"], e["end"]) | _touches(F.col("hex"), e["start"], e["end"])
+
+    def beside(e: Column) -> Column:
+        """The parts of an entropy span in front of and behind all base spans that touch it."""
+        inside = F.filter("base_spans", lambda b: (b["start"] < e["end"]) & (b["end"] > e["start"]))
+        part = lambda a, b: F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end"))
+        parts = F.array(part(e["start"], F.array_min(F.transform(inside, lambda b: b["start"]))), part(F.array_max(F.transform(inside, lambda b: b["end"])), e["end"]))
+        return F.filter(parts, lambda p: p["end"] - p["start"] >= SHORTEST)
+
+    added = F.flatten(F.transform("entropy", lambda e: F.when(touches(e), beside(e)).otherwise(F.array(e)).cast(_SPANS)))
     return spans.select(
         "doc_id",
         F.size("assign").cast("long").alias("n_assign"),
@@ -145,4 +173,4 @@ def redact(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
         lambda a: F.concat(a["out"], F.col("text").substr(a["at"] + 1, F.length("text"))),
     )
     text = F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[text.alias("text") if c == "text" else docs[quoted(c)] for c in docs.columns])

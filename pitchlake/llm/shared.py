@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text; that of the empty text, 0, for a null id."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+
+
+def quoted(name: str) -> str:
+    """A column's name as select() takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for each row, not wherever, or as often in a lambda as, body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(x: Column, block: int = 256) -> Column:
+    """array<int> of the running sums of an array<int>, in steps that grow with its length.
+
+    Sums are appended block by block, and each block's sums raised by those of the blocks before, so
+    that only `block` values are copied for each new one.
+    """
+
+    def sums(of: Column) -> Column:
+        return F.aggregate(of, F.array().cast("array<int>"), lambda a, v: F.concat(a, F.array((F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + v).cast("int"))))
+
+    def raised(parts: Column) -> Column:
+        totals = sums(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, v: a + v)))
+        return let(totals, lambda before: F.flatten(F.transform(parts, lambda p, i: let(F.coalesce(F.get(before, i - 1), F.lit(0)), lambda b: F.transform(sums(p), lambda v: v + b)))))
+
+    def blocks(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(x), F.lit(1)) - 1) / block).cast("int"))
+        return F.transform(starts, lambda i: F.slice(x, i * block + 1, block))
+
+    return let(let(x, blocks), raised)

@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pitchlake.llm import chat, components, decontam, kernel, langid, mixing, quality_mil, secrets, set_dedup, simhash, substring_dedup, syncmers, token_store
+from pitchlake.llm import chat, components, decontam, kernel, langid, mixing, quality_mil, secrets, set_dedup, shared, simhash, substring_dedup, syncmers, token_store
 from pitchlake.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, key long, fp long, range long, shard long, copies long"
@@ -110,6 +112,16 @@ def test_language_edges(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, nothing, [F.col("doc_id")]).collect()} == {"und"}
 
 
+def test_no_language_vanishes_and_copies_count_once(spark):
+    rare = [(i, f"mot rare numéro {i}", "fr", "a") for i in range(3)]
+    many = [(10 + i, "the same text in English", "en", "a") for i in range(300)] + [(1000 + i, f"{BASE} {i}", "en", "a") for i in range(200)]
+    model = langid.train(table(spark, rare + many), sample_bytes=600)
+    assert model.languages == ["en", "fr"]
+    once = langid.train(table(spark, rare + many[299:]), sample_bytes=1 << 30)
+    every = langid.train(table(spark, rare + many), sample_bytes=1 << 30)
+    assert all((x[1] == y[1]).all() for a, b in zip(once.trees, every.trees, strict=True) for x, y in zip(a, b, strict=True))
+
+
 # --- op 2 -------------------------------------------------------------------------------------
 
 
@@ -223,6 +235,68 @@ def test_quality_learns_and_takes_odd_rows(spark, odd, none):
     assert quality_mil.score(odd, quality_mil.train(none, labels), [F.col("doc_id")]).count() == len(ODD)
 
 
+def plain_score(model, text):
+    """One text through the network in plain Python, from its features."""
+    x, bag = quality_mil.features(*kernel.text_bytes(pa.array([text], pa.string())))
+    w, h, s = model.w, [], []
+    for row in x[bag[0] : bag[1]]:
+        z = [max(-8.0, min(8.0, (v - m) / d)) for v, m, d in zip(row.tolist(), model.mean.tolist(), model.scale.tolist(), strict=True)]
+        own = [math.tanh(sum(z[i] * w["E"][i][j] for i in range(len(z))) + w["e"][j]) for j in range(quality_mil.HIDDEN)]
+        gated = [math.tanh(sum(own[i] * w["V"][i][j] for i in range(len(own)))) / (1 + math.exp(-sum(own[i] * w["U"][i][j] for i in range(len(own))))) for j in range(quality_mil.GATE)]
+        h.append(own)
+        s.append(math.exp(sum(g * a for g, a in zip(gated, w["a"], strict=True))))
+    mean = [sum(p * own[j] for p, own in zip(s, h, strict=True)) / sum(s) for j in range(quality_mil.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(m * c for m, c in zip(mean, w["c"], strict=True)) - w["b"][0]))
+
+
+def test_scores_match_plain_python(spark, odd):
+    rng = np.random.default_rng(4)
+    model = quality_mil.Model(rng.normal(0, 0.1, quality_mil.FEATURES), np.abs(rng.normal(1, 0.2, quality_mil.FEATURES)) + 0.1, rng)
+    some = odd.filter("doc_id is null or doc_id not in (8, 9)")  # the long ones take plain Python too long
+    for r in quality_mil.score(some, model, [F.col("text")]).collect():
+        assert abs(r.score - plain_score(model, r.text)) < 1e-4 and r.predicted == (r.score >= 0.7)
+
+
+def test_passage_features_match_plain_python():
+    text = "Buy NOW! buy now again; " * 40 + "\n12 (quiet) words é " * 9
+    x, bag = quality_mil.features(*kernel.text_bytes(pa.array(["", text, None])))
+    assert bag.tolist() == [0, 1, 1 + -(-len(text.split()) // 64), 2 + -(-len(text.split()) // 64)] and not x[0].any() and not x[-1].any()
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode())]
+    data, seen = text.encode(), set()
+    for k in range(bag[1], bag[2]):
+        own = words[64 * (k - 1) : 64 * k]
+        part = data[own[0][0] : own[-1][1]]
+        for i, chars in enumerate(quality_mil._CLASSES):
+            assert abs(x[k, i] - sum(part.count(c.encode()) for c in chars) / len(part)) < 1e-5
+        sizes = [b - a for a, b in own]
+        assert abs(x[k, 8] - math.log1p(len(own))) < 1e-5 and abs(x[k, 9] - math.log(sum(sizes) / len(own))) < 1e-5
+        assert abs(x[k, 12] - len({data[a:b] for a, b in own}) / len(own)) < 1e-5
+        again = 0
+        for j in range(64 * (k - 1), min(64 * k, len(words) - 3)):
+            run = tuple(data[a:b] for a, b in words[j : j + 4])
+            again += run in seen
+            seen.add(run)
+        assert abs(x[k, 13] - again / len(own)) < 1e-5
+
+
+def test_training_takes_one_row_of_an_id_and_long_texts(spark):
+    rows = [(1, "&&& buy buy *** " * 20, "en", "a")] * 500 + [(2, LONG, "en", "a"), (1, "another text of the same id", "en", "a")]
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    a = quality_mil.train(table(spark, rows), labels)
+    b = quality_mil.train(table(spark, rows[499:]).repartition(3), labels)
+    assert all((a.w[k] == b.w[k]).all() for k in a.w)
+    got = {r.doc_id: r.score for r in quality_mil.score(table(spark, rows[499:501]), a, [F.col("doc_id")]).collect()}
+    assert got[2] > 0.7 > got[1]
+
+
+def test_names_of_results_are_refused(spark, odd):
+    model = quality_mil.train(odd, spark.createDataFrame([], "doc_id long, quality int"))
+    with pytest.raises(ValueError, match="score"):
+        quality_mil.score(odd, model, [F.lit(1).alias("Score")])
+    with pytest.raises(ValueError, match="lang_pred"):
+        langid.predict(odd, langid.train(odd), [F.lit(1).alias("lang_pred")])
+
+
 # --- op 4 -------------------------------------------------------------------------------------
 
 
@@ -537,6 +611,30 @@ def test_window_entropy_is_that_of_the_best_window(spark):
         assert abs(spark.range(1).select(secrets.window_entropy(F.lit(s))).head()[0] - plain(s)) < 1e-9
 
 
+def test_running_sums(spark):
+    for n in (0, 1, 2, 255, 256, 257, 1000):
+        x = [(7 * i) % 11 for i in range(n)]
+        got = spark.createDataFrame([(x,)], "x array<int>").select(shared.running(F.col("x"))).head()[0]
+        assert got == np.cumsum(x).tolist()
+
+
+def test_thousands_of_secrets_in_one_text(spark):
+    """Work is in proportion to the text: 8,000 hex runs, and keys between them."""
+    runs = " ".join(f"{i:032x} key{i:05d}QwErTyUiOpAsDfGhJkLz token={i:08d}" for i in range(8000))
+    began = time.monotonic()
+    got = secrets.scan(table(spark, [(1, runs, "en", "a")])).head()
+    assert time.monotonic() - began < 30
+    assert [(s.start, s.kind, s.end) for s in got.base_spans] == plain_spans(runs) and got.n_hex == got.n_assign == 8000
+    assert len(got.spans) == 24000
+
+
+def test_entropy_spans_of_letters_and_beside_base_spans(spark):
+    key = "QwErTyUiOpAsDfGhJkLzXcVbNm"
+    texts = [key, "thequickbrownfoxjumpsoverthelazydog", "0123456789abcdef" * 2 + "ZqXwCeVrBtNyMu", "getTheValueOfTheThingThatWeWant"]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.scan(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), allow=()).collect()}
+    assert got[0] == [(0, 3, 26)] and got[1] == [] and got[2] == [(0, 2, 32), (32, 3, 46)] and got[3] == []
+
+
 # --- op 9 -------------------------------------------------------------------------------------
 
 
@@ -558,6 +656,16 @@ def test_preferences(spark):
     assert chat.preferences(chat.pairs_by_id(t.filter("conv_id > 99"))).count() == 0
 
 
+def test_a_conversation_of_thousands_of_turns(spark):
+    rows = [(c, i, "assistant" if i % 2 else "user", f"turn {i}" if i < 5 else f"turn {i} of {c}") for c in (0, 1) for i in range(4000)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.monotonic()
+    r = chat.preferences(chat.pairs_by_id(t)).head()
+    assert time.monotonic() - began < 30 and r.n_prompt_turns == 5
+    spans = [tuple(map(int, s.split(":"))) for s in r.chosen_mask.split(",")]
+    assert [r.chosen[a:b] for a, b in spans] == [f"turn {i} of 0" for i in range(5, 4000, 2)]
+
+
 # --- op 10 ------------------------------------------------------------------------------------
 
 
@@ -630,3 +738,72 @@ def test_dictionary_is_never_empty(spark, none, tmp_path):
     copies = [(i, BASE, "en", "a") for i in range(500)] + [(1000 + i, f"{BASE} {i} {i * 7} more words", "en", "a") for i in range(200)]
     trained = token_store.train_dictionary(table(spark, copies), tokenizer_file())
     assert trained == token_store.train_dictionary(table(spark, copies[499:]), tokenizer_file())  # copies do not fill the sample
+
+
+# --- pipeline ---------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    """Tables of a corpus with junk, copies, a benchmark passage, odd rows and columns that stages name themselves."""
+    folder = tmp_path_factory.mktemp("tables")
+    rng = np.random.default_rng(2)
+    plain = lambda n: " ".join(rng.choice([f"word{i}" for i in range(400)], n)).capitalize() + "."
+    rows, item = [], plain(20)
+    for i in range(120):
+        rows.append((i, "&&& $$$ BUY buy %%% " * 12 + str(i) if i % 4 == 3 else plain(90), "en", "abc"[i % 3]))
+    rows += [(200 + i, rows[i][1], "en", "a") for i in range(0, 40, 4)]  # exact copies
+    rows += [(300 + i, rows[i][1] + " end", "en", None) for i in range(0, 40, 4)]  # near copies
+    rows += [(400, f"{plain(50)} {item} {plain(20)}", "en", "a"), (401, None, None, None), (402, "", "en", "b"), (None, plain(80), "en", "c"), (403, LONG, "en", "b"), (403, LONG, "en", "b")]
+    docs = table(spark, rows).withColumns({"score": F.lit("x"), "predicted": F.lit(3), "copies": F.lit(None).cast("int"), "uid": F.lit(9), "key ": F.lit(1), "a.b": F.lit(2)})
+    docs.coalesce(2).write.parquet(f"file://{folder}/documents.parquet")
+    labels = [(r[0], 0 if r[0] % 4 == 3 else 1, 0) for r in rows[:120]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"file://{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").coalesce(1).write.parquet(f"file://{folder}/benchmark.parquet")
+    return f"file://{folder}", rows, item
+
+
+def test_pipeline_stages_on_odd_rows_and_clashing_names(spark, small_tables):
+    path, rows, item = small_tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    key = lambda rs: sorted(((r["doc_id"], r["text"]) for r in rs), key=str)
+    names = [f"`{c}`" for c in docs.columns]
+
+    kept = corpus_pipeline.quality(spark, docs, path)
+    assert kept.columns == docs.columns
+    got = {r.doc_id for r in kept.collect()}
+    assert {i for i in range(120) if i % 4 != 3} <= got and not {i for i in range(120) if i % 4 == 3} & got
+
+    one = corpus_pipeline.near_duplicates(spark, docs, path)
+    assert one.columns == docs.columns
+    least = jaccard_components([(r[0], r[1]) for r in rows])
+    assert {r.doc_id for r in one.collect()} == set(least)
+
+    clean = corpus_pipeline.decontaminate(spark, docs, path)
+    assert clean.columns == docs.columns
+    hit = {d for d, _ in plain_overlaps([r[:2] for r in rows], [(1, item)])}
+    assert 400 in hit and key(clean.collect()) == sorted([r[:2] for r in rows if r[0] not in hit], key=str)
+
+    mixed = corpus_pipeline.mixture(spark, docs, path)
+    assert mixed.columns == docs.columns
+    copies = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect()}
+    n = {}
+    for r in mixed.collect():
+        n[r.doc_id, r.source] = n.get((r.doc_id, r.source), 0) + 1
+    assert {k: v * (2 if k[0] == 403 else 1) for k, v in copies.items() if v} == n
+
+    held = corpus_pipeline.token_files(spark, docs, path)
+    assert sorted((r.doc_id for r in held.collect()), key=str) == sorted((r[0] for r in rows), key=str)
+
+    for name, stage in corpus_pipeline.STAGES:  # an empty table
+        out = stage(spark, docs.filter("doc_id > 9999").select(*names), path)
+        assert out.count() == 0, name
+
+
+def test_pipeline_is_its_stages_in_a_row(spark, small_tables):
+    path, rows, _ = small_tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+    want = sorted(map(tuple, docs.collect()), key=str)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, path).collect()), key=str) == want and want
