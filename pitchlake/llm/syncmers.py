@@ -3,7 +3,8 @@
 The symbols are words. A k-mer is k words in a row; its inner substrings are its k - s + 1 runs
 of s words. A k-mer is chosen when the smallest hash among its inner substrings is that of the
 first or of the last one. The choice looks at the k-mer alone, so equal passages give equal
-anchors wherever they stand, and anchors with their positions can be matched between texts.
+anchors wherever they stand. A fingerprint is the anchors with the smallest hashes and where they
+stand; two fingerprints are matched by position: shared anchors count as far as their offsets agree.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.llm.ranges import ranged
-from pitchlake.llm.shared import WORD, cut
+from pitchlake.llm.shared import WORD, cut, let
 
 K, S = 5, 2
-#: Hashes kept in a fingerprint: the smallest ones, of 32 bits each.
+#: Anchors kept in a fingerprint: those with the smallest hashes, of 31 bits each.
 SKETCH = 64
+#: Words by which the offsets of matched anchors may differ from that of most.
+BAND = 32
 #: Neighbouring ids are dealt to ranges of about so many rows.
 RANGE_ROWS = 4000
 #: Heads of ranges that are broadcast, at 24 bytes each; beyond, they are joined by a shuffle.
 MOST_HEADS = 200_000
+#: Ranges that are put in order at once.
+NODE = 1024
 
 
 def _word_hashes(text: Column) -> Column:
@@ -67,20 +72,42 @@ def anchors(df: DataFrame, text_col: str, out: str, k: int = K, s: int = S) -> D
 
 
 def sketch(found: Column, size: int = SKETCH) -> Column:
-    """The `size` smallest distinct 32-bit hashes of the anchors, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda a: F.shiftrightunsigned(a["hash"], 32)))), 1, size)
+    """The anchors with the `size` smallest hashes, ascending; of a repeated hash, the first place.
 
+    Each is one number: the hash in the upper, the position in words in the lower 32 bits.
+    """
+    numbers = F.array_sort(F.transform(found, lambda a: F.shiftleft(F.shiftrightunsigned(a["hash"], 33), 32) + a["pos"]))
+
+    def first(n: Column) -> Column:
+        return F.filter(n, lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get(n, i - 1), 32)))
+
+    return let(numbers, lambda n: F.slice(first(n), 1, size))
+
+
+def likeness(a: Column, b: Column, size: int = SKETCH, band: int = BAND) -> Column:
+    """Of the `size` smallest hashes of both sketches, the share that both have at agreeing places; 1 for two empty ones.
+
+    An offset is how many words later an anchor stands in b than in a. Offsets agree if they differ
+    by at most `band` words from that offset which most others are that near to. The places of
+    anchors stand for those of the text, so a passage that moved counts, and chance hits do not.
+    """
+    half = 1 << 31
+    merged = F.array_sort(F.concat(a, F.transform(b, lambda x: x + half)))  # of equal hashes, that of a stands first
+
+    def matched(m: Column) -> Column:
+        hashes = F.slice(F.array_distinct(F.transform(m, lambda x: F.shiftright(x, 32))), 1, size)
+        pairs = lambda last: F.filter(
+            F.transform(m, lambda x, i: F.when((F.shiftright(x, 32) == F.shiftright(F.get(m, i + 1), 32)) & (F.shiftright(x, 32) <= last), F.get(m, i + 1) - half - x)), lambda d: d.isNotNull()
+        )
+        most = lambda offsets: F.coalesce(F.array_max(F.transform(F.array_distinct(offsets), lambda d: F.size(F.filter(offsets, lambda e: F.abs(e - d) <= band)))), F.lit(0))
+        return let(hashes, lambda h: let(pairs(F.get(h, F.size(h) - 1)), most) / F.size(h))
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Jaccard likeness, 0 to 1, as the sketches estimate it; 1 for two empty ones."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) > 0, both / F.size(union)).otherwise(F.lit(1.0))
+    return F.when(F.size(a) + F.size(b) > 0, let(merged, matched)).otherwise(F.lit(1.0))
 
 
 def as_text(s: Column) -> Column:
-    """The sketch as hexadecimal text, eight digits a hash."""
-    return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    """The sketch as hexadecimal text, sixteen digits an anchor."""
+    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, size: int = SKETCH) -> DataFrame:
@@ -97,11 +124,14 @@ def with_next(docs: DataFrame, ids: DataFrame) -> DataFrame:
     and each range gets, behind its own rows, a copy of the rows that head the range below it.
     """
     ranges, of_ids = ranged(ids, docs, ids, rows=RANGE_ROWS)
-    # One row for each range: its head also stands at the end of the range above it.
-    order = Window.orderBy(F.col("range").desc())
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = of_ids.groupBy("range").agg(F.max("doc_id").alias("head"))
-    heads = cut(heads.select(F.col("range").alias("of"), "head", F.coalesce(F.lag("range").over(order), F.min("range").over(every)).alias("above")), 1)
+    # A range's head also stands at the end of the range above it. Ranges are put in order NODE at a
+    # time; only the nodes, one row for so many ranges, are put in order all at once.
+    heads = of_ids.groupBy(F.col("range").alias("of")).agg(F.max("doc_id").alias("head")).withColumn("node", F.floor(F.col("of") / NODE))
+    nodes = heads.groupBy("node").agg(F.min("of").alias("low")).select(F.col("node").alias("up"), "low")
+    order = Window.orderBy(F.col("up").desc())
+    nodes = nodes.withColumn("over", F.coalesce(F.lag("low").over(order), F.min("low").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).drop("low")
+    inner = Window.partitionBy("node").orderBy(F.col("of").desc())
+    heads = cut(heads.join(nodes, F.col("node") == F.col("up")).select("of", "head", F.coalesce(F.lag("of").over(inner), F.col("over")).alias("above")))
     if heads.count() <= MOST_HEADS:
         heads = F.broadcast(heads)
     joined = ranges.join(heads, (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")

@@ -1,15 +1,18 @@
 """The text operators on small tables: nulls, empty and long texts, ties, repeated rows, clashing names."""
 
+import functools
 import hashlib
 import itertools
 import math
 import re
+import struct
 import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -308,6 +311,68 @@ def test_syncmers_are_closed_and_positional(spark):
     assert a and {(p + 2, h) for p, h in a} <= b  # the same anchors, two words later
 
 
+def plain_anchors(text):
+    """(position, hash) of closed syncmers in plain Python: XXH64 chained over words, as the operator's are."""
+    chain = lambda values: functools.reduce(lambda seed, v: xxhash.xxh64_intdigest(struct.pack("<Q", v), seed), values, 42)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+    if not words:
+        return []
+    if len(words) < 5:
+        return [(0, signed(chain(words)))]
+    inner = [chain(words[i : i + 2]) for i in range(len(words) - 1)]
+    out = []
+    for i in range(len(words) - 4):
+        own = [signed(v) for v in inner[i : i + 4]]
+        if min(own) in (own[0], own[3]):
+            out.append((i, signed(chain([inner[i], inner[i + 2], inner[i + 3]]))))
+    return out
+
+
+def plain_sketch(text):
+    first = {}
+    for pos, h in plain_anchors(text):
+        first.setdefault((h % (1 << 64)) >> 33, pos)
+    return sorted(first.items())[:64]
+
+
+def plain_likeness(x, y):
+    a, b = dict(x), dict(y)
+    union = sorted(a.keys() | b.keys())[:64]
+    offsets = [b[h] - a[h] for h in union if h in a and h in b]
+    most = max((sum(abs(d - e) <= 32 for e in offsets) for d in offsets), default=0)
+    return most / len(union) if union else 1.0
+
+
+def test_anchors_fingerprints_and_likeness_match_plain_python(spark, odd):
+    got = syncmers.anchors(odd, "text", "found").select("text", "found").collect()
+    for r in got:
+        assert [(x.pos, x.hash) for x in r.found] == plain_anchors(r.text)
+    words = BASE.split() * 3
+    texts = [BASE, " ".join(words), " ".join(words[7:] + words[:7]), "new words in front of " + BASE, " ".join(words[:30] + ["x"] * 80 + words[30:]), LONG, LONG[20_000:], "one two", "", None]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    got = sorted(syncmers.edited_likeness(table(spark, rows)).collect())
+    for i, r in enumerate(got):
+        own, after = texts[i] or "", texts[i - 1] or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        assert r.fingerprint == "".join(f"{h:08x}{p:08x}" for h, p in plain_sketch(own))
+        assert r.edited_fingerprint == "".join(f"{h:08x}{p:08x}" for h, p in plain_sketch(edited))
+        assert abs(r.near_edited - plain_likeness(plain_sketch(own), plain_sketch(edited))) < 1e-12
+        assert abs(r.near_next - plain_likeness(plain_sketch(own), plain_sketch(after))) < 1e-12
+
+
+@pytest.mark.parametrize("node", [1024, 2])
+def test_next_rows_over_many_ranges(spark, monkeypatch, node):
+    monkeypatch.setattr(syncmers, "RANGE_ROWS", 2)
+    monkeypatch.setattr(syncmers, "NODE", node)
+    ids = [1, 2, 3, 50, 51, 52, 1000, 1001, 5000, 90000, 90001, 90002, 90003]
+    got = syncmers.edited_likeness(table(spark, [(i, f"{i:08d}", "en", "a") for i in ids])).collect()
+    for r in got:
+        after = sorted(ids)[sorted(ids).index(r.doc_id) - 1]
+        assert r.edited_sha256 == hashlib.sha256(f"{r.doc_id:08d}"[:4].encode() + f"{after:08d}"[:4].encode()).hexdigest()
+
+
 def test_edited_fingerprints(spark, odd, none):
     got = syncmers.edited_likeness(odd).collect()
     rows = sorted(((i, t or "") for i, t, _, _ in ODD), key=lambda r: (-r[0] if r[0] is not None else 1, r[1]))
