@@ -117,3 +117,19 @@ def league_projection(profiles: DataFrame, leagues: DataFrame, fits: DataFrame)
 def best_league(projected: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("league", "projected_kpi", "projected_value", "confidence"), F.struct("projected_value", (-F.col("ord")).alias("o")))
     return projected.groupBy("player_key").agg(best.alias("b")).select("player_key", "b.*")
+
+
+def canonical_club(name: Column, aliases: dict[str, str], inside: bool = True) -> Column:
+    """The club's one name: that of an alias equal to the folded text, else of the first alias in it, else the trimmed text.
+
+    Null for null and blank text. inside=False asks for equality only. The aliases are a table of
+    fixed size, in the order in which they are looked for.
+    """
+    text = F.trim(name)
+    folded = F.lower(text)
+    out = F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string"))
+    for alias, club in aliases.items():
+        out = out.when(folded == alias, club)
+    for alias, club in aliases.items() if inside else ():
+        out = out.when(folded.contains(alias), club)
+    return out.otherwise(text)

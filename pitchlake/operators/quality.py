@@ -37,16 +37,24 @@ def validate(rows: DataFrame, required: dict[str, float], ranges: tuple[Range, .
     return t.withColumn("valid", F.size("issues") == 0)
 
 
+#: What a player can do in one match, and from where on it is unusual.
 STAT_RANGES = (
-    Range("minutes", 0, 130), Range("goals", 0, 10, 4), Range("assists", 0, 10, 4), Range("shots", 0, 30, 6), Range("passes", 0, 250, 24),
-    Range("yellow", 0, 2), Range("red", 0, 1), Range("xg", 0, 6, 0.3),
+    Range("goals", 0, 10, 5), Range("assists", 0, 10, 4), Range("minutes", 0, 120, 95), Range("shots", 0, 20, 15), Range("yellow", 0, 2), Range("red", 0, 1),
+    Range("passes", 0, 200), Range("xg", 0.0, 5.0, 3.0), Range("xa", 0.0, 5.0), Range("progressive_carries", 0, 50), Range("progressive_passes", 0, 100),
 )
 
 
-def validate_stats(stats: DataFrame) -> DataFrame:
+def validate_stats(stats: DataFrame, ranges: tuple[Range, ...] = STAT_RANGES) -> DataFrame:
+    """validate() with the rules of match rows; ranges of columns that stats does not have are left out."""
     idle = (F.col("minutes") <= 0, "no_minutes", 0.3, True)
     impossible = ((F.col("goals") > 0) & (F.coalesce("minutes", F.lit(0)) <= 0), "goals_without_minutes", 0.1, False)
-    return validate(stats, {"player_key": 0.5}, STAT_RANGES, (idle, impossible))
+    return validate(stats, {"player_key": 0.5}, tuple(r for r in ranges if r.column in stats.columns), (idle, impossible))
+
+
+def type_issues(rows: DataFrame, types: dict[str, str]) -> DataFrame:
+    """rows with `type_issues`: <column>_not_<type> for each named column whose text is no value of the type; nulls pass."""
+    wrong = [F.when(F.col(c).isNotNull() & F.col(c).cast("string").try_cast(t).isNull(), F.lit(f"{c}_not_{t}")) for c, t in types.items()]
+    return rows.withColumn("type_issues", F.array_compact(F.array(*wrong, F.lit(None).cast("string"))))
 
 
 def validate_profiles(players: DataFrame) -> DataFrame:

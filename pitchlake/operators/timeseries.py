@@ -90,3 +90,14 @@ def value_spells(history: DataFrame) -> DataFrame:
         "player_key", "spell", "club", "rows", "peak", F.element_at("ages", (F.floor(F.col("rows") / 2) + 1).cast("int"))["age"].alias("mid_age"),
         F.round((F.col("last_value") - F.col("first_value")) / F.nullif("first_value", F.lit(0.0)), 4).alias("change"),
     )
+
+
+def drift_report(players: DataFrame, spiked: DataFrame, drift: DataFrame) -> DataFrame:
+    """For each player the spikes and drops of single matches, their number, the drift of the career and the number of all.
+
+    anomalies is an array of structs (seq, metric, kind, z), by match and metric. The total is one row, broadcast.
+    """
+    listed = spiked.groupBy("player_key").agg(F.array_sort(F.collect_list(F.struct("seq", "metric", "kind", "z"))).alias("anomalies"))
+    total = spiked.agg(F.count("*").alias("total_anomalies"))
+    t = players.select("player_key").distinct().join(listed, "player_key", "left").join(drift.select("player_key", "direction", "magnitude"), "player_key", "left")
+    return t.withColumn("anomaly_count", F.coalesce(F.size("anomalies"), F.lit(0))).withColumn("anomaly_count", F.greatest("anomaly_count", F.lit(0)).cast("long")).crossJoin(F.broadcast(total))

@@ -173,8 +173,8 @@ WEIGHTS = [2.0, 1.0, 1.5, 1.0, 0.5, 2.0]
 @query(
     "similar_top5",
     f"""WITH t AS (SELECT n.player_key, list_transform(list_zip(v, {WEIGHTS}), lambda z: z[1] * sqrt(z[2])) AS v, trajectory, score FROM v_norm n JOIN v_pathway USING (player_key) JOIN v_value USING (player_key)),
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, other) AS i FROM (
-  SELECT a.player_key AS key, b.player_key AS other, round(list_distance(a.v, b.v), 6) AS distance, a.trajectory AS ta, b.trajectory AS tb, a.score AS sa, b.score AS sb FROM t a JOIN t b ON a.player_key <> b.player_key)) WHERE i <= 20),
+near AS (
+  SELECT a.player_key AS key, b.player_key AS other, round(list_distance(a.v, b.v), 6) AS distance, a.trajectory AS ta, b.trajectory AS tb, a.score AS sa, b.score AS sb FROM t a JOIN t b ON a.player_key <> b.player_key),
 adj AS (SELECT *, round(0.85::DOUBLE * distance + 0.15::DOUBLE * (1.0::DOUBLE - CASE WHEN ta = tb THEN 1.0::DOUBLE WHEN ta IN ('ascending', 'stable') AND tb IN ('ascending', 'stable') THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 6) AS adjusted FROM near)
 SELECT key, rank::INTEGER AS rank, other, adjusted, round(1.0::DOUBLE - adjusted, 4) AS similarity,
   CASE WHEN sb >= 1.1::DOUBLE * sa OR tb = 'ascending' THEN 'successful' WHEN sb < 0.7::DOUBLE * sa OR tb = 'declining' THEN 'failed' ELSE 'neutral' END AS comp

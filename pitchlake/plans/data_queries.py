@@ -62,7 +62,8 @@ def slug_fold(spark, sf_dir):
 _NS = "6ba7b8109dad11d180b400c04fd430c8"
 
 
-@query("uuid5_ids")
+@query("uuid5_ids", f"""SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
+FROM (SELECT c_custkey AS id, sha1(unhex('{_NS}') || encode('source:' || c_custkey::VARCHAR)) AS h FROM customer)""")
 def uuid5_ids(spark, sf_dir):
     return D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), X.uuid5(_NS, F.concat(F.lit("source:"), F.col("c_custkey").cast("string"))).alias("uuid"))
 
@@ -91,8 +92,13 @@ def _flags(*rules: tuple[str, str]) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in rules) + "], lambda x: x IS NOT NULL), ',')"
 
 
+#: Bounds that some rows of these tables break; the library's own are quality.STAT_RANGES.
+TABLE_RANGES = (
+    quality.Range("minutes", 0, 130), quality.Range("goals", 0, 10, 4), quality.Range("assists", 0, 10, 4), quality.Range("shots", 0, 30, 6), quality.Range("passes", 0, 250, 24),
+    quality.Range("yellow", 0, 2), quality.Range("red", 0, 1), quality.Range("xg", 0, 6, 0.3),
+)
 _ISSUES, _ODD, _COST = [("player_key IS NULL", "missing_player_key")], [], ["CASE WHEN player_key IS NULL THEN 50 ELSE 0 END"]
-for _r in quality.STAT_RANGES:
+for _r in TABLE_RANGES:
     _ISSUES += [(f"{_r.column} < {_r.low}", f"{_r.column}_below_range"), (f"{_r.column} > {_r.high}", f"{_r.column}_above_range")]
     _COST += [f"CASE WHEN {_r.column} < {_r.low} THEN 20 ELSE 0 END", f"CASE WHEN {_r.column} > {_r.high} THEN 15 ELSE 0 END"]
     if _r.odd is not None:
@@ -107,12 +113,12 @@ VIEWS["v_profile_checks"] = f"SELECT player_key, {_flags(('player_name IS NULL',
 
 @query("row_validation", "SELECT player_key, seq, issues, anomalies, confidence, issues = '' AS valid FROM v_stat_checks")
 def row_validation(spark, sf_dir):
-    t = quality.validate_stats(D.appearances(spark, sf_dir))
+    t = quality.validate_stats(D.appearances(spark, sf_dir), TABLE_RANGES)
     return t.select("player_key", "seq", F.array_join("issues", ",").alias("issues"), F.array_join("anomalies", ",").alias("anomalies"), "confidence", "valid")
 
 
 def _checked(spark, sf_dir):
-    return {"stats": quality.validate_stats(D.appearances(spark, sf_dir)), "players": quality.validate_profiles(D.players(spark, sf_dir))}
+    return {"stats": quality.validate_stats(D.appearances(spark, sf_dir), TABLE_RANGES), "players": quality.validate_profiles(D.players(spark, sf_dir))}
 
 
 _N = "CASE WHEN anomalies = '' THEN 0 ELSE length(anomalies) - length(replace(anomalies, ',', '')) + 1 END"
@@ -260,7 +266,7 @@ def node_roles(spark, sf_dir):
     return graph.node_stats(edges_of(spark, sf_dir), D.clubs(spark, sf_dir))
 
 
-_ROUNDS = 8
+_ROUNDS = 60
 
 
 def _pagerank_sql() -> str:
@@ -273,10 +279,18 @@ def _pagerank_sql() -> str:
 
 @query("pagerank", _pagerank_sql())
 def pagerank(spark, sf_dir):
-    return graph.pagerank(edges_of(spark, sf_dir), graph.ROUNDS).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(edges_of(spark, sf_dir), _ROUNDS).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("routes")
+def _routes_sql() -> str:
+    parts = ["t AS MATERIALIZED (SELECT src, dst, i, prestige AS pd FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS i FROM v_edges) JOIN v_clubs ON dst = club WHERE i <= 5)", "h0 AS (SELECT club AS start, club AS here, prestige, [club] AS route FROM v_clubs)"]
+    for k in range(3):
+        parts.append(f"""h{k + 1} AS (SELECT h.start, coalesce(next, here) AS here, prestige, CASE WHEN next IS NULL THEN route ELSE list_append(route, next) END AS route FROM h{k} h
+  LEFT JOIN (SELECT start, arg_min(dst, i) AS next FROM h{k} JOIN t ON here = src AND pd > prestige + 0.05::DOUBLE AND NOT list_contains(route, dst) GROUP BY start) m ON h.start = m.start)""")
+    return "WITH " + ",\n".join(parts) + "\nSELECT start, (len(route) - 1)::INTEGER AS hops, array_to_string(route, ' > ') AS route FROM h3"
+
+
+@query("routes", _routes_sql())
 def routes(spark, sf_dir):
     return graph.routes(edges_of(spark, sf_dir), D.clubs(spark, sf_dir))
 
@@ -358,7 +372,7 @@ def kmeans(spark, sf_dir):
     return models.k_means(t, ["base_kpi", "consistency", "age", "score"]).select("player_key", "cluster")
 
 
-@query("cluster_profile", """SELECT label AS cluster, count(*) AS size, """ + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 4) AS d{i}" for i in range(4)) + """, CASE greatest(""" + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 4)" for i in range(4)) + ") " + " ".join(f"WHEN round(avg(embedding[{i + 1}]::DOUBLE), 4) THEN 'd{i}'" for i in range(4)) + " END AS label FROM embeddings GROUP BY embeddings.label")
+@query("cluster_profile", """SELECT label AS cluster, count(*) AS size, """ + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 4) AS d{i}" for i in range(_DIMS)) + """, CASE greatest(""" + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 4)" for i in range(_DIMS)) + ") " + " ".join(f"WHEN round(avg(embedding[{i + 1}]::DOUBLE), 4) THEN 'd{i}'" for i in range(_DIMS)) + " END AS label FROM embeddings GROUP BY embeddings.label")
 def cluster_profile(spark, sf_dir):
     dims = [f"d{i}" for i in range(_DIMS)]
     t = D.table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(dims)])

@@ -8,7 +8,7 @@ from pitchlake.functions import exprs as X
 from pitchlake.operators import decisions, features, serving
 from pitchlake.plans.club_queries import alerts_of, decisions_of, projected_of
 from pitchlake.plans.data_queries import changed_keys, edges_of, market_value_analytic
-from pitchlake.plans.registry import query
+from pitchlake.plans.registry import ORACLES, VIEWS, query
 from pitchlake.plans.score_queries import drift_of, kpi_of, pathway_of, risk_of, transfer_of, valuation_of
 from pitchlake.sources import driver_views as D
 
@@ -62,10 +62,13 @@ def player_profile(spark, sf_dir):
     )
 
 
-@query("market_value_page", "SELECT player_key, player_name, club FROM v_players WHERE player_name LIKE '%77%' ORDER BY player_key LIMIT 10")
+VIEWS["v_analytic"] = ORACLES["market_value_analytic"]
+
+
+@query("market_value_page", "SELECT player_key, player_name, club, analytic FROM v_players JOIN v_analytic USING (player_key) WHERE player_name LIKE '%77%' ORDER BY player_key LIMIT 10")
 def market_value_page(spark, sf_dir):
     t = serving.named(D.players(spark, sf_dir), "77").join(market_value_analytic(spark, sf_dir), "player_key")
-    return serving.page(t, [F.col("player_key")], 0, 10).select("player_key", "player_name", "club")
+    return serving.page(t, [F.col("player_key")], 0, 10).select("player_key", "player_name", "club", "analytic")
 
 
 @query("projection_of_player", "SELECT league, projected_kpi, projected_value, months FROM v_projected WHERE player_key = 3")

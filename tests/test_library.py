@@ -242,3 +242,41 @@ def test_registry_matches_duckdb_on_the_smallest_tables(spark):
         assert columns == sorted(want.columns)
         text = lambda rows: sorted(tuple("" if v is None or v != v else f"{float(v):.6g}" if isinstance(v, (int, float)) else str(v) for v in r) for r in rows)
         assert text(got.select(*columns).collect()) == text(want[columns].astype(object).where(want[columns].notna(), None).values.tolist()), name
+
+
+def test_first_rows_neighbours_enrichment_and_stored_rows(spark):
+    from pitchlake.operators import serving
+
+    players = spark.createDataFrame([(1, "Ana"), (2, "Bo"), (3, None)], "player_key long, player_name string")
+    near = spark.createDataFrame([(1, 1, 2, 0.5), (1, 2, 3, 0.7)], "key long, rank int, other long, distance double")
+    asked = spark.createDataFrame([(1,), (1,), (2,), (9,), (None,)], "player_key long")
+    got = {(r.player_key, r.state, r.other) for r in serving.neighbours_of(asked, players, players.filter("player_key = 1"), near, 1).collect()}
+    assert got == {(1, "ok", 2), (2, "no_vector", None), (9, "unknown", None), (None, "unknown", None)}
+    rows = spark.createDataFrame([(1, "", "x"), (2, None, None), (7, None, "y")], "other long, club string, position string")
+    lookup = spark.createDataFrame([(1, "C", "p", 5.0), (2, None, "q", None)], "other long, club string, position string, score double")
+    got = {r.other: (r.club, r.position, r.score) for r in serving.enriched(rows, lookup, "other", ["score"], ["club", "position"]).collect()}
+    assert got == {1: ("C", "x", 5.0), 2: (None, "q", None), 7: (None, "y", None)}
+    text = spark.createDataFrame([(1, "old"), (2, None)], "player_key long, report string")
+    made = spark.createDataFrame([(1, "new"), (2, "new"), (3, None)], "player_key long, report string")
+    got = {tuple(r) for r in serving.stored_or_made(players.select("player_key"), text, made, "report").collect()}
+    assert got == {(1, "old", "stored"), (2, "new", "generated")}
+    assert serving.first_named(players, "b", [F.col("player_key")]).head().player_key == 2
+    assert serving.enriched(rows.limit(0), lookup, "other", ["score"], ["club"]).count() == 0
+
+
+def test_club_names_types_and_bounds(spark):
+    from pitchlake.operators import clubs, quality, timeseries
+
+    aliases = {"man utd": "Manchester United", "united": "Some United"}
+    t = spark.createDataFrame([(1, " MAN UTD "), (2, "Leeds United"), (3, "  Ajax "), (4, "  "), (5, None), (6, "the man utd united")], "i int, c string")
+    got = {r.i: (r.a, r.b) for r in t.select("i", clubs.canonical_club(F.col("c"), aliases).alias("a"), clubs.canonical_club(F.col("c"), aliases, False).alias("b")).collect()}
+    assert got == {1: ("Manchester United",) * 2, 2: ("Some United", "Leeds United"), 3: ("Ajax", "Ajax"), 4: (None, None), 5: (None, None), 6: ("Manchester United", "the man utd united")}
+    rows = spark.createDataFrame([("1", "2001-02-03"), ("x", "never"), (None, None)], "n string, d string")
+    assert [r.type_issues for r in quality.type_issues(rows, {"n": "int", "d": "date"}).collect()] == [[], ["n_not_int", "d_not_date"], []]
+    stats = spark.createDataFrame([(1, 96, 6, 0), (2, 121, 0, 0), (3, 90, 11, 5)], "player_key long, minutes int, goals int, assists int")
+    got = {r.player_key: (r.issues, r.anomalies) for r in quality.validate_stats(stats).collect()}
+    assert got[1] == ([], ["goals_unusual", "minutes_unusual"]) and got[2] == (["minutes_above_range"], ["minutes_unusual"]) and got[3] == (["goals_above_range"], ["goals_unusual", "assists_unusual"])
+    spiked = spark.createDataFrame([(1, 5, "goals", "spike", 4.0), (1, 2, "goals", "drop", -4.0)], "player_key long, seq long, metric string, kind string, z double")
+    drift = spark.createDataFrame([(2, "stable", 0.1)], "player_key long, direction string, magnitude double")
+    got = {r.player_key: (r.anomaly_count, r.direction, r.total_anomalies, [a.seq for a in r.anomalies or []]) for r in timeseries.drift_report(spark.createDataFrame([(1,), (2,), (2,)], "player_key long"), spiked, drift).collect()}
+    assert got == {1: (2, None, 2, [2, 5]), 2: (0, "stable", 2, [])}
