@@ -468,6 +468,45 @@ def test_near_copies_that_miss_their_keys_first_set_are_linked(spark):
     assert {r.doc_id for r in set_dedup.representatives(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()} == set(jaccard_components(rows))
 
 
+def test_parts_of_minhash_values_rule_out_no_link(spark):
+    """The parts that differ are counted as plain Python does; pairs at 0.8 stay, pairs at a third go."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for kept, own in ((80, 10), (50, 50)):  # Jaccard 0.8 and 1/3
+        for _ in range(60):
+            common, rest = rng.integers(0, 1 << 64, kept, np.uint64), rng.integers(0, 1 << 64, 2 * own, np.uint64)
+            sets += [np.sort(np.concatenate([common, rest[:own]])), np.sort(np.concatenate([common, rest[own:]]))]
+    _, parts = set_dedup.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    rows = [(i, *parts[i].view(np.int64).tolist(), *parts[i + 1].view(np.int64).tolist()) for i in range(0, len(sets), 2)]
+    half = parts.shape[1]
+    got = spark.createDataFrame(rows, "i long, " + ", ".join(f"{s}{k} long" for s in "xy" for k in range(half)))
+    fits = set_dedup.may_link(F.lit(90), F.lit(90), *[[F.col(f"{s}{k}") for k in range(half)] for s in "xy"])
+    plain = {i: sum((int(p) >> 4 * k & 15) != (int(q) >> 4 * k & 15) for p, q in zip(parts[i], parts[i + 1], strict=True) for k in range(16)) for i in range(0, len(sets), 2)}
+    assert {r.i: r.ok for r in got.select("i", fits.alias("ok")).collect()} == {i: n <= set_dedup.APART for i, n in plain.items()}
+    assert all(n <= set_dedup.APART for i, n in plain.items() if i < 120) and all(n > set_dedup.APART for i, n in plain.items() if i >= 120)
+
+
+def test_hot_sets_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(set_dedup, "TOGETHER", 3)
+    pairs = [(1, b) for b in range(2, 40)] + [(a, 50) for a in range(5, 25)] + [(60, 61), (60, 62)]
+    facts = spark.createDataFrame([(i, f"t{i}") for i in range(1, 63)], "fp long, x string")
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for on, other, at in (("a", "b", 0), ("b", "a", 1)):
+        assert sorted(map(tuple, set_dedup.beside(df, facts, on, other, len(pairs)).select("a", "b", "x").collect())) == sorted((*p, f"t{p[at]}") for p in pairs)
+
+
+def test_texts_of_wanted_sets_through_any_filter(spark, odd, monkeypatch):
+    """A full filter lets other sets pass, and the join leaves them out."""
+    fps = set_dedup.prints(odd).filter("n > 0").select(F.col("fp").alias("w")).distinct()
+    wanted = spark.createDataFrame(sorted(map(tuple, fps.collect()))[::2], "w long")
+    for bits in (64, 1 << 20):
+        monkeypatch.setattr(set_dedup, "FILTER_BITS", bits)
+        found = set_dedup.texts_of(odd, wanted, "text").collect()
+        assert sorted(r.fp for r in found) == sorted(r.w for r in wanted.collect())
+        again = set_dedup.prints(spark.createDataFrame([(0, r.text) for r in found], "doc_id long, text string"))
+        assert {r.fp for r in again.collect()} == {r.fp for r in found}
+
+
 def test_bit_slices_and_tiles(spark):
     rng = np.random.default_rng(5)
     near = []
