@@ -439,7 +439,7 @@ def jaccard_components(rows):
     return [least[r] for r in root]
 
 
-def test_near_copies_match_brute_force(spark, odd, none):
+def test_near_copies_match_brute_force(spark, odd, none, monkeypatch):
     rng = np.random.default_rng(7)
     rows = []
     for g in range(60):
@@ -452,7 +452,9 @@ def test_near_copies_match_brute_force(spark, odd, none):
     want = jaccard_components(rows)
     assert got == set(want) and 60 <= len(got) < 200
     some = [r for r in ODD if r[0] is not None]
-    assert {r.doc_id for r in set_dedup.representatives(table(spark, some)).collect()} == set(jaccard_components([r[:2] for r in some]))
+    for most in (set_dedup.BROADCAST_IDS, 0):
+        monkeypatch.setattr(set_dedup, "BROADCAST_IDS", most)
+        assert {r.doc_id for r in set_dedup.representatives(table(spark, some)).collect()} == set(jaccard_components([r[:2] for r in some]))
     assert set_dedup.representatives(odd).columns == odd.columns and set_dedup.representatives(none).count() == 0
 
 
