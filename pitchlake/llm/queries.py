@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import chat, decontam, langid, mixing, quality_mil, secrets, simhash, substring_dedup, syncmers, token_store
+from pitchlake.llm import centroids, chat, decontam, langid, mixing, quality_mil, secrets, sentence_pieces, simhash, spelling, substring_dedup, syncmers, token_store
 from pitchlake.llm.shared import crc_of_id, documents
 
 
@@ -67,6 +67,21 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = sentence_pieces.Model.read(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentence_pieces.digests(sentence_pieces.encode(documents(spark, sf_dir), model), model)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(documents(spark, sf_dir))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -79,6 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_preference_chat": op9_preference_chat,
         "op7_mix_sources": op7_mix_sources,
         "op8_secret_scan": op8_secret_scan,
+        "op11_sentence_pieces": op11_sentence_pieces,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_centroid_clusters": op13_centroid_clusters,
     }
 
 
@@ -87,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": substring_dedup.DEDUP_SQL,
         "op7_mix_sources": mixing.MIX_SQL,
         "op9_preference_chat": chat.PREFERENCE_SQL,
+        "op13_centroid_clusters": centroids.CLUSTER_SQL,
     }
