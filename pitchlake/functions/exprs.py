@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -38,19 +39,36 @@ def money(c: Column | str) -> Column:
     return F.regexp_replace(t, "(bn|m|k)$", "").try_cast("double") * unit
 
 
-#: Accented Latin letters and their plain forms, position by position.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžōūāēīćčđłńśźżğışăâîșț"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszouaeiccdlnszzgisaaist"
+def _folded_letters() -> tuple[str, str]:
+    """Lower-case Latin letters that decompose to a plain one and marks, and those with a stroke or without a dot, with their plain ones."""
+    plain = {"ł": "l", "đ": "d", "ı": "i"}
+    for code in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if bare != chr(code) and len(bare) == 1 and bare.isascii() and bare.islower():
+            plain[chr(code)] = bare
+    return "".join(plain), "".join(plain.values())
+
+
+ACCENTED, PLAIN = _folded_letters()
+
+
+def unaccented(c: Column | str) -> Column:
+    """Lower case, Latin letters without their accents, whether these are part of the letter or marks behind it."""
+    return F.regexp_replace(F.translate(F.lower(col(c)), ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def fold(c: Column | str) -> Column:
     """Lower case without accents, hyphens and underscores as spaces, white space collapsed."""
-    t = F.translate(F.lower(col(c)), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[-_]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(unaccented(c), "[-_]", " "), r"\s+", " "))
+
+
+def plain_name(c: Column | str) -> Column:
+    """Lower case without accents and punctuation, white space collapsed; what entities' names are compared by."""
+    return F.trim(F.regexp_replace(F.regexp_replace(unaccented(c), r"(?U)[^\w\s]", ""), r"(?U)\s+", " "))
 
 
 def slug(c: Column | str, empty: str = "unknown-player", joint: str = "-") -> Column:
-    t = F.regexp_replace(F.translate(F.lower(F.trim(col(c))), ACCENTED, PLAIN), "[^a-z0-9]+", joint)
+    t = F.regexp_replace(unaccented(F.trim(col(c))), "[^a-z0-9]+", joint)
     return F.coalesce(F.nullif(F.regexp_replace(t, f"^{joint}+|{joint}+$", ""), F.lit("")), F.lit(empty))
 
 
@@ -165,9 +183,13 @@ def initials(name: Column | str) -> Column:
     return F.when(F.size(words) > 1, F.array_join(F.transform(F.slice(words, 1, 4), lambda w: w.substr(1, 1)), "")).otherwise(F.substring(F.coalesce(F.get(words, F.lit(0)), F.lit("CLUB")), 1, 8))
 
 
-def content_hash(columns: Sequence[str]) -> Column:
-    """SHA-256 of the columns' text, in order of name; null and the empty text differ."""
-    return F.sha2(F.concat_ws("|", *[F.concat(F.lit(c + "="), F.coalesce(F.col(c).cast("string"), F.lit("\\N"))) for c in sorted(columns)]), 256)
+def content_hash(columns: Sequence[str], digits: int = 64, md5: bool = False) -> Column:
+    """SHA-256 (or MD5), its first hexadecimal digits, of a JSON object of the columns in order of name.
+
+    Names and texts are quoted and escaped, null is null, so rows that differ have different texts.
+    """
+    text = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    return F.substring(F.md5(text) if md5 else F.sha2(text, 256), 1, digits)
 
 
 def uuid5(namespace_hex: str, name: Column | str) -> Column:

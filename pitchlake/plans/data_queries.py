@@ -53,9 +53,9 @@ def clean_scalars(spark, sf_dir):
 
 @query("slug_fold", """SELECT c_custkey AS id, trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '[-_]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded,
   coalesce(nullif(trim(regexp_replace(lower(strip_accents(trim(t))), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown-player') AS slug
-FROM (SELECT c_custkey, replace(c_name, '#', ' José-Ñúñez_Müller  ') AS t FROM customer)""")
+FROM (SELECT c_custkey, replace(c_name, '#', ' José-Ñúñez_Müller Dvořák Świątek Szőke-Ěrdűs Nguyễn Ạn  ') AS t FROM customer)""")
 def slug_fold(spark, sf_dir):
-    t = F.replace("c_name", F.lit("#"), F.lit(" José-Ñúñez_Müller  "))
+    t = F.replace("c_name", F.lit("#"), F.lit(" José-Ñúñez_Müller Dvořák Świątek Szőke-Ěrdűs Nguyễn Ạn  "))
     return D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), X.fold(t).alias("folded"), X.slug(t).alias("slug"))
 
 
@@ -68,9 +68,11 @@ def uuid5_ids(spark, sf_dir):
     return D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), X.uuid5(_NS, F.concat(F.lit("source:"), F.col("c_custkey").cast("string"))).alias("uuid"))
 
 
-@query("content_hash", "SELECT n_nationkey AS id, sha256('n_name=' || n_name || '|n_regionkey=' || n_regionkey::VARCHAR) AS hash FROM nation")
+@query("content_hash", """SELECT n_nationkey AS id, sha256('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey::VARCHAR || '}') AS hash, substr(sha256('{"n_name":"' || n_name || '"}'), 1, 16) AS short_hash,
+  substr(md5('{"n_comment":null,"n_name":"x=1|y=' || n_nationkey::VARCHAR || '"}'), 1, 12) AS job_id FROM nation""")
 def content_hash(spark, sf_dir):
-    return D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), X.content_hash(["n_regionkey", "n_name"]).alias("hash"))
+    return D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), X.content_hash(["n_regionkey", "n_name"]).alias("hash"), X.content_hash(["n_name"], 16).alias("short_hash"), "n_nationkey").select(
+        "id", "hash", "short_hash", F.lit(None).cast("string").alias("n_comment"), F.concat(F.lit("x=1|y="), F.col("n_nationkey").cast("string")).alias("n_name")).select("id", "hash", "short_hash", X.content_hash(["n_comment", "n_name"], 12, md5=True).alias("job_id"))
 
 
 @query("tier_buckets", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_quantity >= 40 THEN 'high' WHEN l_quantity >= 20 THEN 'mid' ELSE 'low' END AS tier,
@@ -214,7 +216,7 @@ def match_fallback(spark, sf_dir):
     return warehouse.match_lookup(s, D.matches(spark, sf_dir)).select("player_key", "seq", "found_match")
 
 
-@query("changed_keys", """SELECT event_id, sha256('event_type=' || event_type || '|value=' || value::VARCHAR) AS hash, event_id % 7 = 0 AS is_new FROM events WHERE event_id % 7 IN (0, 1)""")
+@query("changed_keys", """SELECT event_id, sha256('{"event_type":"' || event_type || '","value":' || value::VARCHAR || '}') AS hash, event_id % 7 = 0 AS is_new FROM events WHERE event_id % 7 IN (0, 1)""")
 def changed_keys(spark, sf_dir):
     new = D.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     own = X.content_hash(["event_type", "value"])
@@ -453,19 +455,54 @@ def registry_union(spark, sf_dir):
 
 
 _SIM = "CASE WHEN n = m THEN 1.0::DOUBLE WHEN contains(n, m) OR contains(m, n) THEN greatest(0.85::DOUBLE, 1.0::DOUBLE - levenshtein(n, m)::DOUBLE / greatest(length(n), length(m), 1)) ELSE 1.0::DOUBLE - levenshtein(n, m)::DOUBLE / greatest(length(n), length(m), 1) END"
+_CODES = ["ST", "cm", "CB ", "goalkeeper", "coach"]
 
 
-@query("entity_match", f"""WITH k AS (SELECT p_partkey AS slug, lower(p_name) AS m FROM part), r AS (SELECT p_partkey AS record_id, lower(p_name) || 's' AS n, p_size AS age FROM part WHERE p_partkey % 10 = 0),
-kb AS (SELECT slug, m, unnest(string_split(m, ' ')) AS b FROM k), rb AS (SELECT record_id, n, unnest(string_split(n, ' ')) AS b FROM r),
-p AS (SELECT DISTINCT record_id, slug, n, m FROM rb JOIN kb USING (b)),
-s AS (SELECT record_id, slug, round(CASE WHEN sim < 0.80 THEN 0.5::DOUBLE * sim ELSE 0.60::DOUBLE * sim + 0.20::DOUBLE * 1.0::DOUBLE + 0.12::DOUBLE * 1.0::DOUBLE + 0.08::DOUBLE * 1.0::DOUBLE END, 4) AS score FROM (SELECT *, {_SIM} AS sim FROM p))
-SELECT record_id, slug, score, CASE WHEN score >= 0.88 THEN 'confident' ELSE 'low' END AS level FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, slug) AS i FROM s) WHERE i = 1 AND score >= 0.80""")
-def entity_match(spark, sf_dir):
+def named_parts(spark, sf_dir):
+    """(records, known): every part as a known entity, and again under a name that differs in every word, a club or age that may be missing, and another position."""
     part = D.table(spark, sf_dir, "part")
-    none = {c: F.lit(None).cast("string") for c in ("club", "position")}
-    known = part.select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("name"), F.lit(None).cast("int").alias("age")).withColumns(none)
-    records = part.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("record_id"), F.concat("p_name", F.lit("s")).alias("name"), F.lit(None).cast("int").alias("age")).withColumns(none)
-    return resolution.resolve(records, known)
+    k = F.col("p_partkey")
+    code = lambda i: F.get(F.array(*[F.lit(c) for c in _CODES]), (i % 6).cast("int"))
+    known = part.select(k.alias("slug"), F.col("p_name").alias("name"), F.when(k % 11 != 0, F.col("p_size")).alias("age"), F.col("p_brand").alias("club"), code(F.col("p_size")).alias("position"))
+    name = F.when(k % 4 == 0, F.concat("p_name", F.lit("s"))).when(k % 4 == 1, F.expr("substr(p_name, 2)")).when(k % 4 == 2, F.replace("p_name", F.lit(" "), F.lit("-x"))).otherwise(F.upper("p_name"))
+    records = part.select(k.alias("record_id"), name.alias("name"), (F.col("p_size") + k % 3).alias("age"), F.when(k % 7 != 0, F.col("p_brand")).alias("club"), code(F.col("p_size") + k % 2).alias("position"))
+    return records, known
+
+
+def _plain_sql(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+_CODE_SQL = "list_extract(['fw', 'mf', 'df', 'gk', 'other'], (({}) % 6 + 1)::INTEGER)"
+
+
+VIEWS["v_entity"] = f"""WITH k AS (SELECT p_partkey AS slug, {_plain_sql("p_name")} AS m, CASE WHEN p_partkey % 11 <> 0 THEN p_size END AS k_age, {_plain_sql("p_brand")} AS k_club, {_CODE_SQL.format("p_size")} AS k_position FROM part),
+r AS (SELECT p_partkey AS record_id, {_plain_sql("CASE p_partkey % 4 WHEN 0 THEN p_name || 's' WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN replace(p_name, ' ', '-x') ELSE upper(p_name) END")} AS n,
+  p_size + p_partkey % 3 AS r_age, CASE WHEN p_partkey % 7 <> 0 THEN {_plain_sql("p_brand")} END AS r_club, {_CODE_SQL.format("p_size + p_partkey % 2")} AS r_position FROM part),
+p AS MATERIALIZED (SELECT * FROM (SELECT n, m, {_SIM} AS sim FROM (SELECT DISTINCT n FROM r), (SELECT DISTINCT m FROM k)) WHERE sim >= 0.80),
+s AS (SELECT record_id, slug, round(least(0.60::DOUBLE * sim + CASE WHEN coalesce(abs(r_age - k_age) <= 1, TRUE) THEN 0.20::DOUBLE ELSE 0.0 END + CASE WHEN coalesce(r_club = k_club, TRUE) THEN 0.12::DOUBLE ELSE 0.0 END
+  + CASE WHEN coalesce(r_position = k_position, TRUE) THEN 0.08::DOUBLE ELSE 0.0 END, 1.0::DOUBLE), 4) AS score FROM r JOIN p USING (n) JOIN k USING (m))
+SELECT record_id, slug, score, CASE WHEN score >= 0.88 THEN 'confident' ELSE 'low' END AS level FROM (SELECT record_id, slug, score, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, slug) AS i FROM s) WHERE i = 1 AND score >= 0.80"""
+
+
+@query("entity_match", "SELECT * FROM v_entity")
+def entity_match(spark, sf_dir):
+    """Every part's record against every part, by edit distance, which SQL has too."""
+    return resolution.resolve(*named_parts(spark, sf_dir), measure="edit")
+
+
+@query("entity_match_ratio")
+def entity_match_ratio(spark, sf_dir):
+    """The same by the ratio of matching blocks, which SQL lacks."""
+    return resolution.resolve(*named_parts(spark, sf_dir))
+
+
+@query("discovered", """SELECT p_partkey AS record_id, name, coalesce(slug::VARCHAR, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')) AS slug, slug IS NULL AS is_new
+FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || 's' WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN replace(p_name, ' ', '-x') ELSE upper(p_name) END AS name FROM part) LEFT JOIN v_entity ON record_id = p_partkey""")
+def discovered(spark, sf_dir):
+    """Every part's record with the slug of the part that it resolves to, or a new one from its name."""
+    records, known = named_parts(spark, sf_dir)
+    return resolution.known_or_new(records, resolution.resolve(records, known, measure="edit"))
 
 
 @query("player_page", """SELECT player_key, player_name, club, base_kpi, score FROM v_players JOIN v_kpi0 USING (player_key) JOIN (SELECT player_key, score FROM v_value) USING (player_key) WHERE player_name LIKE '%1%' AND position = 'BUILDING' ORDER BY score DESC NULLS LAST, player_key LIMIT 20 OFFSET 5""")
