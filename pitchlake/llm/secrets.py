@@ -54,19 +54,25 @@ def _located(starts: Column, found: Column, kind: int, keep: Callable[[Column],
     return spans if keep is None else F.filter(spans, lambda s, i: keep(i))
 
 
-def _touches(spans: Column, start: Column, end: Column) -> Column:
-    """Whether one of the spans, which are in order and do not overlap, has a place from start to end (exclusive).
-
-    A binary search: the last span that begins before `end` is the only one to ask.
-    """
+def _first_not(spans: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many spans at the array's start hold, where all that do stand before all that do not; a binary search."""
     n = F.size(spans)
     halves = F.sequence(F.ceil(F.log2(n + 1.0)).cast("int"), F.lit(0))
-    before = F.aggregate(
-        halves,
-        F.lit(0),
-        lambda at, k: F.when((at + F.pow(2.0, k).cast("int") <= n) & (F.get(spans, at + F.pow(2.0, k).cast("int") - 1)["start"] < end), at + F.pow(2.0, k).cast("int")).otherwise(at),
-    )
-    return F.when(n == 0, F.lit(False)).otherwise(F.coalesce(F.get(spans, before - 1)["end"] > start, F.lit(False)))
+
+    def further(at: Column, k: Column) -> Column:
+        return let(at + F.pow(2.0, k).cast("int"), lambda to: F.when((to <= n) & F.coalesce(holds(F.get(spans, to - 1)), F.lit(False)), to).otherwise(at))
+
+    return F.aggregate(halves, F.lit(0), further)
+
+
+def _touched(spans: Column, start: Column, end: Column) -> Column:
+    """(low, high): where the spans that have a place from start to end (exclusive) begin and end; nulls if none has.
+
+    The spans are in order and do not overlap, so those that touch are a run of them, found by its ends.
+    """
+    ends = F.struct(_first_not(spans, lambda b: b["end"] <= start).alias("first"), _first_not(spans, lambda b: b["start"] < end).alias("behind"))
+    some = lambda r, v: F.when(r["first"] < r["behind"], v)
+    return let(ends, lambda r: F.struct(some(r, F.get(spans, r["first"])["start"]).alias("low"), some(r, F.get(spans, r["behind"] - 1)["end"]).alias("high")))
 
 
 def window_entropy(s: Column, window: int = WINDOW) -> Column:
@@ -131,16 +137,18 @@ def scan(docs: DataFrame, allow: Sequence[str] = ALLOW, thresholds: dict[str, fl
 
     entropy = _located(F.col("candidate_at"), F.col("candidate"), 3, lambda i: suspicious(F.get("candidate", i)))
     spans = spans.withColumn("base_spans", F.array_sort(F.concat("assign", "access", "hex"))).withColumn("entropy", entropy)
-    touches = lambda e: _touches(F.col("assign"), e["start"], e["end"]) | _touches(F.col("access"), e["start"], e["end"]) | _touches(F.col("hex"), e["start"], e["end"])
+    part = lambda a, b: F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end"))
 
     def beside(e: Column) -> Column:
-        """The parts of an entropy span in front of and behind all base spans that touch it."""
-        inside = F.filter("base_spans", lambda b: (b["start"] < e["end"]) & (b["end"] > e["start"]))
-        part = lambda a, b: F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end"))
-        parts = F.array(part(e["start"], F.array_min(F.transform(inside, lambda b: b["start"]))), part(F.array_max(F.transform(inside, lambda b: b["end"])), e["end"]))
-        return F.filter(parts, lambda p: p["end"] - p["start"] >= SHORTEST)
+        """The entropy span, or its parts in front of and behind all base spans that touch it."""
+
+        def parts(t: list[Column]) -> Column:
+            low, high = F.least(*[x["low"] for x in t]), F.greatest(*[x["high"] for x in t])
+            return F.when(low.isNull(), F.array(e)).otherwise(F.filter(F.array(part(e["start"], low), part(high, e["end"])), lambda p: p["end"] - p["start"] >= SHORTEST))
+
+        return let(F.array(*[_touched(F.col(k), e["start"], e["end"]) for k in ("assign", "access", "hex")]), lambda t: parts([F.get(t, i) for i in range(3)]))
 
-    added = F.flatten(F.transform("entropy", lambda e: F.when(touches(e), beside(e)).otherwise(F.array(e)).cast(_SPANS)))
+    added = F.flatten(F.transform("entropy", lambda e: beside(e).cast(_SPANS)))
     return spans.select(
         "doc_id",
         F.size("assign").cast("long").alias("n_assign"),
