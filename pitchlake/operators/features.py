@@ -126,6 +126,7 @@ def expected_metrics(stats: DataFrame) -> DataFrame:
         X.per_90(F.col("goals") * 2.0 + F.col("assists") * 1.5 + F.col("shots") * 0.08, "minutes").alias("epv_per_90"),
         F.round(F.col("goals") * 2.5 + F.col("assists") * 1.8 + F.col("shots") * 0.15, 3).alias("obv"),
         X.per_90(xg, "minutes").alias("xg_per_90"),
+        X.per_90(F.round(F.col("assists") * 0.85, 3), "minutes").alias("xa_per_90"),
         F.least(F.lit(10.0), F.round(10.0 * X.per_90(F.col("goals") + F.col("assists"), "minutes"), 3)).alias("progression"),
     )
 

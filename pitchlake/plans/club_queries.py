@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pitchlake.functions import exprs as X
 from pitchlake.operators import clubs, decisions, features, scores, similarity
+from pitchlake.plans.core_queries import P90
 from pitchlake.plans.registry import VIEWS, once, query
 from pitchlake.plans.score_queries import base, confidence_index, drift_of, kpi_of, pathway_of, risk_of, transfer_of, valuation_of
 from pitchlake.sources import driver_views as D
@@ -166,31 +168,50 @@ def similar_top5_v1(spark, sf_dir):
     return similarity.nearest(scaled.select(F.col("player_key").alias("key"), F.array(*FEATURES).alias("v")), 5)
 
 
-#: How much each feature counts in the weighted form; the square roots scale the vector.
-WEIGHTS = [2.0, 1.0, 1.5, 1.0, 0.5, 2.0]
+#: Positions that the market segments stand for where roles matter.
+POSITIONS = {"AUTOMOBILE": "Centre Forward", "BUILDING": "CM", "FURNITURE": "Left-Back", "HOUSEHOLD": "Goalkeeper"}
+_PROFILE = {"gc_per_90": P90.format("goals + assists"), "shots": "shots", "minutes": "minutes", "base_kpi": "base_kpi", "consistency": "consistency", "discipline": "yellow + 2 * red", "xg_per_90": "xg_per_90", "xa_per_90": "xa_per_90", "progression": "progression"}
+_RANGE = "max({0}) OVER () > min({0}) OVER () THEN round(({0} - min({0}) OVER ()) / (max({0}) OVER () - min({0}) OVER ()) + 1e-9::DOUBLE, 6) ELSE 0.0 END"
+VIEWS["v_profile"] = f"""SELECT player_key, CASE position WHEN 'AUTOMOBILE' THEN 'forward' WHEN 'BUILDING' THEN 'midfielder' WHEN 'FURNITURE' THEN 'defender' WHEN 'HOUSEHOLD' THEN 'goalkeeper' ELSE 'default' END AS role,
+  [{", ".join("CASE WHEN " + _RANGE.format(c) for c in _PROFILE)}] AS v
+FROM (SELECT k.player_key, position, {", ".join(f"coalesce({e}, 0)::DOUBLE AS {c}" for c, e in _PROFILE.items())} FROM v_kpi0 k JOIN v_expected e USING (player_key) LEFT JOIN v_players p ON k.player_key = p.player_key)"""
+
+
+def profile_of(spark, sf_dir):
+    """(key, role and the nine features scaled) of every player with appearances."""
+    stats, _ = base(spark, sf_dir)
+    position = F.create_map(*[F.lit(x) for kv in POSITIONS.items() for x in kv])[F.col("position")]
+    t = features.player_totals(stats).select("player_key", "shots", "minutes", "gc_per_90", "discipline")
+    t = t.join(kpi_of(spark, sf_dir).select("player_key", "base_kpi", "consistency"), "player_key").join(features.expected_metrics(stats).select("player_key", "xg_per_90", "xa_per_90", "progression"), "player_key")
+    t = t.join(D.players(spark, sf_dir).select("player_key", similarity.profile_role(position).alias("role")), "player_key", "left")
+    return similarity.min_max(t.withColumn("role", F.coalesce("role", F.lit("default"))), list(similarity.PROFILE), shift=1e-9).withColumnRenamed("player_key", "key")
 
 
 @query(
     "similar_top5",
-    f"""WITH t AS (SELECT n.player_key, list_transform(list_zip(v, {WEIGHTS}), lambda z: z[1] * sqrt(z[2])) AS v, trajectory, score FROM v_norm n JOIN v_pathway USING (player_key) JOIN v_value USING (player_key)),
+    f"""WITH w AS (SELECT unnest({list(similarity.ROLE_WEIGHTS)}) AS space, unnest({[similarity.weights_of(r) for r in similarity.ROLE_WEIGHTS]}) AS w),
+s AS MATERIALIZED (SELECT player_key, role, space, list_transform(list_zip(v, w), lambda z: z[1] * sqrt(z[2]::DOUBLE)) AS v, trajectory, score FROM v_profile n CROSS JOIN w LEFT JOIN (SELECT player_key, trajectory FROM v_pathway) USING (player_key) LEFT JOIN (SELECT player_key, score FROM v_value) USING (player_key)),
 near AS (
-  SELECT a.player_key AS key, b.player_key AS other, round(list_distance(a.v, b.v), 6) AS distance, a.trajectory AS ta, b.trajectory AS tb, a.score AS sa, b.score AS sb FROM t a JOIN t b ON a.player_key <> b.player_key),
-adj AS (SELECT *, round(0.85::DOUBLE * distance + 0.15::DOUBLE * (1.0::DOUBLE - CASE WHEN ta = tb THEN 1.0::DOUBLE WHEN ta IN ('ascending', 'stable') AND tb IN ('ascending', 'stable') THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 6) AS adjusted FROM near)
+  SELECT a.player_key AS key, b.player_key AS other, round(list_distance(a.v, b.v), 6) AS distance, a.trajectory AS ta, b.trajectory AS tb, a.score AS sa, b.score AS sb FROM s a JOIN s b ON a.space = b.space AND a.player_key <> b.player_key WHERE a.role = a.space),
+adj AS (SELECT *, round(0.85::DOUBLE * distance + 0.15::DOUBLE * (1.0::DOUBLE - CASE WHEN ta IS NOT DISTINCT FROM tb THEN 1.0::DOUBLE WHEN ta IN ('ascending', 'stable') AND tb IN ('ascending', 'stable') THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 6) AS adjusted FROM near)
 SELECT key, rank::INTEGER AS rank, other, adjusted, round(1.0::DOUBLE - adjusted, 4) AS similarity,
-  CASE WHEN sb >= 1.1::DOUBLE * sa OR tb = 'ascending' THEN 'successful' WHEN sb < 0.7::DOUBLE * sa OR tb = 'declining' THEN 'failed' ELSE 'neutral' END AS comp
+  CASE WHEN coalesce(sb, 50.0) >= 1.1::DOUBLE * coalesce(sa, 50.0) OR tb = 'ascending' THEN 'successful' WHEN coalesce(sb, 50.0) < 0.7::DOUBLE * coalesce(sa, 50.0) OR tb = 'declining' THEN 'failed' ELSE 'neutral' END AS comp
 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY adjusted, other) AS rank FROM adj) WHERE rank <= 5""",
 )
 def similar_top5(spark, sf_dir):
-    scaled = similarity.min_max(features_of(spark, sf_dir), FEATURES)
-    vector = F.array(*[F.col(c) * F.sqrt(F.lit(w)) for c, w in zip(FEATURES, WEIGHTS, strict=True)])
-    about = pathway_of(spark, sf_dir).select("player_key", "trajectory").join(valuation_of(spark, sf_dir).select("player_key", "score"), "player_key")
-    up = lambda c: F.col(c).isin("ascending", "stable")
-    same = F.when(F.col("ta") == F.col("tb"), 1.0).when(up("ta") & up("tb"), 0.7).otherwise(0.3)
-    near = similarity.nearest_adjusted(scaled.select(F.col("player_key").alias("key"), vector.alias("v")), about.select(F.col("player_key").alias("key"), F.col("trajectory").alias("class")), same, 5)
+    """Nine features, weighed by the role of the player whose neighbours these are, and the trajectory."""
+    scaled = profile_of(spark, sf_dir)
+    about = scaled.select(F.col("key").alias("player_key")).join(pathway_of(spark, sf_dir).select("player_key", "trajectory"), "player_key", "left").join(valuation_of(spark, sf_dir).select("player_key", "score"), "player_key", "left")
+    about = about.withColumn("score", X.or_default("score", 50.0))
+    up = lambda c: F.coalesce(F.col(c).isin("ascending", "stable"), F.lit(False))
+    same = F.when(F.col("ta").eqNullSafe(F.col("tb")), 1.0).when(up("ta") & up("tb"), 0.7).otherwise(0.3)
+    own, every = similarity.in_role(scaled, F.col("role")), similarity.in_role(scaled, F.lit(None).cast("string"))
+    near = similarity.nearest_adjusted(own, about.select(F.col("player_key").alias("key"), F.col("trajectory").alias("class")), same, 5, others=every)
     a = about.select(F.col("player_key").alias("key"), F.col("score").alias("sa"))
     b = about.select(F.col("player_key").alias("other"), F.col("trajectory").alias("tb"), F.col("score").alias("sb"))
     t = near.join(a, "key").join(b, "other")
-    comp = F.when((F.col("sb") >= 1.1 * F.col("sa")) | (F.col("tb") == "ascending"), "successful").when((F.col("sb") < 0.7 * F.col("sa")) | (F.col("tb") == "declining"), "failed").otherwise("neutral")
+    is_now = lambda v: F.coalesce(F.col("tb") == v, F.lit(False))
+    comp = F.when((F.col("sb") >= 1.1 * F.col("sa")) | is_now("ascending"), "successful").when((F.col("sb") < 0.7 * F.col("sa")) | is_now("declining"), "failed").otherwise("neutral")
     return t.select("key", "rank", "other", "adjusted", F.round(1.0 - F.col("adjusted"), 4).alias("similarity"), comp.alias("comp"))
 
 

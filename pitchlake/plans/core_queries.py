@@ -117,7 +117,7 @@ SELECT player_key, sum(round(xg * 100)::BIGINT)::BIGINT AS xg100, max(CASE WHEN
 VIEWS["v_expected"] = f"""
 SELECT player_key, xg, round(assists * 0.85::DOUBLE, 3) AS xa, CASE WHEN passes > 0 THEN {P90.format('passes * 0.05::DOUBLE')} END AS xt_per_90,
   {P90.format('goals * 2.0::DOUBLE + assists * 1.5::DOUBLE + shots * 0.08::DOUBLE')} AS epv_per_90,
-  round(goals * 2.5::DOUBLE + assists * 1.8::DOUBLE + shots * 0.15::DOUBLE, 3) AS obv, {P90.format('xg')} AS xg_per_90,
+  round(goals * 2.5::DOUBLE + assists * 1.8::DOUBLE + shots * 0.15::DOUBLE, 3) AS obv, {P90.format('xg')} AS xg_per_90, {P90.format('round(assists * 0.85::DOUBLE, 3)')} AS xa_per_90,
   CASE WHEN minutes > 0 THEN least(10.0::DOUBLE, round(10.0::DOUBLE * {P90.format('goals + assists')}, 3)) ELSE 10.0::DOUBLE END AS progression
 FROM (SELECT t.*, round(CASE WHEN has_xg THEN xg100 / 100.0::DOUBLE WHEN shots > 0 THEN 0.6::DOUBLE * (shots * 0.10::DOUBLE) + 0.4::DOUBLE * goals END, 3) AS xg
   FROM v_totals t JOIN v_xg USING (player_key))"""

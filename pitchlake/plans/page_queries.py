@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitchlake.operators import clubs, quality, serving, timeseries
-from pitchlake.plans.club_queries import decisions_of, feature_store, features_of, fit_of, projected_of, reports, similar_top5_v1
+from pitchlake.operators import clubs, quality, serving, similarity, timeseries
+from pitchlake.plans.club_queries import FEATURES, decisions_of, feature_store, features_of, fit_of, projected_of, reports, similar_top5_v1
 from pitchlake.plans.data_queries import pathway_success
 from pitchlake.plans.registry import ORACLES, VIEWS, query
 from pitchlake.plans.score_queries import drift_of, pathway_of, valuation_of
@@ -25,7 +25,10 @@ FROM (SELECT unnest([11, 12, 77, 999999999])::BIGINT AS player_key) a LEFT JOIN
 def neighbours_page(spark, sf_dir):
     """Three neighbours of players that are known, without a vector or unknown."""
     asked = spark.createDataFrame([(11,), (12,), (77,), (999999999,)], "player_key long")
-    return serving.neighbours_of(asked, D.players(spark, sf_dir), features_of(spark, sf_dir), similar_top5_v1(spark, sf_dir), 3)
+    found = features_of(spark, sf_dir)
+    scaled = similarity.min_max(found, FEATURES).select(F.col("player_key").alias("key"), F.array(*FEATURES).alias("v"))
+    near = similarity.nearest(scaled.join(F.broadcast(asked), F.col("key") == F.col("player_key"), "left_semi"), 3, others=scaled)
+    return serving.neighbours_of(asked, D.players(spark, sf_dir), found, near, 3)
 
 
 @query("pathway_of_player", "SELECT player_key, trajectory, success, stage FROM v_pathway WHERE player_key = 11")
