@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs as X
-from pitchlake.operators import clubs, decisions, features, scores, similarity
-from pitchlake.plans.core_queries import P90
-from pitchlake.plans.registry import VIEWS, once, query
-from pitchlake.plans.score_queries import base, confidence_index, drift_of, kpi_of, pathway_of, risk_of, transfer_of, valuation_of
+from pitchlake.operators import clubs, decisions, features, scores, similarity, timeseries
+from pitchlake.plans.core_queries import P90, on_date
+from pitchlake.plans.registry import ORACLES, VIEWS, once, query
+from pitchlake.plans.score_queries import TREND_LIMIT, base, club_points, league_points, transfer_from, confidence_index, drift_of, kpi_of, pathway_of, risk_of, transfer_of, valuation_of
 from pitchlake.sources import driver_views as D
+from pitchlake.sources.shared import cut
+from pitchlake.streaming.cascade import Derived, rebuild
 
 BASELINE = "NATION_0"
 
@@ -177,31 +182,19 @@ VIEWS["v_profile"] = f"""SELECT player_key, CASE position WHEN 'AUTOMOBILE' THEN
 FROM (SELECT k.player_key, position, {", ".join(f"coalesce({e}, 0)::DOUBLE AS {c}" for c, e in _PROFILE.items())} FROM v_kpi0 k JOIN v_expected e USING (player_key) LEFT JOIN v_players p ON k.player_key = p.player_key)"""
 
 
-def profile_of(spark, sf_dir):
+def profile_from(totals, kpi, expected, players):
     """(key, role and the nine features scaled) of every player with appearances."""
-    stats, _ = base(spark, sf_dir)
     position = F.create_map(*[F.lit(x) for kv in POSITIONS.items() for x in kv])[F.col("position")]
-    t = features.player_totals(stats).select("player_key", "shots", "minutes", "gc_per_90", "discipline")
-    t = t.join(kpi_of(spark, sf_dir).select("player_key", "base_kpi", "consistency"), "player_key").join(features.expected_metrics(stats).select("player_key", "xg_per_90", "xa_per_90", "progression"), "player_key")
-    t = t.join(D.players(spark, sf_dir).select("player_key", similarity.profile_role(position).alias("role")), "player_key", "left")
+    t = totals.select("player_key", "shots", "minutes", "gc_per_90", "discipline")
+    t = t.join(kpi.select("player_key", "base_kpi", "consistency"), "player_key").join(expected.select("player_key", "xg_per_90", "xa_per_90", "progression"), "player_key")
+    t = t.join(players.select("player_key", similarity.profile_role(position).alias("role")), "player_key", "left")
     return similarity.min_max(t.withColumn("role", F.coalesce("role", F.lit("default"))), list(similarity.PROFILE), shift=1e-9).withColumnRenamed("player_key", "key")
 
 
-@query(
-    "similar_top5",
-    f"""WITH w AS (SELECT unnest({list(similarity.ROLE_WEIGHTS)}) AS space, unnest({[similarity.weights_of(r) for r in similarity.ROLE_WEIGHTS]}) AS w),
-s AS MATERIALIZED (SELECT player_key, role, space, list_transform(list_zip(v, w), lambda z: z[1] * sqrt(z[2]::DOUBLE)) AS v, trajectory, score FROM v_profile n CROSS JOIN w LEFT JOIN (SELECT player_key, trajectory FROM v_pathway) USING (player_key) LEFT JOIN (SELECT player_key, score FROM v_value) USING (player_key)),
-near AS (
-  SELECT a.player_key AS key, b.player_key AS other, round(list_distance(a.v, b.v), 6) AS distance, a.trajectory AS ta, b.trajectory AS tb, a.score AS sa, b.score AS sb FROM s a JOIN s b ON a.space = b.space AND a.player_key <> b.player_key WHERE a.role = a.space),
-adj AS (SELECT *, round(0.85::DOUBLE * distance + 0.15::DOUBLE * (1.0::DOUBLE - CASE WHEN ta IS NOT DISTINCT FROM tb THEN 1.0::DOUBLE WHEN ta IN ('ascending', 'stable') AND tb IN ('ascending', 'stable') THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 6) AS adjusted FROM near)
-SELECT key, rank::INTEGER AS rank, other, adjusted, round(1.0::DOUBLE - adjusted, 4) AS similarity,
-  CASE WHEN coalesce(sb, 50.0) >= 1.1::DOUBLE * coalesce(sa, 50.0) OR tb = 'ascending' THEN 'successful' WHEN coalesce(sb, 50.0) < 0.7::DOUBLE * coalesce(sa, 50.0) OR tb = 'declining' THEN 'failed' ELSE 'neutral' END AS comp
-FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY adjusted, other) AS rank FROM adj) WHERE rank <= 5""",
-)
-def similar_top5(spark, sf_dir):
+def similar_from(totals, kpi, expected, players, pathway, valuation):
     """Nine features, weighed by the role of the player whose neighbours these are, and the trajectory."""
-    scaled = profile_of(spark, sf_dir)
-    about = scaled.select(F.col("key").alias("player_key")).join(pathway_of(spark, sf_dir).select("player_key", "trajectory"), "player_key", "left").join(valuation_of(spark, sf_dir).select("player_key", "score"), "player_key", "left")
+    scaled = profile_from(totals, kpi, expected, players)
+    about = scaled.select(F.col("key").alias("player_key")).join(pathway.select("player_key", "trajectory"), "player_key", "left").join(valuation.select("player_key", "score"), "player_key", "left")
     about = about.withColumn("score", X.or_default("score", 50.0))
     up = lambda c: F.coalesce(F.col(c).isin("ascending", "stable"), F.lit(False))
     same = F.when(F.col("ta").eqNullSafe(F.col("tb")), 1.0).when(up("ta") & up("tb"), 0.7).otherwise(0.3)
@@ -215,6 +208,70 @@ def similar_top5(spark, sf_dir):
     return t.select("key", "rank", "other", "adjusted", F.round(1.0 - F.col("adjusted"), 4).alias("similarity"), comp.alias("comp"))
 
 
+@query(
+    "similar_top5",
+    f"""WITH w AS (SELECT unnest({list(similarity.ROLE_WEIGHTS)}) AS space, unnest({[similarity.weights_of(r) for r in similarity.ROLE_WEIGHTS]}) AS w),
+s AS MATERIALIZED (SELECT player_key, role, space, list_transform(list_zip(v, w), lambda z: z[1] * sqrt(z[2]::DOUBLE)) AS v, trajectory, score FROM v_profile n CROSS JOIN w LEFT JOIN (SELECT player_key, trajectory FROM v_pathway) USING (player_key) LEFT JOIN (SELECT player_key, score FROM v_value) USING (player_key)),
+near AS (
+  SELECT a.player_key AS key, b.player_key AS other, round(list_distance(a.v, b.v), 6) AS distance, a.trajectory AS ta, b.trajectory AS tb, a.score AS sa, b.score AS sb FROM s a JOIN s b ON a.space = b.space AND a.player_key <> b.player_key WHERE a.role = a.space),
+adj AS (SELECT *, round(0.85::DOUBLE * distance + 0.15::DOUBLE * (1.0::DOUBLE - CASE WHEN ta IS NOT DISTINCT FROM tb THEN 1.0::DOUBLE WHEN ta IN ('ascending', 'stable') AND tb IN ('ascending', 'stable') THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 6) AS adjusted FROM near)
+SELECT key, rank::INTEGER AS rank, other, adjusted, round(1.0::DOUBLE - adjusted, 4) AS similarity,
+  CASE WHEN coalesce(sb, 50.0) >= 1.1::DOUBLE * coalesce(sa, 50.0) OR tb = 'ascending' THEN 'successful' WHEN coalesce(sb, 50.0) < 0.7::DOUBLE * coalesce(sa, 50.0) OR tb = 'declining' THEN 'failed' ELSE 'neutral' END AS comp
+FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY adjusted, other) AS rank FROM adj) WHERE rank <= 5""",
+)
+def similar_top5(spark, sf_dir):
+    stats, players = base(spark, sf_dir)
+    return similar_from(features.player_totals(stats), kpi_of(spark, sf_dir), features.expected_metrics(stats), players, pathway_of(spark, sf_dir), valuation_of(spark, sf_dir))
+
+
+# --- the eight derived tables -------------------------------------------------------------------
+
+
+def derived_tables(spark, sf_dir):
+    """What is made of appearances and players, in order of dependence; players, clubs and leagues are as they are."""
+    clubs_ = D.clubs(spark, sf_dir)
+    return [
+        Derived("totals", ("stats",), features.player_totals),
+        Derived("kpi", ("stats", "players"), lambda s, p: features.kpi(s, p, on_date())),
+        Derived("expected", ("stats",), features.expected_metrics),
+        Derived("risk", ("stats", "players"), lambda s, p: scores.risk(s, p, on_date(), features.consistency(s))),
+        Derived("valuation", ("kpi", "expected", "totals", "risk", "players", "stats"), lambda k, e, t, r, p, s: scores.valuation(k, e, t, r, p, league_points(spark, s), club_points(spark, sf_dir))),
+        Derived("pathway", ("kpi", "stats", "valuation"), lambda k, s, v: scores.pathway(k, timeseries.score_slope(s), v, timeseries.minutes_trend(s, TREND_LIMIT))),
+        Derived("similarity", ("totals", "kpi", "expected", "players", "pathway", "valuation"), lambda *t: similar_from(*t).withColumnRenamed("key", "player_key"), whole=True),
+        Derived("transfer", ("kpi", "stats", "players"), lambda k, s, p: transfer_from(k, timeseries.career_drift(s), p, clubs_), whole=True),
+    ]
+
+
+#: What is shown of each table.
+_SHOWN = {"totals": ("minutes", "gc_per_90"), "kpi": ("base_kpi", "consistency"), "expected": ("xg", "obv"), "risk": ("injury", "risk"), "valuation": ("score", "computed_value"), "pathway": ("percentile", "success"), "transfer": ("p1", "p2")}
+_SHOWN_FROM = {"totals": "v_totals", "kpi": "v_kpi0", "expected": "v_expected", "risk": "v_risk", "valuation": "v_value", "pathway": "v_pathway", "transfer": "v_transfer_p"}
+VIEWS["v_similar"] = ORACLES["similar_top5"]
+
+
+def _shown_sql(name: str, column: str) -> str:
+    value = P90.format("goals + assists") if column == "gc_per_90" else column
+    return f"SELECT '{name}' AS name, player_key, '{column}' AS item, ({value})::DOUBLE AS value FROM {_SHOWN_FROM[name]}"
+
+
+@query("derived_refresh", " UNION ALL ".join(_shown_sql(n, c) for n, cs in _SHOWN.items() for c in cs) + " UNION ALL SELECT 'similarity', key, 'other' || rank::VARCHAR, other::DOUBLE FROM v_similar UNION ALL SELECT 'similarity', key, 'adjusted' || rank::VARCHAR, adjusted FROM v_similar")
+def derived_refresh(spark, sf_dir):
+    """All eight tables as stored before the last hundredth of the matches, then brought up to date for the players of these, about a tenth."""
+    stats, players = base(spark, sf_dir)
+    day = F.unix_date("match_date")
+    since = stats.agg(F.percentile_approx(day, 0.99, 10_000)).head()[0]
+    tables, stored = derived_tables(spark, sf_dir), {}
+    for t in tables:
+        before = {"stats": stats.filter(day < since), "players": players, **stored}
+        stored[t.name] = cut(t.build(*[before[n] for n in t.needs]))
+    keys = stats.filter(day >= since).select("player_key").distinct()
+    now, _ = rebuild(tables, {"stats": stats, "players": players}, {"stats": keys}, stored)
+    parts = [t.select(F.lit(name).alias("name"), "player_key", F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in _SHOWN[name]])).alias("s")) for name, t in now.items() if name in _SHOWN]
+    rank = F.col("rank").cast("string")
+    near = F.array(F.struct(F.concat(F.lit("other"), rank).alias("item"), F.col("other").cast("double").alias("value")), F.struct(F.concat(F.lit("adjusted"), rank).alias("item"), F.col("adjusted").alias("value")))
+    parts.append(now["similarity"].select(F.lit("similarity").alias("name"), "player_key", F.explode(near).alias("s")))
+    return functools.reduce(DataFrame.unionByName, parts).select("name", "player_key", "s.item", "s.value")
+
+
 VIEWS["v_alerts"] = """
 SELECT player_key, 'UNDERVALUED' AS kind, CASE WHEN measure >= 100 THEN 'critical' WHEN measure >= 60 THEN 'high' WHEN measure >= 30 THEN 'medium' ELSE 'low' END AS severity, measure FROM (
   SELECT player_key, round((worth / market_value - 1.0::DOUBLE) * 100, 1) AS measure FROM (SELECT v.*, computed_value * CASE WHEN confidence IS NULL OR confidence = 0 THEN 1.0::DOUBLE ELSE confidence END AS worth FROM v_value v LEFT JOIN v_confidence USING (player_key))

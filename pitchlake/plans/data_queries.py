@@ -10,6 +10,7 @@ from pitchlake.operators import features, graph, models, pages, quality, resolut
 from pitchlake.plans.registry import VIEWS, query
 from pitchlake.plans.score_queries import drift_of, kpi_of, spells_of, transfer_of, valuation_of
 from pitchlake.sources import documents, driver_views as D
+from pitchlake.sources.shared import folder
 from pitchlake.streaming import refresh
 
 # --- scalars ----------------------------------------------------------------------------------
@@ -239,6 +240,17 @@ def incremental_refresh(spark, sf_dir):
     return t.select("player_key", "matches", "minutes", "goals", "assists", "discipline")
 
 
+@query("stream_totals", "SELECT player_key, matches, minutes, goals, assists, yellow + 2 * red AS discipline FROM v_totals")
+def stream_totals(spark, sf_dir):
+    """Totals kept by a stream to which all appearances come as files, four batches one behind the other."""
+    work = folder(spark)
+    stats = D.appearances(spark, sf_dir)
+    stats.repartition(4, "seq").write.parquet(f"{work}/arrived")
+    stream = refresh.TotalsStream(spark, f"{work}/arrived", work, stats.schema, buckets=8)
+    stream.run()
+    return stream.current().select("player_key", "matches", "minutes", "goals", "assists", "discipline")
+
+
 @query("event_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS events, sum(value::DECIMAL(18,4))::DOUBLE AS value FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return refresh.event_windows(D.table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))

@@ -11,7 +11,7 @@ from pitchlake.sources import driver_views as D
 
 #: (ord, key, points): a league's points by what its name contains.
 LEAGUE_RULES = [(0, "urgent", 15.0), (1, "high", 12.0), (2, "medium", 8.0), (3, "not specified", 5.0)]
-_TREND_LIMIT = 5.0
+TREND_LIMIT = 5.0
 
 
 def league_rules(spark):
@@ -41,27 +41,33 @@ def club_points(spark, sf_dir):
     return D.clubs(spark, sf_dir).select("club", (30.0 + 2 * F.col("ord")).alias("score"))
 
 
+def league_points(spark, stats):
+    return lookup.ordered_lookup(features.mode_value(stats, "competition", "competition"), "competition", league_rules(spark), "points", 0.0).select("player_key", "points")
+
+
 @once
 def valuation_of(spark, sf_dir):
     stats, players = base(spark, sf_dir)
-    league = lookup.ordered_lookup(features.mode_value(stats, "competition", "competition"), "competition", league_rules(spark), "points", 0.0).select("player_key", "points")
-    return scores.valuation(kpi_of(spark, sf_dir), features.expected_metrics(stats), features.player_totals(stats), risk_of(spark, sf_dir), players, league, club_points(spark, sf_dir))
+    return scores.valuation(kpi_of(spark, sf_dir), features.expected_metrics(stats), features.player_totals(stats), risk_of(spark, sf_dir), players, league_points(spark, stats), club_points(spark, sf_dir))
 
 
 def drift_of(spark, sf_dir):
     return timeseries.career_drift(stats_of(spark, sf_dir))
 
 
+def transfer_from(kpi, drift, players, clubs):
+    c = clubs.select(F.col("club").alias("c"), "prestige", "pathway_score")
+    named = players.select("player_key", "club", "market_value").join(F.broadcast(c), F.col("club") == F.col("c"), "left")
+    return scores.transfer_probability(kpi, drift, named, F.col("prestige") - 0.5, F.col("pathway_score"), F.when(F.col("prestige") > 0.8, -1.0).otherwise(0.0))
+
+
 def transfer_of(spark, sf_dir):
-    players = D.players(spark, sf_dir)
-    clubs = D.clubs(spark, sf_dir).select(F.col("club").alias("c"), "prestige", "pathway_score")
-    named = players.select("player_key", "club", "market_value").join(F.broadcast(clubs), F.col("club") == F.col("c"), "left")
-    return scores.transfer_probability(kpi_of(spark, sf_dir), drift_of(spark, sf_dir), named, F.col("prestige") - 0.5, F.col("pathway_score"), F.when(F.col("prestige") > 0.8, -1.0).otherwise(0.0))
+    return transfer_from(kpi_of(spark, sf_dir), drift_of(spark, sf_dir), D.players(spark, sf_dir), D.clubs(spark, sf_dir))
 
 
 def pathway_of(spark, sf_dir):
     stats, _ = base(spark, sf_dir)
-    return scores.pathway(kpi_of(spark, sf_dir), timeseries.score_slope(stats), valuation_of(spark, sf_dir), timeseries.minutes_trend(stats, _TREND_LIMIT))
+    return scores.pathway(kpi_of(spark, sf_dir), timeseries.score_slope(stats), valuation_of(spark, sf_dir), timeseries.minutes_trend(stats, TREND_LIMIT))
 
 
 _METRICS = ("goals", "assists", "shots", "minutes")
@@ -103,14 +109,14 @@ def gap_days(spark, sf_dir):
 
 
 VIEWS["v_trend"] = f"""
-SELECT player_key, delta, CASE WHEN delta > {_TREND_LIMIT} THEN 'ascending' WHEN delta < -{_TREND_LIMIT} THEN 'declining' ELSE 'stable' END AS trend FROM (
+SELECT player_key, delta, CASE WHEN delta > {TREND_LIMIT} THEN 'ascending' WHEN delta < -{TREND_LIMIT} THEN 'declining' ELSE 'stable' END AS trend FROM (
   SELECT player_key, coalesce(round(avg(step), 1), 0.0) AS delta FROM (
     SELECT player_key, minutes - lag(minutes) OVER (PARTITION BY player_key ORDER BY match_date NULLS FIRST, seq) AS step FROM v_app) GROUP BY player_key)"""
 
 
 @query("minutes_trend", "SELECT * FROM v_trend")
 def minutes_trend(spark, sf_dir):
-    return timeseries.minutes_trend(D.appearances(spark, sf_dir), _TREND_LIMIT)
+    return timeseries.minutes_trend(D.appearances(spark, sf_dir), TREND_LIMIT)
 
 
 VIEWS["v_contribution"] = """

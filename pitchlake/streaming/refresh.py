@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.operators import features
 from pitchlake.operators.warehouse import upsert
+from pitchlake.streaming.store import BucketTable
 
 
 def partial(rows: DataFrame, keys: DataFrame, build: Callable[[DataFrame], DataFrame], stored: DataFrame) -> DataFrame:
@@ -23,26 +24,34 @@ def refresh_totals(stats: DataFrame, stored: DataFrame, keys: DataFrame) -> Data
 class TotalsStream:
     """Keeps a table of per-player totals up to date while appearance files arrive.
 
-    Each batch's players are built anew from all rows seen so far and merged into the table, which
-    is written under a new version; `current` names the version to read. A batch that runs again
-    writes the same version again, so the result is the same whether or not it was interrupted.
+    All rows seen and the totals are bucket tables by player. A batch is appended to the rows of its
+    players' buckets, and the totals of these buckets are made anew from them: its cost follows the
+    batch and the buckets that it touches, not what was seen before. A batch that runs again finds its
+    version in either table and changes nothing there.
     """
 
-    def __init__(self, spark: SparkSession, source: str, work: str, schema):
+    def __init__(self, spark: SparkSession, source: str, work: str, schema, buckets: int = 64):
         self.spark, self.source, self.work, self.schema = spark, source, work, schema
+        totals = features.player_totals(spark.createDataFrame([], schema)).schema
+        self.seen = BucketTable(spark, f"{work}/seen", "player_key", schema, buckets)
+        self.totals = BucketTable(spark, f"{work}/totals", "player_key", totals, buckets)
 
     def path(self, version: int) -> str:
-        return f"{self.work}/totals/version={version}"
+        """Where the totals of a version are: one path that names the folders of all buckets."""
+        inside = ",".join(p.removeprefix(f"{self.work}/totals/") for p in self.totals.paths(version=version))
+        return f"{self.work}/totals/{{{inside}}}"
+
+    def current(self) -> DataFrame:
+        return self.totals.read()
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
-        rows.write.mode("overwrite").parquet(f"{self.work}/seen/batch={batch_id}")
-        seen = self.spark.read.schema(self.schema).parquet(*[f"{self.work}/seen/batch={i}" for i in range(batch_id + 1)])
-        keys = rows.select("player_key").distinct()
-        fresh = features.player_totals(seen.join(keys, "player_key", "left_semi"))
-        if batch_id:
-            fresh = upsert(self.spark.read.parquet(self.path(batch_id - 1)), fresh, ["player_key"])
-        fresh.write.mode("overwrite").parquet(self.path(batch_id))
+        self.seen.append(batch_id, batch)
+        if batch_id <= self.totals.version():
+            return
+        rows = batch.select("player_key").distinct().persist()
+        touched = self.totals.touched(rows)
+        fresh = features.player_totals(self.seen.read(touched, batch_id).join(rows, "player_key", "left_semi"))
+        self.totals.replace(batch_id, upsert(self.totals.read(touched), fresh, ["player_key"]), touched)
         rows.unpersist()
 
     def run(self, files_per_batch: int = 1) -> int:
@@ -50,8 +59,7 @@ class TotalsStream:
         stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", files_per_batch).parquet(self.source)
         query = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.work}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-        last = query.lastProgress
-        return last["batchId"] if last else -1
+        return self.totals.version()
 
 
 def event_windows(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
