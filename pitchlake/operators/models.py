@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs as X
+from pitchlake.sources.shared import cut
 
 
 def k_means(rows: DataFrame, columns: list[str], k: int = 5, seed: int = 42, rounds: int = 100) -> DataFrame:
@@ -22,6 +23,77 @@ def k_means(rows: DataFrame, columns: list[str], k: int = 5, seed: int = 42, rou
     return Pipeline(stages=stages).fit(rows).transform(rows).drop("__v")
 
 
+#: The features of player clusters with the ranges that scale them, clusters, rounds, and what the clusters are called.
+CLUSTER_RANGES = {"goals_per_90": (0.0, 1.2), "assists_per_90": (0.0, 0.8), "shots_per_90": (0.0, 6.0), "passes_per_90": (0.0, 80.0), "xg_per_90": (0.0, 0.8), "xa_per_90": (0.0, 0.5), "minutes": (0.0, 3000.0), "age": (15.0, 38.0)}
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SEED, DEFAULT_AGE = 5, 100, 42, 22
+ARCHETYPES = ("clinical_striker", "playmaker", "engine", "wide_creator", "defensive_anchor")
+_UNITS = 1_000_000
+
+
+def in_ranges(rows: DataFrame, ranges: dict[str, tuple[float, float]] = CLUSTER_RANGES) -> Column:
+    """array<bigint>: each column within its range, as millionths of it; null and 0 count as 0, an age as DEFAULT_AGE."""
+    value = lambda c: X.or_default(c, DEFAULT_AGE if c == "age" else 0.0).cast("double")
+    return F.array(*[F.round(X.clamp((value(c) - low) / (high - low), 0, 1) * _UNITS).cast("long") for c, (low, high) in ranges.items()])
+
+
+def _drawn(seed: int, step: int, key: str) -> Column:
+    """A number above 0 and up to 1, from a hash of seed, step and key."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(step)), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") + 1.0) / float(1 << 52)
+
+
+def _apart(v: str, centre: list[int]) -> Column:
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(centre):
+        out = out + (F.get(F.col(v), F.lit(i)) - F.lit(int(c))) * (F.get(F.col(v), F.lit(i)) - F.lit(int(c)))
+    return out
+
+
+def first_centres(rows: DataFrame, k: int, key: str = "key", v: str = "v", seed: int = CLUSTER_SEED) -> list[list[int]]:
+    """k vectors of rows, each drawn with a chance in proportion to the squared distance from the nearest before it.
+
+    A row's draw u is a hash, and the row of the smallest -ln(u) / distance is taken: that draws by
+    weight, in one pass whose answer does not depend on the rows' order. Where all distances are 0
+    the smallest u is.
+    """
+    centres: list[list[int]] = []
+    for step in range(k):
+        u = _drawn(seed, step, key)
+        least = F.least(*[_apart(v, c) for c in centres]) if len(centres) > 1 else _apart(v, centres[0]) if centres else F.lit(1).cast("long")
+        race = F.when(least > 0, -F.log(u) / least).otherwise(float("inf"))
+        centres.append(list(rows.agg(F.min(F.struct(race.alias("race"), u.alias("u"), F.col(key), F.col(v).alias("v")))["v"]).head()[0]))
+    return centres
+
+
+def _nearest(centres: list[list[int]], v: str) -> Column:
+    """The number of the nearest centre, the smaller one of equally near ones."""
+    return F.array_min(F.array(*[F.struct(_apart(v, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)]))["j"]
+
+
+def seeded_clusters(rows: DataFrame, k: int = CLUSTERS, rounds: int = CLUSTER_ROUNDS, key: str = "key", v: str = "v", seed: int = CLUSTER_SEED) -> tuple[DataFrame, list[list[int]]]:
+    """((key, cluster), centres) of rows of whole-number vectors: drawn centres, then rounds until none moves.
+
+    A centre moves to its rows' mean, rounded half up to whole numbers; empty ones stay. Keys are
+    whole and each once. With at most k rows each is its own cluster, by key. A round is one pass
+    over the rows, of which k rows reach the driver.
+    """
+    rows = cut(rows.select(key, v))
+    n = rows.count()
+    if n <= k:
+        own = rows.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("int").alias("cluster"))  # at most k rows
+        return own, [list(r[0]) for r in rows.orderBy(key).select(v).collect()]
+    centres = first_centres(rows, k, key, v, seed)
+    size = len(centres[0])
+    for _ in range(rounds):
+        sums = rows.groupBy(_nearest(centres, v).alias("j")).agg(F.count("*").alias("n"), *[F.sum(F.get(F.col(v), F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(size)]).collect()
+        moved = list(centres)
+        for r in sums:
+            moved[r["j"]] = [(2 * int(r[f"s{i}"]) + r["n"]) // (2 * r["n"]) for i in range(size)]
+        if moved == centres:
+            break
+        centres = moved
+    return rows.select(key, _nearest(centres, v).cast("int").alias("cluster")), centres
+
+
 def lloyd(rows: DataFrame, key: str, v: str, centers: DataFrame, rounds: int) -> DataFrame:
     """(key, cluster, distance) after `rounds` rounds from given (cluster, c) centers.
 

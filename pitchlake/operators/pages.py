@@ -111,6 +111,39 @@ def json_blocks(pages: DataFrame) -> DataFrame:
     return t.filter(F.try_parse_json("json").isNotNull()).select("page_id", "block", "json")
 
 
+#: Fixed names: variables that pages assign their data to.
+BLOB = r"(?:window\.__data|__DATA__|__NEXT_DATA__)\s*=\s*(?=\{)"
+#: A JSON string with its escapes, a brace, or a run of anything else; nothing of it is tried twice.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[{}]|[^{}"]++'
+
+
+def balanced(text: Column) -> Column:
+    """The object that text begins with, up to the brace that closes the first; null if none does.
+
+    Braces in strings do not count, nor do quotes behind a backslash. Each token is looked at once.
+    """
+    step = lambda t: F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+    def take(a: Column, t: Column) -> Column:
+        depth = a["depth"] + step(t)
+        return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["size"] + F.length(t)).alias("size"), (depth == 0).alias("done")))
+
+    found = F.aggregate(F.regexp_extract_all(text, F.lit("(?s)" + _TOKEN), F.lit(0)), start, take)
+    return F.when(text.startswith("{") & found["done"], text.substr(F.lit(1), found["size"]))
+
+
+def embedded_objects(pages: DataFrame) -> DataFrame:
+    """(page_id, block, json): the JSON objects that scripts of a page assign to the names in BLOB, numbered as they come.
+
+    An object may have braces and '};' inside, in strings too. What is cut off or no JSON is left out.
+    Pages without text give no rows.
+    """
+    parts = F.slice(F.split("html", BLOB, -1), 2, F.size(F.split("html", BLOB, -1)))
+    t = pages.select("page_id", F.posexplode(F.transform(parts, balanced)).alias("at", "json")).filter(F.col("json").isNotNull() & F.try_parse_json("json").isNotNull())
+    return t.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1).alias("block"), "json")
+
+
 #: Fixed rules: target column, what its key has, what its key must not have.
 ROUTES = (("goals", "goal", "conceded"), ("assists", "assist", None), ("shots", "shot", None), ("minutes", "minute", None), ("passes", "pass", None))
 

@@ -68,7 +68,10 @@ def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def summary(tables: dict[str, DataFrame], keys: dict[str, str], samples: int = 10) -> DataFrame:
-    """Per table: rows, valid and invalid ones, anomalies, share valid, and the smallest keys of invalid rows."""
+    """Per table: rows, valid and invalid ones, anomalies, share valid, the smallest key of an invalid row and the `samples` smallest, joined.
+
+    A task keeps no more than `samples` keys, so that many rows for each task are all that is sent.
+    """
     out = None
     for name, t in tables.items():
         k = F.col(keys[name])
@@ -76,6 +79,8 @@ def summary(tables: dict[str, DataFrame], keys: dict[str, str], samples: int = 1
             F.lit(name).alias("table"), F.count("*").alias("rows"), F.count_if("valid").alias("valid_rows"), F.count_if(~F.col("valid")).alias("invalid_rows"), F.coalesce(F.sum(F.size("anomalies")), F.lit(0)).alias("anomalies"),
             F.round(F.avg(F.col("valid").cast("int")), 4).alias("share_valid"), F.min(F.when(~F.col("valid"), k)).alias("first_invalid"),
         )
+        few = t.filter(~F.col("valid")).select(k.alias("k")).orderBy("k").limit(samples).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string"))).alias("samples"))
+        part = part.crossJoin(few.select(F.nullif("samples", F.lit("")).alias("samples")))  # one row each
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs as X
-from pitchlake.operators import features, graph, models, pages, quality, resolution, serving, warehouse
-from pitchlake.plans.registry import VIEWS, query
+from pitchlake.operators import features, graph, identity, models, pages, quality, resolution, serving, warehouse
+from pitchlake.plans.core_queries import P90
+from pitchlake.plans.registry import VIEWS, once, query
 from pitchlake.plans.score_queries import drift_of, kpi_of, spells_of, transfer_of, valuation_of
 from pitchlake.sources import documents, driver_views as D
 from pitchlake.sources.shared import folder
@@ -128,7 +129,7 @@ _N = "CASE WHEN anomalies = '' THEN 0 ELSE length(anomalies) - length(replace(an
 
 
 @query("validation_summary", " UNION ALL ".join(f"""SELECT '{n}' AS "table", count(*) AS rows, count(*) FILTER (issues = '') AS valid_rows, count(*) FILTER (issues <> '') AS invalid_rows, sum({_N})::BIGINT AS anomalies,
-  round(avg((issues = '')::INT), 4) AS share_valid, min({k}) FILTER (issues <> '') AS first_invalid FROM {v}""" for n, k, v in (("stats", "seq", "v_stat_checks"), ("players", "player_key", "v_profile_checks"))))
+  round(avg((issues = '')::INT), 4) AS share_valid, min({k}) FILTER (issues <> '') AS first_invalid, (SELECT string_agg({k}::VARCHAR, ',' ORDER BY {k}) FROM (SELECT {k} FROM {v} WHERE issues <> '' ORDER BY {k} LIMIT 10)) AS samples FROM {v}""" for n, k, v in (("stats", "seq", "v_stat_checks"), ("players", "player_key", "v_profile_checks"))))
 def validation_summary(spark, sf_dir):
     return quality.summary(_checked(spark, sf_dir), {"stats": "seq", "players": "player_key"})
 
@@ -210,6 +211,63 @@ def load_report(spark, sf_dir):
     return warehouse.load_report({"players": players, "stats": stats})
 
 
+_KEYS = (("external_id",), ("match_date", "home_club", "away_club", "competition"))
+VIEWS["v_stored_matches"] = "SELECT match_id, CASE WHEN match_id % 3 <> 0 THEN 'm' || match_id::VARCHAR END AS external_id, match_date, home_club, away_club, competition, home_score, away_score FROM v_matches QUALIFY row_number() OVER (PARTITION BY match_date, home_club, away_club, competition ORDER BY match_id) = 1"
+VIEWS["v_match_rows"] = """
+SELECT match_id * 10 AS line, external_id, NULL::DATE AS match_date, NULL::VARCHAR AS home_club, NULL::VARCHAR AS away_club, NULL::VARCHAR AS competition, home_score + 1 AS home_score, NULL::BIGINT AS away_score FROM v_stored_matches WHERE match_id % 5 = 0
+UNION ALL SELECT match_id * 10, NULL, match_date, home_club, away_club, competition, NULL, away_score + 2 FROM v_stored_matches WHERE match_id % 5 = 1
+UNION ALL SELECT match_id * 10, 'n' || match_id::VARCHAR, match_date + 10000, home_club, away_club, competition, home_score, NULL FROM v_stored_matches WHERE match_id % 5 = 2
+UNION ALL SELECT match_id * 10 + 1, NULL, match_date + 10000, home_club, away_club, competition, NULL, 7 FROM v_stored_matches WHERE match_id % 5 = 2
+UNION ALL SELECT a.match_id * 10, a.external_id, b.match_date, b.home_club, b.away_club, b.competition, 99, 99 FROM v_stored_matches a CROSS JOIN (SELECT * FROM v_stored_matches WHERE match_id % 5 = 4 ORDER BY match_id LIMIT 1) b WHERE a.match_id % 5 = 3 AND a.external_id IS NOT NULL"""
+VIEWS["v_match_told"] = """
+SELECT r.*, a.match_id AS by_id, b.match_id AS by_place, CASE WHEN r.external_id IS NULL AND r.match_date IS NULL THEN 'failed' WHEN a.match_id <> b.match_id THEN 'conflict' WHEN coalesce(a.match_id, b.match_id) IS NOT NULL THEN 'update' ELSE 'insert' END AS action,
+  CASE WHEN coalesce(a.match_id, b.match_id) IS NOT NULL THEN coalesce(a.match_id, b.match_id)::VARCHAR ELSE 'new:n' || (line // 10)::VARCHAR END AS id
+FROM v_match_rows r LEFT JOIN v_stored_matches a ON r.external_id = a.external_id LEFT JOIN v_stored_matches b ON r.match_date = b.match_date AND r.home_club = b.home_club AND r.away_club = b.away_club AND r.competition = b.competition"""
+
+
+@once
+def match_rows(spark, sf_dir):
+    """(stored matches, rows to load): corrections by id or by date and clubs, new matches in two parts, rows whose keys differ, rows without a key."""
+    first = Window.partitionBy("match_date", "home_club", "away_club", "competition").orderBy("match_id")
+    m = D.matches(spark, sf_dir).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    return m.withColumn("external_id", F.when(F.col("match_id") % 3 != 0, F.concat(F.lit("m"), F.col("match_id").cast("string"))))
+
+
+def _match_load(spark, sf_dir):
+    m = match_rows(spark, sf_dir)
+    text, whole = F.lit(None).cast("string"), F.lit(None).cast("long")
+    of = lambda k, at, ext, place, home, away, src=m: src.filter(F.col("match_id") % 5 == k).select((F.col("match_id") * 10 + at).alias("line"), ext.alias("external_id"), *[p.alias(c) for p, c in zip(place, _KEYS[1], strict=True)], home.alias("home_score"), away.alias("away_score"))
+    place, later = [F.col(c) for c in _KEYS[1]], [F.date_add("match_date", 10000), *[F.col(c) for c in _KEYS[1][1:]]]
+    none = [F.lit(None).cast("date"), text, text, text]
+    other = m.filter("match_id % 5 = 4").orderBy("match_id").limit(1).select(*[F.col(c).alias(f"o_{c}") for c in _KEYS[1]])
+    new = of(0, 0, F.col("external_id"), none, F.col("home_score") + 1, whole)
+    new = new.unionByName(of(1, 0, text, place, whole, F.col("away_score") + 2))
+    new = new.unionByName(of(2, 0, F.concat(F.lit("n"), F.col("match_id").cast("string")), later, F.col("home_score"), whole))
+    new = new.unionByName(of(2, 1, text, later, whole, F.lit(7).cast("long")))
+    clash = m.filter("external_id is not null").crossJoin(F.broadcast(other))  # one row
+    new = new.unionByName(of(3, 0, F.col("external_id"), [F.col(f"o_{c}") for c in _KEYS[1]], F.lit(99).cast("long"), F.lit(99).cast("long"), clash))
+    stored = m.select(F.col("match_id").cast("string").alias("match_id"), "external_id", *_KEYS[1], F.col("home_score").cast("long").alias("home_score"), F.col("away_score").cast("long").alias("away_score"))
+    return identity.upsert_by(stored, new, "line", _KEYS, "match_id")
+
+
+@query("match_upsert", """SELECT coalesce(s.match_id::VARCHAR, u.id) AS match_id, coalesce(u.external_id, s.external_id) AS external_id, coalesce(u.match_date, s.match_date)::VARCHAR AS match_date, coalesce(u.home_score, s.home_score) AS home_score, coalesce(u.away_score, s.away_score) AS away_score
+FROM v_stored_matches s FULL JOIN (SELECT id, arg_max(external_id, line) AS external_id, arg_max(match_date, line) AS match_date, arg_max(home_score, line) AS home_score, arg_max(away_score, line) AS away_score FROM v_match_told WHERE action IN ('update', 'insert') GROUP BY id) u ON s.match_id::VARCHAR = u.id""")
+def match_upsert(spark, sf_dir):
+    table, _ = _match_load(spark, sf_dir)
+    return table.select("match_id", "external_id", F.col("match_date").cast("string").alias("match_date"), "home_score", "away_score")
+
+
+@query("match_upsert_report", """SELECT 'matches' AS entity, count(*) AS attempted, count(DISTINCT CASE WHEN action = 'insert' THEN id END) AS inserted, count(*) FILTER (action IN ('insert', 'update')) - count(DISTINCT CASE WHEN action = 'insert' THEN id END) AS updated,
+  count(*) FILTER (action = 'conflict') AS skipped, count(*) FILTER (action = 'failed') AS failed, 'success_partial' AS status FROM v_match_told""")
+def match_upsert_report(spark, sf_dir):
+    return identity.upsert_report(_match_load(spark, sf_dir)[1], "matches")
+
+
+@query("match_upsert_errors", "SELECT line, CASE action WHEN 'conflict' THEN 'keys name different rows' ELSE 'no key has all its columns' END AS reason FROM v_match_told WHERE action IN ('conflict', 'failed') ORDER BY line LIMIT 10")
+def match_upsert_errors(spark, sf_dir):
+    return identity.error_rows(_match_load(spark, sf_dir)[1], "line")
+
+
 @query("match_fallback", """SELECT a.player_key, a.seq, coalesce(CASE WHEN a.seq % 2 = 0 THEN a.seq END, m.match_id) AS found_match FROM v_app a JOIN v_players p USING (player_key) LEFT JOIN (
   SELECT match_date, club, min(match_id) AS match_id FROM (SELECT match_date, home_club AS club, match_id FROM v_matches UNION ALL SELECT match_date, away_club, match_id FROM v_matches) GROUP BY ALL) m ON m.match_date = a.match_date AND m.club = p.club""")
 def match_fallback(spark, sf_dir):
@@ -380,10 +438,31 @@ def lloyd_fixed(spark, sf_dir):
     return models.lloyd(rows, "vec_id", "v", rows.filter("vec_id < 5").select(F.col("vec_id").alias("cluster"), F.col("v").alias("c")), 2)
 
 
+def cluster_rows(spark, sf_dir):
+    """(key, v): the eight features of every player with appearances, in millionths of their fixed ranges."""
+    stats = D.appearances(spark, sf_dir)
+    t = kpi_of(spark, sf_dir).select("player_key", "age", "minutes", X.per_90("goals", "minutes").alias("goals_per_90"), X.per_90("assists", "minutes").alias("assists_per_90"), X.per_90("shots", "minutes").alias("shots_per_90"), X.per_90("passes", "minutes").alias("passes_per_90"))
+    t = t.join(features.expected_metrics(stats).select("player_key", "xg_per_90", "xa_per_90"), "player_key", "left")
+    return t.select(F.col("player_key").alias("key"), models.in_ranges(t).alias("v"))
+
+
+VIEWS["v_cluster_rows"] = "SELECT k.player_key, [" + ", ".join(
+    f"round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CASE WHEN coalesce({e}, 0) = 0 THEN {models.DEFAULT_AGE if c == 'age' else 0.0}::DOUBLE ELSE ({e})::DOUBLE END - {low}::DOUBLE) / ({high}::DOUBLE - {low}::DOUBLE))) * 1000000.0::DOUBLE)::BIGINT"
+    for (c, (low, high)), e in zip(models.CLUSTER_RANGES.items(), (*(P90.format(x) for x in ("goals", "assists", "shots", "passes")), "xg_per_90", "xa_per_90", "minutes", "age"), strict=True)
+) + "] AS v FROM v_kpi0 k LEFT JOIN (SELECT player_key, xg_per_90, xa_per_90 FROM v_expected) e ON k.player_key = e.player_key"
+
+
 @query("kmeans")
 def kmeans(spark, sf_dir):
-    t = kpi_of(spark, sf_dir).select("player_key", "base_kpi", "consistency", F.coalesce(F.col("age").cast("double"), F.lit(24.0)).alias("age")).join(valuation_of(spark, sf_dir).select("player_key", "score"), "player_key")
-    return models.k_means(t, ["base_kpi", "consistency", "age", "score"]).select("player_key", "cluster")
+    """Five clusters of eight features, centres drawn by distance, up to a hundred rounds."""
+    found, _ = models.seeded_clusters(cluster_rows(spark, sf_dir))
+    names = F.array(*[F.lit(a) for a in models.ARCHETYPES])
+    return found.select(F.col("key").alias("player_key"), "cluster", F.get(names, F.col("cluster")).alias("archetype"))
+
+
+@query("cluster_features", "SELECT player_key, " + ", ".join(f"v[{i + 1}] AS {c}" for i, c in enumerate(models.CLUSTER_RANGES)) + " FROM v_cluster_rows")
+def cluster_features(spark, sf_dir):
+    return cluster_rows(spark, sf_dir).select(F.col("key").alias("player_key"), *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(models.CLUSTER_RANGES)])
 
 
 @query("cluster_profile", """SELECT label AS cluster, count(*) AS size, """ + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 4) AS d{i}" for i in range(_DIMS)) + """, CASE greatest(""" + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 4)" for i in range(_DIMS)) + ") " + " ".join(f"WHEN round(avg(embedding[{i + 1}]::DOUBLE), 4) THEN 'd{i}'" for i in range(_DIMS)) + " END AS label FROM embeddings GROUP BY embeddings.label")
@@ -442,6 +521,22 @@ def match_headers(spark, sf_dir):
     return pages.match_header(stat_pages(spark, sf_dir)).select("page_id", "external_id", "home_club", "away_club", "home_score", "away_score")
 
 
+_BLOB = """'{"id": ' || page_id::VARCHAR || ', "note": "a };{ \\" }", "deep": {"rows": [1, {"t": "}"}, {}], "size": ' || length(html)::VARCHAR || '}}'"""
+
+
+@query("embedded_blobs", f"""SELECT page_id, block, json, json->>'$.note' AS note, (json->>'$.deep.size')::BIGINT AS size, json_array_length(json->'$.deep.rows')::BIGINT AS items FROM (
+  SELECT page_id, 0 AS block, {_BLOB} AS json FROM pages UNION ALL SELECT page_id, 1, '{{"other": ' || page_id::VARCHAR || '}}' FROM pages)""")
+def embedded_blobs(spark, sf_dir):
+    """Objects that scripts of the pages assign: braces within braces and in strings, one cut off, one that is no JSON."""
+    s = lambda c: F.col(c).cast("string")
+    blob = F.concat(F.lit('{"id": '), s("page_id"), F.lit(', "note": "a };{ \\" }", "deep": {"rows": [1, {"t": "}"}, {}], "size": '), F.length("html").cast("string"), F.lit("}}"))
+    text = F.concat("html", F.lit("<script>window.__data = "), blob, F.lit(";</script><script>__DATA__={no json};</script><script> __NEXT_DATA__  =\n"), F.concat(F.lit('{"other": '), s("page_id"), F.lit("}")), F.lit(' ; window.__data = {"open": {"x": 1}</script>'))
+    t = pages.embedded_objects(D.table(spark, sf_dir, "pages").withColumn("html", text))
+    v = F.parse_json("json")
+    rows = F.try_variant_get(v, "$.deep.rows", "array<variant>")
+    return t.select("page_id", "block", "json", F.try_variant_get(v, "$.note", "string").alias("note"), F.try_variant_get(v, "$.deep.size", "bigint").alias("size"), F.when(rows.isNotNull(), F.size(rows)).cast("long").alias("items"))
+
+
 # --- documents, matching, serving -------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs as X
-from pitchlake.operators import decisions, features, serving
+from pitchlake.operators import decisions, features, identity, serving
 from pitchlake.plans.club_queries import alerts_of, decisions_of, projected_of
 from pitchlake.plans.data_queries import changed_keys, edges_of, market_value_analytic
 from pitchlake.plans.registry import ORACLES, VIEWS, query
@@ -93,14 +93,25 @@ def neighbour_enrichment(spark, sf_dir):
     return edges_of(spark, sf_dir).join(mean, "dst", "left").select("src", "dst", "w", "mean_score")
 
 
-@query("load_verification", "SELECT 'players' AS entity, count(*) AS rows FROM v_players UNION ALL SELECT 'matches', count(*) FROM v_matches UNION ALL SELECT 'stats', count(*) FROM v_app UNION ALL SELECT 'transfers', count(*) FROM v_transfers")
+_SAMPLED = (("players", "v_players", ("player_key",)), ("matches", "v_matches", ("match_id",)), ("stats", "v_app", ("seq", "player_key")), ("transfers", "v_transfers", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "fee")))
+
+
+def _sampled_sql(entity: str, view: str, keys: tuple[str, ...]) -> str:
+    text = " || '/' || ".join(f"{k}::VARCHAR" for k in keys[:4])
+    return f"SELECT '{entity}' AS entity, n AS rows, i, sample FROM (SELECT count(*) AS n FROM {view}), (SELECT row_number() OVER (ORDER BY {', '.join(keys)}) AS i, {text} AS sample FROM {view} ORDER BY {', '.join(keys)} LIMIT 5)"
+
+
+@query("load_verification", " UNION ALL ".join(_sampled_sql(*t) for t in _SAMPLED))
 def load_verification(spark, sf_dir):
+    """How many rows each table has, and its first five."""
     tables = {"players": D.players, "matches": D.matches, "stats": D.appearances, "transfers": D.transfers}
     out = None
-    for name, t in tables.items():
-        part = t(spark, sf_dir).agg(F.lit(name).alias("entity"), F.count("*").alias("rows"))
+    for entity, _, keys in _SAMPLED:
+        t = tables[entity](spark, sf_dir)
+        few = identity.smallest(t, keys, 5, [F.concat_ws("/", *[F.col(k).cast("string") for k in keys[:4]]).alias("sample")])
+        part = t.agg(F.lit(entity).alias("entity"), F.count("*").alias("rows")).crossJoin(F.broadcast(few))  # five rows
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select("entity", "rows", F.col("i").cast("long").alias("i"), "sample")
 
 
 @query("batch_summary", "SELECT count(*) AS changed, count(*) FILTER (event_id % 7 = 0) AS new_keys, count(*) FILTER (event_id % 7 <> 0) AS updated_keys FROM events WHERE event_id % 7 IN (0, 1)")

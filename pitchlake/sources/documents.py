@@ -28,9 +28,12 @@ MATCH = _struct(
 )
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(documents with their file, unreadable files). One JSON object per file."""
-    read = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt", _S)])).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+def read_documents(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents with their file, files of the unreadable ones). One JSON object per file, or per line.
+
+    Millions of documents want lines: a file for each is a task's worth of listing and opening.
+    """
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt", _S)])).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     t = read.select("*", F.col("_metadata.file_path").alias("file"))
     empty = F.lit(True)
     for f in schema.fields:
@@ -103,6 +106,34 @@ def write_verified(df: DataFrame, path: str) -> int:
     return found
 
 
+def publish(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """(name, rows, state) of tables that are published together: all of them, or, if one fails, none.
+
+    Each is written and verified under path/staged; only when all are is path/published written, which
+    names them, and which readers go by.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    done, failed = [], False
+    for name, t in tables.items():
+        try:
+            done.append((name, write_verified(t, f"{path}/staged/{name}")))
+        except ValueError:  # what was read back differs
+            done.append((name, -1))
+            failed = True
+    state = "withheld" if failed else "published"
+    report = spark.createDataFrame([(name, n, state) for name, n in done], "name string, rows long, state string")
+    if not failed:
+        report.coalesce(1).write.mode("overwrite").parquet(f"{path}/published")
+    return report
+
+
+def published(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table that was published under path; an error if it was not."""
+    if not spark.read.parquet(f"{path}/published").filter(F.col("name") == name).count():
+        raise ValueError(f"{name} is not published in {path}")
+    return spark.read.parquet(f"{path}/staged/{name}")
+
+
 def registry(parts: list[tuple[int, DataFrame]], key: str, prefix: str) -> DataFrame:
     """Union of registries (key, url): of one key the highest priority stays; a missing url is built from the key."""
     every = None
