@@ -205,20 +205,21 @@ def pathway(kpi: DataFrame, slopes: DataFrame, valued: DataFrame, trend: DataFra
     )
 
 
-def share_below(rows: DataFrame, value: str, out: str = "share_below") -> DataFrame:
-    """rows with the share of rows whose value is strictly smaller.
+def share_below(rows: DataFrame, value: str, out: str = "share_below", parts: int = 256) -> DataFrame:
+    """rows with the share of rows whose value is strictly smaller; null has none.
 
-    Distinct values are counted first. Their running sum is taken inside ranges of the value, and
-    only one total per range is summed across ranges, so no task sees more than a range.
+    Distinct values are counted first. Their running sum is taken inside ranges between quantiles of
+    the distinct values, so that a far-off value does not put all others into one, and only one
+    total per range is summed across ranges. The cuts, `parts` numbers, pass through the driver.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    low, high, total = counts.agg(F.min(value), F.max(value), F.coalesce(F.sum("__n"), F.lit(0))).head()
-    width = max(float((high or 0) - (low or 0)) / 256.0, 1e-12)
-    counts = counts.withColumn("__part", F.floor((F.col(value) - float(low or 0)) / width))
-    parts = counts.groupBy("__part").agg(F.sum("__n").alias("__size"))
-    parts = parts.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    cuts, total = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 100 * parts), F.coalesce(F.sum("__n"), F.lit(0))).head()
+    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]).cast("array<double>")
+    counts = counts.withColumn("__part", F.size(F.filter(edges, lambda c: c <= F.col(value))))
+    sizes = counts.groupBy("__part").agg(F.sum("__n").alias("__size"))
+    sizes = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    below = counts.withColumn("__inside", inside).join(F.broadcast(parts), "__part").select(F.col(value).alias("__value"), (F.col("__inside") + F.col("__before")).alias("__below"))
+    below = counts.withColumn("__inside", inside).join(F.broadcast(sizes), "__part").select(F.col(value).alias("__value"), (F.col("__inside") + F.col("__before")).alias("__below"))
     return rows.join(below, F.col(value) == F.col("__value"), "left").withColumn(out, F.col("__below") / F.lit(float(max(total, 1)))).drop("__value", "__below")
 
 

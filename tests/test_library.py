@@ -154,6 +154,16 @@ def test_documents(spark, tmp_path):
     assert documents.write_verified(good.select("file"), f"file://{tmp_path}/out") == 1
 
 
+def test_share_below_with_one_value_far_off(spark):
+    """Ranges follow the values: one of 10^12 leaves the others in many ranges."""
+    values = [float(i % 700) / 7 for i in range(3000)] + [1e12, -1e9]
+    t = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "k int, v double")
+    got = {r.k: r.share_below for r in scores.share_below(t, "v", parts=16).collect()}
+    assert got.pop(len(values)) is None
+    assert all(abs(got[i] - sum(w < v for w in values) / len(values)) < 1e-12 for i, v in enumerate(values))
+    assert scores.share_below(t.filter("v is null"), "v").count() == 1 and scores.share_below(t.limit(0), "v").count() == 0
+
+
 def test_resolution_and_serving(spark):
     known = spark.createDataFrame([("kendry-paez", "Kendry Páez", 17, "IDV", "midfielder"), ("moises", "Moisés Caicedo", 22, None, None)], "slug string, name string, age int, club string, position string")
     records = spark.createDataFrame([(1, "kendry paez", 17, "idv", None), (2, "Nobody Known", 30, None, None), (3, "M Caicedo", 22, None, None)], "record_id long, name string, age int, club string, position string")
