@@ -120,13 +120,36 @@ def cluster_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def training_set(spells: DataFrame, prestige: DataFrame) -> DataFrame:
-    """One sample per spell: middle age, 40 + 60 * peak / career peak, prestige, direction, log10 of the peak."""
+    """One sample per spell: middle age, 40 + 60 * peak / career peak, prestige, direction, log10 of the peak.
+
+    The chance of a move and the share of minutes are not known of past spells: a proxy by age,
+    prestige and direction, and a constant.
+    """
     career = spells.groupBy("player_key").agg(F.max("peak").alias("career_peak"))
     t = spells.join(career, "player_key").join(F.broadcast(prestige.select("club", "prestige")), "club", "left").filter("peak > 0")
-    return t.select(
+    t = t.select(
         "player_key", "spell", F.coalesce(F.col("mid_age").cast("double"), F.lit(23.0)).alias("age"), F.round(40 + 60 * F.col("peak") / F.col("career_peak"), 4).alias("score"), F.round(F.coalesce("prestige", F.lit(0.4)), 4).alias("prestige"),
         F.when(F.col("change") > 0.1, 1.0).when(F.col("change") < -0.1, 0.0).otherwise(0.5).alias("trajectory"), F.round(F.log10("peak"), 4).alias("label"),
     )
+    likely = F.when((F.col("age") <= 24) & (F.col("prestige") < 0.60) & (F.col("trajectory") >= 0.5), 0.70).when(F.col("age") <= 27, 0.50).otherwise(0.30)
+    return t.withColumns({"p1": likely, "minutes_ratio": F.lit(0.85)})
+
+
+def log_error(model: PipelineModel, samples: DataFrame) -> float:
+    """Root of the mean squared error of the predicted log10, which is the width of the interval; 0.35 without samples."""
+    found = model.transform(samples).agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), F.lit(2.0))))).head()[0]
+    return 0.35 if found is None else float(found)
+
+
+def value_confidence(data: Column, market: Column, second_source: Column) -> Column:
+    """Confidence in the data (0.70 if unknown) and what a stated value and a second source add, 1 at most."""
+    return F.round(F.least(F.lit(1.0), X.or_default(data, 0.70) + F.when(market > 0, 0.15).otherwise(0.0) + F.when(second_source, 0.10).otherwise(0.0)), 4)
+
+
+def interval(value: Column, error: float, data: Column) -> tuple[Column, Column]:
+    """(low, high) around a value: the model's error in log10, up to half as much again where the data are not trusted."""
+    width = F.lit(error) * (1.0 + (1.0 - X.or_default(data, 0.70)) * 0.5)
+    return F.round(value * F.pow(F.lit(10.0), -width), 0), F.round(value * F.pow(F.lit(10.0), width), 0)
 
 
 def fit_value_model(samples: DataFrame, columns: list[str], trees: int = 300, seed: int = 42) -> PipelineModel:

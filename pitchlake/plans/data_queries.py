@@ -9,9 +9,9 @@ from pitchlake.functions import exprs as X
 from pitchlake.operators import features, graph, identity, models, pages, quality, resolution, serving, warehouse
 from pitchlake.plans.core_queries import P90
 from pitchlake.plans.registry import VIEWS, once, query
-from pitchlake.plans.score_queries import drift_of, kpi_of, spells_of, transfer_of, valuation_of
+from pitchlake.plans.score_queries import confidence_index, drift_of, kpi_of, spells_of, transfer_of, valuation_of
 from pitchlake.sources import documents, driver_views as D
-from pitchlake.sources.shared import folder
+from pitchlake.sources.shared import cut, folder
 from pitchlake.streaming import refresh
 
 # --- scalars ----------------------------------------------------------------------------------
@@ -370,8 +370,9 @@ def routes(spark, sf_dir):
 # --- models -----------------------------------------------------------------------------------
 
 
-@query("training_set", """SELECT s.player_key, s.spell, coalesce(mid_age::DOUBLE, 23.0) AS age, round(40 + 60 * peak / max(peak) OVER (PARTITION BY s.player_key), 4) AS score, round(coalesce(prestige, 0.4), 4) AS prestige,
-  CASE WHEN change > 0.1 THEN 1.0::DOUBLE WHEN change < -0.1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS trajectory, round(log10(peak), 4) AS label FROM v_spells s LEFT JOIN v_clubs c ON s.club = c.club""")
+@query("training_set", """SELECT *, CASE WHEN age <= 24 AND prestige < 0.60 AND trajectory >= 0.5 THEN 0.70::DOUBLE WHEN age <= 27 THEN 0.50::DOUBLE ELSE 0.30::DOUBLE END AS p1, 0.85::DOUBLE AS minutes_ratio FROM (
+SELECT s.player_key, s.spell, coalesce(mid_age::DOUBLE, 23.0) AS age, round(40 + 60 * peak / max(peak) OVER (PARTITION BY s.player_key), 4) AS score, round(coalesce(prestige, 0.4), 4) AS prestige,
+  CASE WHEN change > 0.1 THEN 1.0::DOUBLE WHEN change < -0.1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS trajectory, round(log10(peak), 4) AS label FROM v_spells s LEFT JOIN v_clubs c ON s.club = c.club)""")
 def training_set(spark, sf_dir):
     return models.training_set(spells_of(spark, sf_dir), D.clubs(spark, sf_dir))
 
@@ -394,17 +395,25 @@ def market_value_analytic(spark, sf_dir):
     return _analytic(spark, sf_dir).select("player_key", "analytic")
 
 
-_INPUTS = ["age", "score", "prestige", "trajectory"]
+_INPUTS = ["age", "score", "prestige", "trajectory", "p1", "minutes_ratio"]
 
 
 @query("market_value")
 def market_value(spark, sf_dir):
-    """Boosted trees over all spells, mixed with the analytic form and the stated value."""
-    model = models.fit_value_model(training_set(spark, sf_dir), _INPUTS)
-    t = _analytic(spark, sf_dir).withColumns({"trajectory": F.when(F.col("direction") == "improving", 1.0).when(F.col("direction") == "declining", 0.0).otherwise(0.5), "age": F.col("age").cast("double")})
-    t = model.transform(t.fillna({"age": 24.0, "score": 50.0, "prestige": 0.4}))
+    """Boosted trees over all spells, mixed with the analytic form and the stated value, with an interval and how far it is trusted."""
+    samples = cut(training_set(spark, sf_dir))
+    model = models.fit_value_model(samples, _INPUTS)
+    error = models.log_error(model, samples)
+    stats = features.player_totals(D.appearances(spark, sf_dir)).select("player_key", F.least(F.lit(1.0), F.col("minutes") / (F.col("matches") * 90.0)).alias("minutes_ratio"))
+    sure = confidence_index(spark, sf_dir).select("player_key", "confidence", "sources")
+    t = _analytic(spark, sf_dir).join(stats, "player_key", "left").join(sure, "player_key", "left")
+    t = t.withColumns({"trajectory": F.when(F.col("direction") == "improving", 1.0).when(F.col("direction") == "declining", 0.0).otherwise(0.5), "age": F.col("age").cast("double")})
+    t = model.transform(t.fillna({"age": 23.0, "score": 50.0, "prestige": 0.4, "p1": 0.0, "minutes_ratio": 0.80}))
     predicted = F.pow(F.lit(10.0), F.col("prediction"))
-    return t.select("player_key", F.round(predicted, 0).alias("predicted"), "analytic", models.blended(predicted, F.col("analytic"), F.col("market_value")).alias("blended"))
+    t = t.withColumn("blended", models.blended(predicted, F.col("analytic"), F.col("market_value")))
+    low, high = models.interval(F.col("blended"), error, F.col("confidence"))
+    trust = models.value_confidence(F.col("confidence"), F.col("market_value"), F.coalesce(F.col("sources") >= 2, F.lit(False)))
+    return t.select("player_key", F.round(predicted, 0).alias("predicted"), "analytic", "blended", low.alias("low"), high.alias("high"), trust.alias("confidence"))
 
 
 @query("pathway_success")

@@ -57,6 +57,21 @@ def test_features_stay_in_their_ranges(spark):
     assert got == [[500000, 0, 1000000, 500000, 250000, 200000, 1000000, 304348], [0, 0, 0, 0, 0, 0, 0, 304348], [0, 0, 500000, 1000000, 1000000, 1000000, 500000, 1000000]]
 
 
+def test_intervals_hold_most_values(spark):
+    """The error of the log decides the width; distrust widens it; about two thirds of the samples lie within."""
+    r = random.Random(4)
+    rows = [(float(a := r.randint(17, 34)), s := r.uniform(40, 100), p := r.random(), 5.0 + s / 50 + p - abs(a - 25) / 20 + r.gauss(0, 0.2)) for _ in range(400)]
+    t = spark.createDataFrame(rows, "age double, score double, prestige double, label double")
+    model = models.fit_value_model(t, ["age", "score", "prestige"], trees=12)
+    error = models.log_error(model, t)
+    assert 0.1 < error < 0.5 and models.log_error(model, t.limit(0)) == 0.35
+    low, high = models.interval(F.pow(F.lit(10.0), F.col("prediction")), error, F.lit(1.0))
+    truth = F.pow(F.lit(10.0), F.col("label"))
+    assert 0.6 < model.transform(t).select(((truth >= low) & (truth <= high)).cast("int").alias("ok")).agg(F.avg("ok")).first()[0] < 0.8
+    one = spark.range(1).select(*models.interval(F.lit(1e6), 0.2, F.lit(0.5)), models.value_confidence(F.lit(None).cast("double"), F.lit(5.0), F.lit(True)), models.value_confidence(F.lit(0.9), F.lit(5.0), F.lit(True)), models.value_confidence(F.lit(0.4), F.lit(None).cast("double"), F.lit(False))).first()
+    assert [one[0], one[1]] == [round(1e6 * 10**-0.25), round(1e6 * 10**0.25)] and list(one)[2:] == [0.95, 1.0, 0.4]
+
+
 def test_objects_end_where_their_brace_closes(spark):
     whole = ['{"a": "};"}', '{"a": {"b": "\\\\"}, "c": "}\\""}', "{}", json.dumps({"x": [{"y": "{" * 50}] * 200})]
     cut = ['{"a": 1', '{"a": "}', "", "x{}", '{"a": "\\"}']
