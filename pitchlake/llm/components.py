@@ -24,6 +24,22 @@ def spread_join(rows: DataFrame, named: DataFrame, on: str, key: str, total: int
     return there.unionByName(rest.join(named.filter(~is_hot), F.col(on) == F.col(key)))
 
 
+def chain_ends(steps: DataFrame) -> DataFrame:
+    """(node, next) long or string, each node once and no circles -> (node, root): the last of each node's chain.
+
+    Every round doubles the steps taken at once, so the rounds grow with the logarithm of the longest
+    chain; each is written to the shared folder, and one bit a round reaches the driver.
+    """
+    now, path = cut_at(steps.select("node", F.col("next").alias("root")))
+    while True:
+        ahead = now.select(F.col("node").alias("w"), F.col("root").alias("r"))
+        further, done = cut_at(now.join(ahead, F.col("root") == F.col("w"), "left").select("node", F.coalesce("r", "root").alias("root"), F.col("r").isNotNull().alias("moved")))
+        remove(now.sparkSession, path)
+        path, moved, now = done, not further.filter("moved").isEmpty(), further.drop("moved")
+        if not moved:
+            return now
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) long -> (node, root): the smallest node of each node's component, for nodes with an edge.
 

@@ -6,6 +6,8 @@ longer, so that a task holds a few arrays of that size whatever the table's size
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +17,19 @@ import pyarrow.compute as pc
 import xxhash
 
 CHUNK_BYTES = (1 << 20) - 64
+
+
+def return_memory() -> None:
+    """From now on this process gives arrays and batches of 1 MiB or more back to the machine when they are freed.
+
+    Allocators keep what was once the most by default, in workers that wait for the next task too.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which would grow otherwise
+
+
+return_memory()
 _MASK = (1 << 64) - 1
 #: Odd multipliers by which the hashes of a run's words are put together.
 _Q = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)

@@ -13,22 +13,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchlake.llm import kernel
-from pitchlake.llm.components import HOT, components, spread_join
+from pitchlake.llm.components import HOT, chain_ends, components, spread_join
 from pitchlake.llm.shared import cut, cut_at, remove
 
 #: Words of a shingle; a link's least similarity as a fraction; MinHash keys and values of each.
 SHINGLE, SHARE, BANDS, ROWS = 5, (4, 5), 32, 4
 #: Of the 4-bit parts of two sets' MinHash values, this many may differ in a candidate.
 APART = 50
-#: Pairs of one set that a task compares together, unless more than HOT sets have that many; bits of the filter of wanted sets.
+#: Pairs of one set that a task compares together, unless more than HOT sets have that many; bits of the filter of wanted sets, at most.
 TOGETHER, FILTER_BITS = 1000, 1 << 27
-#: Ids of documents that go, at most so many, are broadcast: 32 MB of them.
-BROADCAST_IDS = 1 << 22
+#: Sets of a key, at most, of which all pairs meet.
+FEW = 24
+#: Ids of documents that go, at most so many, are broadcast: 67 MB as Spark holds them (measured).
+BROADCAST_IDS = 1 << 20
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _TIMES, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
@@ -119,11 +121,11 @@ def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """(fp, text): one text of each wanted set (w).
 
-    Documents pass a filter of FILTER_BITS bits first, in which each set has two, so that texts of
-    other sets are hardly shuffled; of a set's copies a task sends one. Only the filter, of fixed
-    size, reaches the driver; where it is full it lets all pass.
+    Documents pass a filter first, in which each set has two bits of 16 or more, so that texts of other
+    sets are hardly shuffled; of a set's copies a task sends one. Only the filter, of FILTER_BITS at
+    most, reaches the driver; where it is full it lets all pass.
     """
-    size = FILTER_BITS
+    size = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
     half = size.bit_length() - 1
     places = wanted.select(F.explode(F.array(F.col("w"), F.shiftrightunsigned("w", half))).alias("p")).select(F.col("p").bitwiseAND(F.lit(size - 1)).alias("p"))
     words = places.groupBy(F.expr("shiftright(p, 6)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
@@ -194,18 +196,56 @@ def verified(pairs: DataFrame, texts: DataFrame, share: tuple[int, int] = SHARE)
     return both.mapInArrow(compare, _EDGE)
 
 
+def shingles_of(texts: DataFrame) -> DataFrame:
+    """(fp, text) -> (fp, h): a row for each distinct shingle of each text."""
+    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("h", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for at, data, offsets in kernel.chunks(batch.column(1)):
+                h, bounds = shingle_sets(data, offsets)
+                yield pa.record_batch([pa.array(np.repeat(own[at : at + len(offsets) - 1], np.diff(bounds))), pa.array(h.view(np.int64))], names=schema.names)
+
+    return texts.select("fp", "text").mapInArrow(run, schema)
+
+
+def rarest(sets: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """(fp, n) -> (h, fp): of each set as many of its rarest shingles as two sets of similarity SHARE must have one in common of.
+
+    Of n shingles all but the n * SHARE most frequent ones, and one of these; frequent is what many of
+    `sets` have. What one set alone has is no row, so sets of pages that share a template, but too
+    little besides, have no row at all.
+    """
+    grams = tables.cut(shingles_of(texts.join(sets.select(F.col("fp").alias("w")), F.col("fp") == F.col("w"), "left_semi")))
+    often = tables.cut(grams.groupBy(F.col("h").alias("k")).agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = spread_join(grams, often, "h", "k", grams.count()).select("fp", "h", F.col("n").alias("often"))
+    prefix = F.col("n") - F.ceil(F.col("n") * SHARE[0] / SHARE[1]) + 1
+    in_order = Window.partitionBy("fp").orderBy("often", "h")
+    ranked = shared.select("fp", "h", F.row_number().over(in_order).alias("i"), F.count("*").over(Window.partitionBy("fp")).alias("others"))
+    return ranked.join(sets.select(F.col("fp").alias("w"), "n"), F.col("fp") == F.col("w")).filter(F.col("i") <= prefix - (F.col("n") - F.col("others"))).select("h", "fp")
+
+
+def pairs_by(rows: DataFrame, key: str) -> DataFrame:
+    """(key, fp, root, n, parts) -> distinct (a, b) of rows of one key that have different roots and may link."""
+    right = rows.select(F.col(key).alias("k2"), F.col("fp").alias("f2"), F.col("root").alias("root2"), F.col("n").alias("n2"), *[F.col(p).alias(f"{p}_2") for p in _PARTS])
+    fits = (F.col("fp") < F.col("f2")) & (F.col("root") != F.col("root2")) & may_link(F.col("n"), F.col("n2"), [F.col(p) for p in _PARTS], [F.col(f"{p}_2") for p in _PARTS])
+    return rows.join(right, (F.col(key) == F.col("k2")) & fits).select(F.col("fp").alias("a"), F.col("f2").alias("b")).distinct()
+
+
 def links(marked: DataFrame, docs: DataFrame, tables: Tables, text_col: str = "text") -> DataFrame:
     """prints() of docs -> edges (a, b) of set hashes that join exactly what links between candidates join.
 
     Each set is first compared with one other only, the smallest that shares a key with it; then, in
-    keys whose sets this has not all joined, with the key's smallest set; last, in keys still not
-    joined, all pairs of sets not joined yet. What the sizes or the MinHash values rule out is left
-    away inside the join, so the last pairs are few, but a key's sets still meet each other there.
+    keys whose sets this has not all joined, with the key's smallest set. In keys still not joined, all
+    pairs of sets not joined yet meet if they are at most FEW; the sets of larger keys meet those that
+    share one of their rarest shingles, without which no two of them can be similar enough. What the
+    sizes or the MinHash values rule out is left away inside the joins.
     """
     sets = tables.cut(marked.filter("n > 0").select("fp", "n", "keys", *_PARTS).dropDuplicates(["fp"]))
     dealt = sets.select("fp", F.explode("keys").alias("key"))
-    shared = dealt.groupBy(F.col("key").alias("k2")).agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).filter("lead <> last").drop("last")
-    met = tables.cut(dealt.join(shared, F.col("key") == F.col("k2")).select("key", "fp", "lead"))
+    shared = tables.cut(dealt.groupBy(F.col("key").alias("k2")).agg(F.min("fp").alias("lead"), F.count("*").alias("n")).filter("n > 1"))
+    met = tables.cut(spread_join(dealt, shared, "key", "k2", sets.count() * BANDS).select("key", "fp", "lead"))
     wanted = tables.cut(met.select(F.col("fp").alias("w")).distinct())
     texts = tables.cut(texts_of(docs, wanted, text_col))
     sides = [sets.select("fp", *[F.col(c).alias(f"{c}_{s}") for c in ("n", *_PARTS)]) for s in "ab"]
@@ -217,22 +257,28 @@ def links(marked: DataFrame, docs: DataFrame, tables: Tables, text_col: str = "t
         fit = tables.cut(beside(beside(pairs, sides[1], "b", "a", total), sides[0], "a", "b", total).filter(likely).select("a", "b"))
         return tables.cut(verified(fit, texts))
 
-    def still_open(edges: DataFrame) -> DataFrame:
-        """(key, fp, lead, root, lead_root) of the keys whose sets are not all joined."""
-        labelled = tables.cut(met.join(components(edges), F.col("fp") == F.col("node"), "left").select("key", "fp", "lead", F.coalesce("root", "fp").alias("root")))
-        of_key = labelled.groupBy(F.col("key").alias("k2")).agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max(F.when(F.col("fp") == F.col("lead"), F.col("root"))).alias("lead_root"))
-        return labelled.join(of_key.filter("r1 <> r2"), F.col("key") == F.col("k2")).select("key", "fp", "lead", "root", "lead_root")
+    def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """(key, fp, lead, root, lead_root, n) of the rows in keys whose sets are not all joined; n: of the key."""
+        labelled = tables.cut(rows.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "lead", F.coalesce("root", "fp").alias("root")))
+        of_key = labelled.groupBy(F.col("key").alias("k2")).agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max(F.when(F.col("fp") == F.col("lead"), F.col("root"))).alias("lead_root"), F.count("*").alias("n"))
+        of_key = tables.cut(of_key.filter("r1 <> r2").drop("r1", "r2"))
+        return tables.cut(spread_join(labelled, of_key, "key", "k2", labelled.count()).select("key", "fp", "lead", "root", "lead_root", "n"))
 
     first = tables.cut(met.filter("fp <> lead").groupBy(F.col("fp").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"))
     edges = near(first)
-    star = still_open(edges).filter("root <> lead_root").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
+    opened = still_open(met, chain_ends(edges.select(F.col("b").alias("node"), F.col("a").alias("next"))))
+    star = opened.filter("root <> lead_root").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
     edges = edges.unionByName(near(star.join(first, ["a", "b"], "left_anti")))
     # A pair with its key's smallest set has been compared by now.
-    left = tables.cut(still_open(edges).filter("fp <> lead").select("key", "fp", "root").join(sets.drop("keys"), "fp"))
-    right = left.select("key", F.col("fp").alias("f2"), F.col("root").alias("root2"), F.col("n").alias("n2"), *[F.col(p).alias(f"{p}_2") for p in _PARTS])
-    fits = (F.col("fp") < F.col("f2")) & (F.col("root") != F.col("root2")) & may_link(F.col("n"), F.col("n2"), [F.col(p) for p in _PARTS], [F.col(f"{p}_2") for p in _PARTS])
-    rest = tables.cut(left.join(right.withColumnRenamed("key", "k2"), (F.col("key") == F.col("k2")) & fits).select(F.col("fp").alias("a"), F.col("f2").alias("b")).distinct())
-    return edges.unionByName(tables.cut(verified(rest, texts)))
+    left = still_open(opened.select("key", "fp", "lead"), components(edges)).filter("fp <> lead")
+    facts = sets.select(F.col("fp").alias("w"), F.col("n").alias("size"), *_PARTS)
+    full = tables.cut(left.select("key", "fp", "root", (F.col("n") > FEW).alias("large")).join(facts, F.col("fp") == F.col("w")).drop("w").withColumnRenamed("size", "n"))
+    rest = pairs_by(full.filter("not large"), "key")
+    many = full.filter("large").drop("key", "large").dropDuplicates(["fp"])
+    if not many.isEmpty():
+        many = tables.cut(many)
+        rest = rest.unionByName(pairs_by(tables.cut(rarest(many.select("fp", "n"), texts, tables).join(many.withColumnRenamed("fp", "w"), F.col("fp") == F.col("w")).drop("w")), "h")).distinct()
+    return edges.unionByName(tables.cut(verified(tables.cut(rest), texts)))
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -266,6 +312,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found, marked = _groups(docs, id_col, text_col, tables)
     lead = found.select(F.col("component_id").alias("__lead")).distinct()
     gone = cut(marked.select(F.col("doc_id").alias("__gone")).distinct().join(lead, F.col("__gone").eqNullSafe(F.col("__lead")), "left_anti"))
-    few = gone.count() <= BROADCAST_IDS
+    none, ids = gone.agg(F.count(F.when(F.col("__gone").isNull(), 1)), F.count("__gone")).head()
     tables.remove()
-    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    kept = docs.filter(F.col(id_col).isNotNull()) if none else docs
+    # A join of whole numbers that are never null is held in Spark's compact table.
+    some = gone.select(F.coalesce("__gone", F.lit(0)).alias("__gone")) if not none else gone.filter("__gone is not null").select(F.coalesce("__gone", F.lit(0)).alias("__gone"))
+    return kept.join(F.broadcast(some) if ids <= BROADCAST_IDS else some.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchlake.llm import kernel
-from pitchlake.llm.components import spread_join
+from pitchlake.llm.components import chain_ends, spread_join
 from pitchlake.llm.set_dedup import Tables
 from pitchlake.llm.shared import cut_at
 
@@ -170,17 +170,6 @@ def near_pairs(words: DataFrame, tables: Tables, pairs: int = PAIRS) -> DataFram
         rows = tables.cut(_chunked(many))
 
 
-def roots(forms: DataFrame, tables: Tables) -> DataFrame:
-    """(word, form) -> (word, root): the last of each word's chain of forms, the chains' lengths halved in each round."""
-    now = tables.cut(forms.select("word", F.col("form").alias("root")))
-    while True:
-        ahead = now.select(F.col("word").alias("w"), F.col("root").alias("r"))
-        now = tables.cut(now.join(ahead, F.col("root") == F.col("w"), "left").select("word", F.coalesce("r", "root").alias("root"), F.col("r").isNotNull().alias("moved")))
-        moved, now = not now.filter("moved").isEmpty(), now.drop("moved")
-        if not moved:
-            return now
-
-
 def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     """(word, n), each word once -> word, form, root, n, n_near, form_n.
 
@@ -196,7 +185,7 @@ def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     best = both.groupBy("w").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_other")).alias("least"), "other")).alias("top"))
     told = words.join(best, F.col("word") == F.col("w"), "left").withColumn("ok", -F.col("top.least") >= F.col("n") * times)
     told = tables.cut(told.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("ok"), F.col("top.other")).alias("form"), F.when(F.col("ok"), -F.col("top.least")).alias("form_n")))
-    ends = roots(told.filter("form is not null").select("word", "form"), tables).select(F.col("word").alias("w"), "root")
+    ends = chain_ends(told.filter("form is not null").select(F.col("word").alias("node"), F.col("form").alias("next"))).withColumnRenamed("node", "w")
     done, _ = cut_at(told.join(ends, F.col("word") == F.col("w"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
     tables.remove()
     return done

@@ -39,9 +39,9 @@ SEGMENT_BYTES = 256 << 10
 #: The dictionary is trained on so many texts, of each so many code points in a row, and has at most so many bytes.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 16 << 10, 64 << 10
 #: Pieces of text whose ids a worker remembers, at most, and the bytes of such a piece; beyond, the newer half of that number stays.
-MEMO, MEMO_BYTES = 400_000, 64
+MEMO, MEMO_BYTES = 200_000, 64
 #: Bytes of text that are encoded at once, or one text.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SEGMENT = T.StructType(
     [
