@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import decontam, mixing, quality_mil, set_dedup, token_store
+from pitchlake.llm import decontam, mixing, near_copies, quality_mil, token_store
 from pitchlake.llm.queries import tokenizer_file
 from pitchlake.llm.shared import crc_of_id, cut_at, documents, quoted, remove
 
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that five-word Jaccard similarities of 0.8 or more link."""
-    return set_dedup.representatives(docs)
+    """Keeps the document with the smallest id of each group that five-word Jaccard similarities of 0.8 or more link, met by SimHash."""
+    return near_copies.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,7 +309,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     go are broadcast if they are no more than BROADCAST_IDS; more are joined by a shuffle of docs.
     """
     tables = Tables()
-    found, marked = _groups(docs, id_col, text_col, tables)
+    return without(docs, *_groups(docs, id_col, text_col, tables), tables, id_col)
+
+
+def without(docs: DataFrame, found: DataFrame, marked: DataFrame, tables: Tables, id_col: str) -> DataFrame:
+    """representatives(), from groups `found` and prints `marked` of docs, whose tables are removed."""
     lead = found.select(F.col("component_id").alias("__lead")).distinct()
     gone = cut(marked.select(F.col("doc_id").alias("__gone")).distinct().join(lead, F.col("__gone").eqNullSafe(F.col("__lead")), "left_anti"))
     none, ids = gone.agg(F.count(F.when(F.col("__gone").isNull(), 1)), F.count("__gone")).head()

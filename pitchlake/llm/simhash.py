@@ -175,22 +175,32 @@ def within(queries: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[n
     return at // (64 * words), at % (64 * words)
 
 
-def side_by_side(fp: np.ndarray, size: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all pairs inside groups of fp that differ in at most radius bits; size: of each group, at most PACKED.
+def side_by_side(fp: np.ndarray, size: np.ndarray, radius: int = RADIUS, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs inside groups of fp that differ in at most radius bits; size: of each group.
+
+    also: which of the pairs (i, j) that it is given, some at a time, are to be kept.
 
     All groups stand in the same planes; the planes shifted by d lay each fingerprint over the
     d-th one behind it, and pairs of two groups are masked.
     """
-    stored = np.pad(planes(fp), ((0, 0), (0, 1)))
+    most = int(size.max(initial=1))
+    stored = np.pad(planes(fp), ((0, 0), (0, most // 64 + 1)))
+    words = -(-len(fp) // 64)
     behind = np.repeat(np.cumsum(size), size) - 1 - np.arange(len(fp))
     first, second = [], []
-    for d in range(1, int(size.max(initial=1))):
-        asked = np.zeros(stored.shape[1] - 1, np.uint64)
-        mask = np.zeros(len(asked) * 64, bool)
+    for d in range(1, most):
+        mask = np.zeros(words * 64, bool)
         mask[: len(fp)] = behind >= d
         asked = np.packbits(mask, bitorder="little").view(np.uint64)
-        up, down = np.uint64(64 - d), np.uint64(d)
-        at = _bits(at_most(lambda b, live: stored[b, live] ^ ((stored[b, live] >> down) | (stored[b, live + 1] << up)), asked, radius))  # noqa: B023
+        over, bit = divmod(d, 64)
+        behind_d = stored[:, over : over + words]
+        if bit:
+            behind_d = (behind_d >> np.uint64(bit)) | (stored[:, over + 1 : over + 1 + words] << np.uint64(64 - bit))
+        apart = stored[:, :words] ^ behind_d
+        at = at_most(lambda b, live: apart[b] if len(live) == words else apart[b, live], asked, radius)  # noqa: B023
+        at = _bits(at)
+        if also:
+            at = at[also(at, at + d)]
         first.append(at)
         second.append(at + d)
     return np.concatenate([np.zeros(0, np.int64), *first]), np.concatenate([np.zeros(0, np.int64), *second])

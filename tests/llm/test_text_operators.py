@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pitchlake.llm import chat, components, decontam, kernel, langid, mixing, quality_mil, secrets, set_dedup, shared, simhash, substring_dedup, syncmers, token_store
+from pitchlake.llm import chat, components, decontam, kernel, langid, mixing, near_copies, quality_mil, secrets, set_dedup, shared, simhash, substring_dedup, syncmers, token_store
 from pitchlake.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, key long, fp long, range long, shard long, copies long"
@@ -493,6 +493,77 @@ def test_pages_of_one_template_are_compared_a_few_times_each(spark, monkeypatch)
     assert sum(met) <= 40 * len(rows) and sum(compared) <= 4 * len(rows)  # all pairs would be 793,170
 
 
+def edited_copies(rng, n, words, most):
+    """n copies of one text, each with up to `most` words changed: many are linked, many just miss 0.8 with all others."""
+    base = [f"w{x}" for x in rng.integers(0, 5000, words)]
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for at in rng.integers(0, words, int(rng.integers(0, most))):
+            text[at] = f"new{rng.integers(0, 10**6)}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize(("together", "packed", "tile"), [(100, 1024, 2048), (7, 16, 24)])
+def test_pipeline_links_by_simhash_and_exact_comparison(spark, odd, none, monkeypatch, together, packed, tile):
+    """Groups of SimHash candidates, whole or in chunks, keep what all pairs do; the near-duplicate stage uses them."""
+    monkeypatch.setattr(near_copies, "TOGETHER", together)
+    monkeypatch.setattr(near_copies, "PACKED", packed)
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rng = np.random.default_rng(11)
+    texts = [t for words, most in ((40, 4), (150, 12), (12, 2), (300, 20)) for t in edited_copies(rng, 40, words, most)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    compared = []
+    met = near_copies.candidates
+    monkeypatch.setattr(near_copies, "candidates", lambda sets: compared.append(1) or met(sets))
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, [(i, t, "en", "a") for i, t in rows]), "").collect()}
+    assert compared == [1] and got == set(jaccard_components(rows)) and 4 < len(got) < 150
+    some = [r for r in ODD if r[0] is not None]
+    assert {r.doc_id for r in near_copies.representatives(table(spark, some)).collect()} == set(jaccard_components([r[:2] for r in some]))
+    assert near_copies.representatives(odd).columns == odd.columns and near_copies.representatives(none).count() == 0
+
+
+def test_no_row_is_made_for_a_pair_of_similar_texts(spark, monkeypatch):
+    """600 edited copies of one text: few edges of candidates and links, where pairs at 0.5 or more are 180,000."""
+    made = []
+    cut = near_copies.Tables.cut
+
+    def counted(self, df):
+        out = cut(self, df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies.Tables, "cut", counted)
+    rows = list(enumerate(edited_copies(np.random.default_rng(12), 600, 150, 16)))
+    kept = {r.doc_id for r in near_copies.representatives(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert kept == set(jaccard_components(rows)) and 1 < len(kept) < 590
+    assert max(made) <= near_copies.tables_of(near_copies.LEAST).shape[0] * len(rows)
+
+
+def test_long_simhashes_are_majorities(spark):
+    """A bit is 1 if it is in over half of a set's hashes, in sets of more than 255 too; pairs at 0.8 stay candidates."""
+    rng = np.random.default_rng(13)
+    sizes = [1, 2, 0, 5, 254, 255, 256, 700]
+    h, bounds = rng.integers(0, 1 << 64, sum(sizes), np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    got = near_copies.fingerprints(h, bounds, 2)
+    for i, n in enumerate(sizes):
+        for w in range(2):
+            x = kernel.mix(h[bounds[i] : bounds[i + 1]] ^ near_copies._SEEDS[w])
+            want = [2 * sum(int(v) >> b & 1 for v in x) > n for b in range(64)]
+            lanes = [want[b + 8 * lane] for b in range(8) for lane in range(8)]
+            assert got[i, 64 * w : 64 * w + 64].tolist() == lanes
+    shared = 0
+    for _ in range(200):
+        c, rest = rng.integers(0, 1 << 64, 80, np.uint64), rng.integers(0, 1 << 64, 20, np.uint64)
+        two = near_copies.fingerprints(np.concatenate([c, rest[:10], c, rest[10:]]), np.array([0, 90, 180]), 16)
+        for bits in (8, 10):
+            shared += any((two[0, p] == two[1, p]).all() for p in near_copies.tables_of(bits))
+        words = np.packbits(two[:, : near_copies.COMPARED], axis=1, bitorder="little").view(np.uint64)
+        assert len(near_copies.near(words, np.array([2]))[0]) == 1
+    assert shared == 400
+
+
 def test_rare_shingles_of_similar_sets_meet(spark):
     """Any two sets at 0.8 or more have one of their rarest shingles in common, whatever else is frequent."""
     rng = np.random.default_rng(5)
@@ -556,6 +627,18 @@ def test_texts_of_wanted_sets_through_any_filter(spark, odd, monkeypatch):
         assert {r.fp for r in again.collect()} == {r.fp for r in found}
 
 
+def test_planes_shifted_by_words():
+    """Groups of more than a word's fingerprints stand side by side too."""
+    rng = np.random.default_rng(6)
+    sizes = np.array([1, 63, 64, 65, 129, 200])
+    fp = rng.integers(0, 1 << 64, 12, np.uint64)[rng.integers(0, 12, sizes.sum())] ^ (np.uint64(1) << rng.integers(0, 64, sizes.sum(), np.uint64))
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    i, j = simhash.side_by_side(fp, sizes)
+    near = np.bitwise_count(fp[:, None] ^ fp) <= simhash.RADIUS
+    want = np.argwhere(np.triu(near & (own[:, None] == own), 1))
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(map(tuple, want.tolist())) and len(want) > 100
+
+
 def test_bit_slices_and_tiles(spark):
     rng = np.random.default_rng(5)
     near = []
