@@ -35,6 +35,6 @@ def differences(spark, path, name):
     return set(found) ^ set(right), len(found) - len(right)
 
 
-@pytest.mark.parametrize("name", ["valuation", "alerts", "alert_summary", "decision_or_default", "decisions", "distribution_checks", "feature_store", "feature_store_page", "market_value_analytic", "serving_alerts", "potential"])
+@pytest.mark.parametrize("name", ["valuation", "alerts", "alert_summary", "decision_or_default", "decisions", "distribution_checks", "feature_store", "feature_store_page", "market_value_analytic", "serving_alerts", "potential", "reports"])
 def test_players_without_appearances(spark, idle, name):
     assert differences(spark, idle, name) == (set(), 0)
