@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.operators import models, pages
@@ -86,3 +87,18 @@ def test_a_long_object_takes_time_in_proportion(spark):
     blob = json.dumps({"rows": [{"k": f"v{i}}}{{", "d": {"e": [1, 2, {"f": '\\"}'}]}} for i in range(20_000)]})
     t = spark.createDataFrame([(1, "window.__data = " + blob + ";")], "page_id long, html string")
     assert pages.embedded_objects(t).first().json == blob
+
+
+def test_trees_are_grown_on_bins_with_weights(spark, monkeypatch):
+    rows = spark.range(20000).selectExpr("id", "cast(20 + id % 5 as double) as age", "cast(id * 7919 % 20000 as double) as score", "0.85d as same", "age / 10 + floor(score / 625) / 8 + id % 3 as label")
+    seen, fit = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, t: seen.append(t) or fit(self, t))
+    model = models.fit_value_model(rows, ["age", "score", "same"], trees=8)
+    size, weight, label = seen[0].agg(F.count("*"), F.sum("weight"), F.sum(F.col("label") * F.col("weight"))).head()
+    assert size <= 5 * models.BINS * models.LOTS and weight == 20000 and label == pytest.approx(rows.agg(F.sum("label")).head()[0])
+    by_row = model.transform(rows).agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) * (F.col("label") - F.col("prediction"))))).head()[0]
+    assert models.log_error(model, rows) == pytest.approx(by_row) and by_row < 1.5
+    many = models.fit_success_model(rows.withColumn("label", (F.col("age") >= 23).cast("double")), ["age", "score"], trees=4)
+    assert seen[1].agg(F.sum("weight")).head()[0] == 20000 and seen[1].filter("label not in (0.0, 1.0)").count() == 0
+    found = {r.age: r.success for r in models.success(many, rows.filter("id < 5").select("id", "age", "score")).collect()}
+    assert found[20.0] < 0.5 < found[24.0]
