@@ -290,3 +290,19 @@ def test_club_names_types_and_bounds(spark):
     drift = spark.createDataFrame([(2, "stable", 0.1)], "player_key long, direction string, magnitude double")
     got = {r.player_key: (r.anomaly_count, r.direction, r.total_anomalies, [a.seq for a in r.anomalies or []]) for r in timeseries.drift_report(spark.createDataFrame([(1,), (2,), (2,)], "player_key long"), spiked, drift).collect()}
     assert got == {1: (2, None, 2, [2, 5]), 2: (0, "stable", 2, [])}
+
+
+def test_reports_are_made_once_where_they_are_read_twice(spark, monkeypatch):
+    from pitchlake.plans import page_queries
+
+    rows = spark.createDataFrame([(7, "a"), (17, None), (70, "b"), (3, "c")], "player_key long, report string")
+    cuts = []
+    monkeypatch.setattr(page_queries, "reports", lambda *_: rows)
+    monkeypatch.setattr(page_queries, "_names", lambda *_: rows.select("player_key", F.col("player_key").cast("string").alias("player_name")))
+    monkeypatch.setattr(page_queries, "cut", lambda t: cuts.append(t) or t)
+    assert {tuple(r) for r in page_queries.report_stored_or_generated(spark, "").collect()} == {(7, "a", "generated"), (70, "b", "stored")}
+    assert len(cuts) == 1
+    asked = []
+    monkeypatch.setattr(page_queries, "success_of", lambda s, d, keys: asked.append(keys) or keys.withColumn("success", F.lit(0.5)))
+    monkeypatch.setattr(page_queries, "_names", lambda *_: spark.createDataFrame([(1, "x77"), (2, "y")], "player_key long, player_name string"))
+    assert [r.player_key for r in page_queries.pathway_learning_page(spark, "").collect()] == [1] and asked[0].count() == 1
