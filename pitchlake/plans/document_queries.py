@@ -14,10 +14,10 @@ def _text(c):
     return F.col(c).cast("string")
 
 
-def _written(docs, spark, broken: bool = True) -> str:
-    """A folder with three files of documents, a line each, and one file of what is no document."""
+def _written(docs, spark, broken: bool = True, files: int | None = 3, compression: str = "none") -> str:
+    """A folder with so many files of documents (None: as docs are dealt, without a shuffle), a line each, and one file of what is no document."""
     path = folder(spark)
-    docs.repartition(3).write.json(path)
+    (docs.repartition(files) if files else docs).write.option("compression", compression).json(path)
     if broken:
         spark.createDataFrame([('{"profile": {"player_name": "cut',), ("[1, 2]",)], "value string").coalesce(1).write.mode("append").text(path)
     return path
@@ -48,12 +48,12 @@ def match_documents(spark, sf_dir):
 
 @once
 def read_players(spark, sf_dir):
-    return documents.read_documents(spark, _written(player_documents(spark, sf_dir), spark), documents.PLAYER, lines=True)[0]
+    return documents.read_documents(spark, _written(player_documents(spark, sf_dir), spark, files=None, compression="gzip"), documents.PLAYER, lines=True)[0]
 
 
 @once
 def read_matches(spark, sf_dir):
-    return documents.read_documents(spark, _written(match_documents(spark, sf_dir), spark), documents.MATCH, lines=True)[0]
+    return documents.read_documents(spark, _written(match_documents(spark, sf_dir), spark, files=None, compression="gzip"), documents.MATCH, lines=True)[0]
 
 
 @query("doc_players", "SELECT replace(c_name, '#', ' #') AS player_name, c_mktsegment AS position, dob::VARCHAR AS date_of_birth, club AS current_club, round(market_value / 1000.0)::BIGINT * 1000.0::DOUBLE AS market_value_eur FROM v_players JOIN customer ON c_custkey = player_key")

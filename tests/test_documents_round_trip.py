@@ -1,5 +1,7 @@
 """Documents a line each, and tables published together or not at all."""
 
+import os
+
 import pytest
 
 from pitchlake.sources import documents
@@ -37,3 +39,17 @@ def test_both_tables_or_none(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, report.collect())) == [("a", 3, "withheld"), ("b", -1, "withheld")]
     with pytest.raises(Exception, match="PATH_NOT_FOUND|not published"):
         documents.published(spark, f"file://{tmp_path}/two", "a")
+
+
+def test_documents_to_read_are_compressed_and_not_gathered_in_three_files(spark):
+    from pitchlake.plans import document_queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = document_queries.player_documents(spark, sf).repartition(7)
+    path = document_queries._written(docs, spark, files=None, compression="gzip").removeprefix("file://")
+    plain = document_queries._written(docs, spark, broken=False).removeprefix("file://")
+    size = lambda p, end: [os.path.getsize(f"{p}/{f}") for f in os.listdir(p) if f.endswith(end)]
+    assert len(size(path, ".json.gz")) == 7 and len(size(plain, ".json")) == 3 and sum(size(path, ".gz")) * 3 < sum(size(plain, ".json"))
+    good, bad = documents.read_documents(spark, path, documents.PLAYER, lines=True)
+    assert (good.count(), bad.count()) == (docs.count(), 2)
+    assert any(f.endswith(".json.gz") for r in document_queries.read_players(spark, sf).select("file").distinct().collect() for f in r)
